@@ -200,7 +200,7 @@ CTES: dict[str, str] = {
         AND start_date <= e::DATE AND coalesce(end_date, start_date) >= s::DATE""",
     "off_sources": "SELECT DISTINCT c, bd FROM off_hits",
     "overlay0": """
-      SELECT c, bd, greatest(ps, s) AS ps, least(pe, e) AS pe FROM off_hits WHERE greatest(ps, s) < least(pe, e)
+      SELECT c, bd, greatest(ps, s) AS ps, least(pe, e) AS pe FROM off_hits WHERE ps IS NOT NULL AND greatest(ps, s) < least(pe, e)
       UNION ALL SELECT c, bd, s, e FROM shifts WHERE assignment_type = 'Planned absence'""",
     "overlay": """
       SELECT c, bd, min(ps) AS ps, max(pe) AS pe FROM (

@@ -19,6 +19,7 @@ from rotaspark.plans import actuals, attendance, calls, evidence, forecasting, r
 from rotaspark.policy import StatusPolicy
 from rotaspark.schemas import SERVICE_MEASURES, constraints
 from rotaspark.session import configure
+from rotaspark.sources.stage import write_stage
 from testbed import shape
 from testbed.oracle import NOW, day, iso, minutes, sql, sums
 
@@ -66,68 +67,96 @@ def plain(df: DataFrame) -> DataFrame:
 
 
 # --- shared inputs ----------------------------------------------------------
+#
+# `_x_lanes` and friends parse the extracts. Downstream products read silver
+# tables, as they do in a refresh: each is written once per session and data
+# folder, then read back from Parquet.
 
+_SILVER: dict[tuple[str, str, str], str] = {}
 
-def _roster(spark, sf):
+
+def _silver(spark: SparkSession, sf: str, name: str, build: Query) -> DataFrame:
+    key = (spark.sparkContext.applicationId, sf, name)
+    if key not in _SILVER:
+        _SILVER[key] = write_stage(build(spark, sf), name)
+    return spark.read.parquet(_SILVER[key])
+
+
+def _parsed_roster(spark, sf):
     return roster.parse_roster(shape.roster_raw(spark, sf))
 
 
-def _time_off(spark, sf, people=None):
+def _roster(spark, sf):
+    return _silver(spark, sf, "roster", _parsed_roster)
+
+
+def _parsed_time_off(spark, sf):
     pto, away = shape.registers_raw(spark, sf)
-    return roster.parse_time_off(people or _roster(spark, sf), pto, away)
+    return roster.parse_time_off(_roster(spark, sf), pto, away)
+
+
+def _time_off(spark, sf):
+    return _silver(spark, sf, "time_off", _parsed_time_off)
 
 
-def _cells(spark, sf, people=None):
+def _parsed_cells(spark, sf):
     wide, dates = shape.schedule_raw(spark, sf)
-    return roster.parse_schedule(wide, dates, people or _roster(spark, sf))
+    return roster.parse_schedule(wide, dates, _roster(spark, sf))
+
+
+def _cells(spark, sf):
+    return _silver(spark, sf, "schedule_cells", _parsed_cells)
 
 
-def _schedule(spark, sf, people=None):
-    return roster.canonical_schedule(_cells(spark, sf, people))
+def _schedule(spark, sf):
+    return _silver(spark, sf, "schedule_shift", lambda s, d: roster.canonical_schedule(_cells(s, d)))
 
 
-def _status_lanes(spark, sf, people=None):
-    return actuals.parse_status(shape.status_raw(spark, sf), people or _roster(spark, sf), StatusPolicy())
+def _status_lanes(spark, sf):
+    return actuals.parse_status(shape.status_raw(spark, sf), _roster(spark, sf), StatusPolicy())
 
 
-def _status(spark, sf, people=None):
-    return actuals.accepted(_status_lanes(spark, sf, people))
+def _status(spark, sf):
+    return _silver(spark, sf, "agent_status", lambda s, d: actuals.accepted(_status_lanes(s, d)))
 
 
-def _lilo_lanes(spark, sf, people=None):
-    return actuals.parse_lilo(shape.lilo_raw(spark, sf), people or _roster(spark, sf))
+def _lilo_lanes(spark, sf):
+    return actuals.parse_lilo(shape.lilo_raw(spark, sf), _roster(spark, sf))
 
 
-def _lilo(spark, sf, people=None):
-    return actuals.accepted(_lilo_lanes(spark, sf, people))
+def _lilo(spark, sf):
+    return _silver(spark, sf, "lilo", lambda s, d: actuals.accepted(_lilo_lanes(s, d)))
 
 
 def _call_lanes(spark, sf):
     return calls.parse_calls(shape.calls_raw(spark, sf), _roster(spark, sf), shape.mapping(spark))
 
 
-def _legs(spark, sf):
+def _parsed_legs(spark, sf):
     return calls.canonical_calls(calls.accepted(_call_lanes(spark, sf)))
 
 
+def _legs(spark, sf):
+    return _silver(spark, sf, "call_leg", _parsed_legs)
+
+
 def _intervals(spark, sf):
-    return calls.service_intervals(_legs(spark, sf), shape.RULES)
+    return _silver(spark, sf, "service_interval", lambda s, d: calls.service_intervals(_legs(s, d), shape.RULES))
 
 
-def _model(spark, sf):
-    people = _roster(spark, sf)
+def _built_model(spark, sf):
     return attendance.attendance_model(
-        _schedule(spark, sf, people),
-        _status(spark, sf, people),
-        _lilo(spark, sf, people),
-        roster.canonical_time_off(_time_off(spark, sf, people)),
-        shape.ATTENDANCE,
-        shape.AS_OF,
+        _schedule(spark, sf), _status(spark, sf), _lilo(spark, sf),
+        roster.canonical_time_off(_time_off(spark, sf)), shape.ATTENDANCE, shape.AS_OF,
     )
 
 
-def _shifts(spark, sf, people):
-    return attendance.shift_frame(_schedule(spark, sf, people), shape.AS_OF)
+def _model(spark, sf):
+    return _silver(spark, sf, "attendance_model", _built_model)
+
+
+def _shifts(spark, sf):
+    return attendance.shift_frame(_schedule(spark, sf), shape.AS_OF)
 
 
 # --- calls and service intervals ---------------------------------------------
@@ -143,8 +172,8 @@ _INTERVAL_SELECT = (
     f"language, {', '.join(SERVICE_MEASURES)}, source_files_json FROM intervals"
 )
 def service_interval_15m(spark, sf):
-    """PR-04."""
-    return _intervals(spark, sf)
+    """PR-04, from the raw exports."""
+    return calls.service_intervals(_parsed_legs(spark, sf), shape.RULES)
 
 
 @query(
@@ -155,7 +184,7 @@ def service_interval_15m(spark, sf):
 def call_dedup_latest(spark, sf):
     """WN-01 / PR-03: the newest export of each leg."""
     text = lambda c: F.coalesce(F.col(c), F.lit("")).alias(c)
-    return _legs(spark, sf).select(
+    return _parsed_legs(spark, sf).select(
         "call_start", "call_end", text("call_reference_number"), text("call_id"), "source_key", "source_row",
         text("roster_client_id"), "pcs_status",
         F.coalesce("transferred", F.lit(False)).alias("transferred"),
@@ -274,7 +303,7 @@ def unique_names(spark, sf):
 @query("SELECT client_id, source_row, valid::INT AS valid FROM roster WHERE dup")
 def roster_duplicate_winner(spark, sf):
     """WN-03."""
-    rows = _roster(spark, sf)
+    rows = _parsed_roster(spark, sf)
     return rows.filter(F.array_contains("validation_codes", "DUPLICATE_CLIENT_ID")).select("client_id", "source_row", "valid")
 
 
@@ -288,7 +317,7 @@ def roster_duplicate_winner(spark, sf):
 )
 def roster_quality(spark, sf):
     """DQ-01 / DQ-02."""
-    return roster.roster_findings(_roster(spark, sf)).select("issue_code", "severity", "source_row")
+    return roster.roster_findings(_parsed_roster(spark, sf)).select("issue_code", "severity", "source_row")
 
 
 @query(
@@ -300,8 +329,7 @@ def roster_quality(spark, sf):
 )
 def canonical_roster(spark, sf):
     """PR-01 / JN-11."""
-    people = _roster(spark, sf)
-    return roster.canonical_roster(people, _cells(spark, sf, people)).select("client_id", "employment_status", "source_row")
+    return roster.canonical_roster(_roster(spark, sf), _cells(spark, sf)).select("client_id", "employment_status", "source_row")
 
 
 @query(
@@ -309,7 +337,7 @@ def canonical_roster(spark, sf):
 )
 def register_quality(spark, sf):
     """DQ-03 / JN-12."""
-    return quality.row_findings(_time_off(spark, sf), "warning").select("issue_code", "severity", "source_row")
+    return quality.row_findings(_parsed_time_off(spark, sf), "warning").select("issue_code", "severity", "source_row")
 
 
 @query(
@@ -319,7 +347,7 @@ def register_quality(spark, sf):
 )
 def canonical_time_off(spark, sf):
     """PR-01 / FL-02 / FL-15 on the registers."""
-    rows = roster.canonical_time_off(_time_off(spark, sf))
+    rows = roster.canonical_time_off(_parsed_time_off(spark, sf))
     return rows.select(
         "client_id", "source_row", "source_kind", "start_date",
         F.coalesce(F.date_format("end_date", "yyyy-MM-dd"), F.lit("")).alias("end_date"),
@@ -351,7 +379,7 @@ def schedule_unpivot(spark, sf):
 def schedule_validity(spark, sf):
     """FN-15 / FN-16 / FL-07."""
     text = lambda c: F.coalesce(tm.iso(F.col(c)), F.lit("")).alias(c)
-    return _cells(spark, sf).select(
+    return _parsed_cells(spark, sf).select(
         "source_key", "source_row", "business_date", "schedule_state", "assignment", "assignment_type",
         text("scheduled_start"), text("scheduled_end"), "validation_codes", "is_overnight", "scope_match",
     )
@@ -373,7 +401,7 @@ def schedule_findings(spark, sf):
 )
 def schedule_precedence(spark, sf):
     """WN-02."""
-    return _schedule(spark, sf).select("roster_client_id", "business_date", "assignment", "schedule_state", "source_key")
+    return roster.canonical_schedule(_cells(spark, sf)).select("roster_client_id", "business_date", "assignment", "schedule_state", "source_key")
 
 
 # --- status and LILO ---------------------------------------------------------
@@ -385,7 +413,7 @@ def schedule_precedence(spark, sf):
 )
 def status_classify(spark, sf):
     """PR-02 / FN-13 / FN-29."""
-    return _status(spark, sf).select(
+    return actuals.accepted(_status_lanes(spark, sf)).select(
         "source_key", "source_row", "roster_client_id", "actual_category", "label_mapped", "status_start", "status_end", "scope_match"
     )
 
@@ -410,9 +438,8 @@ def status_counters(spark, sf):
 )
 def actual_findings(spark, sf):
     """DQ-07."""
-    people = _roster(spark, sf)
-    found = actuals.status_findings(_status_lanes(spark, sf, people)).unionByName(
-        actuals.lilo_findings(_lilo_lanes(spark, sf, people))
+    found = actuals.status_findings(_status_lanes(spark, sf)).unionByName(
+        actuals.lilo_findings(_lilo_lanes(spark, sf))
     )
     return found.groupBy("issue_code", "severity").agg(
         F.sum("row_count").alias("row_count"), F.count("*").alias("sources")
@@ -426,7 +453,7 @@ def actual_findings(spark, sf):
 def lilo_rows(spark, sf):
     """PR-02 / FL-06 / FN-28."""
     text = lambda c: F.coalesce(tm.iso(F.col(c)), F.lit("")).alias(c)
-    return _lilo(spark, sf).select(
+    return actuals.accepted(_lilo_lanes(spark, sf)).select(
         "roster_client_id", "extract_date", text("first_login"), text("last_logout"), "overnight_adjusted", "scope_match"
     )
 
@@ -439,8 +466,7 @@ def lilo_rows(spark, sf):
 )
 def status_flatten(spark, sf):
     """IV-05 inside each shift's evidence window."""
-    people = _roster(spark, sf)
-    flat = attendance.status_segments(_shifts(spark, sf, people), _status(spark, sf, people))
+    flat = attendance.status_segments(_shifts(spark, sf), _status(spark, sf))
     return flat.select("roster_client_id", "business_date", F.explode("segments").alias("g")).select(
         "roster_client_id", "business_date", F.col("g.start").alias("seg_start"), F.col("g.end").alias("seg_end"),
         F.col("g.actual_category").alias("category"), F.col("g.source_key").alias("source_key"),
@@ -453,8 +479,8 @@ _MERGE = """SELECT roster_client_id AS c, min(status_start) AS s, max(status_end
         THEN 1 ELSE 0 END AS fresh FROM status)) GROUP BY roster_client_id, island"""
 
 
-def _presence(spark, sf, people=None):
-    return _status(spark, sf, people).select(
+def _presence(spark, sf):
+    return _status(spark, sf).select(
         "roster_client_id", F.col("status_start").alias("start"), F.col("status_end").alias("end")
     )
 
@@ -474,12 +500,11 @@ def interval_merge(spark, sf):
 )
 def interval_subtract(spark, sf):
     """IV-03: shift time without any status evidence."""
-    people = _roster(spark, sf)
-    spans = _shifts(spark, sf, people).select(
+    spans = _shifts(spark, sf).select(
         "roster_client_id", "business_date", F.col("scheduled_start").alias("start"), F.col("scheduled_end").alias("end")
     )
     met = iv.overlap_join(
-        spans.withColumnsRenamed({"start": "_s", "end": "_e"}), _presence(spark, sf, people), ["roster_client_id"],
+        spans.withColumnsRenamed({"start": "_s", "end": "_e"}), _presence(spark, sf), ["roster_client_id"],
         left_span=("_s", "_e"), right_span=("start", "end"),
     ).select("roster_client_id", "business_date", "start", "end")
     return iv.subtract_intervals(spans, met, ["roster_client_id", "business_date"])
@@ -491,11 +516,10 @@ def interval_subtract(spark, sf):
 )
 def interval_intersect(spark, sf):
     """IV-04 / JN-10: shifts cut with merged presence."""
-    people = _roster(spark, sf)
-    spans = _shifts(spark, sf, people).select(
+    spans = _shifts(spark, sf).select(
         "roster_client_id", "business_date", F.col("scheduled_start").alias("start"), F.col("scheduled_end").alias("end")
     )
-    merged = iv.merge_intervals(_presence(spark, sf, people), ["roster_client_id"])
+    merged = iv.merge_intervals(_presence(spark, sf), ["roster_client_id"])
     return iv.intersect_intervals(spans, merged, ["roster_client_id"]).select(
         "roster_client_id", "business_date", "start", "end"
     )
@@ -506,14 +530,13 @@ def interval_intersect(spark, sf):
       SELECT c, bd, min(ps) AS ps, max(pe) AS pe FROM (
         SELECT *, sum(fresh) OVER (PARTITION BY c, bd ORDER BY ps, pe ROWS UNBOUNDED PRECEDING) AS island FROM (
           SELECT *, CASE WHEN ps > max(pe) OVER (PARTITION BY c, bd ORDER BY ps, pe ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 1 ELSE 0 END AS fresh
-          FROM (SELECT c, bd, greatest(ps, s) AS ps, least(pe, e) AS pe FROM off_hits WHERE greatest(ps, s) < least(pe, e))))
+          FROM (SELECT c, bd, greatest(ps, s) AS ps, least(pe, e) AS pe FROM off_hits WHERE ps IS NOT NULL AND greatest(ps, s) < least(pe, e))))
       GROUP BY c, bd, island)"""
 )
 def time_off_overlay(spark, sf):
     """IV-07 / JN-07."""
-    people = _roster(spark, sf)
     overlay = attendance.time_off_overlay(
-        _shifts(spark, sf, people), roster.canonical_time_off(_time_off(spark, sf, people))
+        _shifts(spark, sf), roster.canonical_time_off(_time_off(spark, sf))
     )
     return overlay.select("roster_client_id", "business_date", F.explode("overlay").alias("p")).select(
         "roster_client_id", "business_date", F.col("p.start").alias("start"), F.col("p.end").alias("end")
@@ -526,8 +549,7 @@ def time_off_overlay(spark, sf):
 )
 def lilo_bounds(spark, sf):
     """JN-08 / JN-16 / AG-13 / AG-17."""
-    people = _roster(spark, sf)
-    bounds = attendance.lilo_bounds(_shifts(spark, sf, people), _lilo(spark, sf, people), _status(spark, sf, people))
+    bounds = attendance.lilo_bounds(_shifts(spark, sf), _lilo(spark, sf), _status(spark, sf))
     text = lambda c: F.coalesce(tm.iso(F.col(c)), F.lit("")).alias(c)
     return bounds.select(
         "roster_client_id", "business_date", text("lilo_first"), text("lilo_last"),
@@ -545,7 +567,7 @@ _DAY_TIMES = ("scheduled_start", "scheduled_end", "actual_first_seen", "actual_l
 )
 def attendance_day(spark, sf):
     """PR-05: all rule outcomes per agent-day."""
-    days = attendance.agent_days(_model(spark, sf)).drop("evaluation_as_of", "policy_fingerprint")
+    days = attendance.agent_days(_built_model(spark, sf)).drop("evaluation_as_of", "policy_fingerprint")
     return days.withColumns({c: F.coalesce(tm.iso(F.col(c)), F.lit("")) for c in _DAY_TIMES})
 
 
@@ -555,7 +577,7 @@ def attendance_day(spark, sf):
 )
 def attendance_gaps(spark, sf):
     """PR-06."""
-    return attendance.attendance_gaps(_model(spark, sf)).drop("policy_fingerprint")
+    return attendance.attendance_gaps(_built_model(spark, sf)).drop("policy_fingerprint")
 
 
 @query(
@@ -631,9 +653,8 @@ def service_ratios(spark, sf):
 )
 def latest_actual_date(spark, sf):
     """AG-18."""
-    people = _roster(spark, sf)
     days = attendance.agent_days(_model(spark, sf))
-    return evidence.latest_actual_date(_legs(spark, sf), _status(spark, sf, people), _lilo(spark, sf, people), days)
+    return evidence.latest_actual_date(_legs(spark, sf), _status(spark, sf), _lilo(spark, sf), days)
 
 
 @query(
@@ -659,4 +680,4 @@ def quality_by_severity(spark, sf):
 @query("SELECT client_id, count(*)::BIGINT AS row_count FROM roster WHERE client_id IS NOT NULL GROUP BY 1 HAVING count(*) > 1")
 def duplicate_keys(spark, sf):
     """AG-14."""
-    return latest.duplicate_keys(_roster(spark, sf).filter("client_id IS NOT NULL"), ["client_id"])
+    return latest.duplicate_keys(_parsed_roster(spark, sf).filter("client_id IS NOT NULL"), ["client_id"])
