@@ -49,8 +49,8 @@ def parse_header_date(c: Column) -> Column:
 
 def _to_ntz(text: Column, fmt: str) -> Column:
     # Spark's formatter wants exactly one blank where the shape allows several.
-    single = F.regexp_replace(F.upper(text), " +", " ")
-    return F.try_to_timestamp(single, F.lit(fmt)).cast(NTZ)
+    single = F.when(text.contains("  "), F.regexp_replace(text, " +", " ")).otherwise(text)
+    return F.try_to_timestamp(F.upper(single), F.lit(fmt)).cast(NTZ)
 
 
 def parse_datetime(c: Column) -> Column:
@@ -64,7 +64,12 @@ def parse_datetime(c: Column) -> Column:
             F.when(F.length(text) == 15, F.try_to_timestamp(text, F.lit("yyyyMMdd'T'HHmmss"))),
         ).cast(NTZ),
     )
-    return F.coalesce(iso, _first_format(text, DATETIME_FORMATS, _to_ntz), basic)
+    slashed = [f for f in DATETIME_FORMATS if "/" in f[1]]
+    dashed = [f for f in DATETIME_FORMATS if "/" not in f[1]]
+    # No shape mixes the two separators, so each value meets its own family only.
+    return F.when(text.contains("/"), _first_format(text, slashed, _to_ntz)).otherwise(
+        F.coalesce(iso, _first_format(text, dashed, _to_ntz), basic)
+    )
 
 
 def time_of_day_seconds(c: Column) -> Column:
@@ -103,8 +108,15 @@ def duration_seconds(c: Column) -> Column:
         return F.when(numeric, F.bround(piece.try_cast("double")).try_cast("bigint"))
 
     n = F.size(parts)
+    piece = lambda text_, count: F.substring_index(text_, ":", count).cast("bigint")
+    # The usual whole-number shapes are cut out directly; the rest is split and checked.
     return (
-        F.when(n == 3, whole(0) * 3600 + whole(1) * 60 + rounded(F.get(parts, F.lit(2))))
+        F.when(
+            text.rlike("^[0-9]{1,6}:[0-9]{1,3}:[0-9]{1,3}$"),
+            piece(text, 1) * 3600 + piece(F.substring_index(text, ":", 2), -1) * 60 + piece(text, -1),
+        )
+        .when(text.rlike("^[0-9]{1,9}$"), text.cast("bigint"))
+        .when(n == 3, whole(0) * 3600 + whole(1) * 60 + rounded(F.get(parts, F.lit(2))))
         .when(n == 2, whole(0) * 3600 + rounded(F.get(parts, F.lit(1))) * 60)
         .when(n == 1, rounded(text))
     )

@@ -37,13 +37,15 @@ def collapse_blanks(c: Column) -> Column:
 
 def id_text(c: Column) -> Column:
     """Id as text with a trailing `.0` dropped; placeholders are kept."""
-    return F.regexp_replace(clean(c), r"^([0-9]+)\.0$", "$1")
+    text = clean(c)
+    return F.when(text.endswith(".0"), F.regexp_replace(text, r"^([0-9]+)\.0$", "$1")).otherwise(text)
 
 
 def normalize_id(c: Column) -> Column:
     """FN-02: id as text; placeholders become NULL; `123.0` becomes `123`."""
     text = id_text(c)
-    return F.when(~F.upper(text).isin(*ID_PLACEHOLDERS), text)
+    longest = max(len(p) for p in ID_PLACEHOLDERS)
+    return F.when((F.length(text) > longest) | ~F.upper(text).isin(*ID_PLACEHOLDERS), text)
 
 
 def numeric_id(c: Column) -> Column:

@@ -39,7 +39,14 @@ GROUPS = [("Clicks", ["q-click", "Q click"], []), ("Buys", [], ["purchase"])]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A driver table; one that fills fewer input splits than there are cores is spread over them.
+
+    Parsing is CPU work, so a table of a few megabytes in one split would keep
+    one core busy. Large tables have more splits than cores and stay as scanned.
+    """
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
 def mapping(spark: SparkSession) -> DataFrame:
