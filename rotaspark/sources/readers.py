@@ -11,7 +11,7 @@ import io
 from collections import defaultdict
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from rotaspark.functions.text import catalog_key, normalize_header, strip
@@ -38,6 +38,11 @@ def header_of(spark: SparkSession, path: str, sep: str = ",") -> list[str]:
     return next(csv.reader(io.StringIO(line), delimiter=sep))
 
 
+def decoded_path(uri: Column) -> Column:
+    """`_metadata.file_path` is percent-encoded; a literal plus sign must survive the decoding."""
+    return F.url_decode(F.replace(uri, F.lit("+"), F.lit("%2B")))
+
+
 def _splittable(spark: SparkSession, path: str) -> bool:
     """Whether every record of a large file sits on one line (even quote count per line)."""
     size = spark.read.format("binaryFile").load(path).select(F.max("length")).first()[0]
@@ -103,7 +108,7 @@ def read_delimited(
         )
         placed = raw.select(
             "*",
-            source_key(F.col("_metadata.file_path"), root).alias("source_key"),
+            source_key(decoded_path(F.col("_metadata.file_path")), root).alias("source_key"),
             F.col("_metadata.file_modification_time").alias("source_mtime"),
             F.col("_metadata.file_block_start").alias("_split"),
         )
