@@ -159,14 +159,12 @@ def intersect_intervals(
     )
 
 
-def _slice(df: DataFrame, unit: str, source: str, target: str) -> DataFrame:
-    """Cut `_s`,`_e` into the buckets of `unit`, noting which bounds are cuts."""
-    step = F.expr(f"INTERVAL 1 {unit}")
-    out = df.withColumn(target, F.explode(source))
-    lo, hi = F.col(target), F.col(target) + step
+def _cut_to_hour(df: DataFrame) -> DataFrame:
+    """Cut `_s`,`_e` to the hour in `_hour`, noting which bounds are cuts."""
+    lo, hi = F.col("_hour"), F.col("_hour") + F.expr("INTERVAL 1 HOUR")
     return (
-        out.withColumn("_real_s", F.col("_real_s") & (F.col("_s") >= lo))
-        .withColumn("_real_e", F.col("_real_e") & (F.col("_e") <= hi))
+        df.withColumn("_real_s", F.col("_s") >= lo)
+        .withColumn("_real_e", F.col("_e") <= hi)
         .withColumn("_s", F.greatest("_s", lo))
         .withColumn("_e", F.least("_e", hi))
     )
@@ -208,11 +206,13 @@ def flatten_latest(
         F.col(end).alias("_e"),
         F.col(start).alias("_start"),
         *[c for c in dict.fromkeys([*rank, *payload])],
-        F.lit(True).alias("_real_s"),
-        F.lit(True).alias("_real_e"),
     )
-    hours = F.array(F.col(bucket)) if bucket else buckets(F.col("_s"), F.col("_e"), "HOUR")
-    hourly = _slice(rows, "HOUR", hours, "_hour").withColumn("_top", top)
+    # A given bucket is only renamed, so the partitioning of the caller's join still holds.
+    if bucket:
+        hourly = rows.withColumnRenamed(bucket, "_hour")
+    else:
+        hourly = rows.withColumn("_hour", F.explode(buckets(F.col("_s"), F.col("_e"), "HOUR")))
+    hourly = _cut_to_hour(hourly).withColumn("_top", top)
 
     def compete(part: DataFrame, *cell: str, seen: list[Column]) -> DataFrame:
         return part.groupBy(*keys, *cell, "_s", "_e").agg(
