@@ -3,25 +3,23 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from datetime import date, datetime, timedelta
+from datetime import date
 from functools import wraps
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rotaspark.functions import rules as fn_rules
 from rotaspark.functions import temporal as tm
-from rotaspark.functions.text import fold_name
 from rotaspark.operators import identity as ident
 from rotaspark.operators import intervals as iv
 from rotaspark.operators import latest, quality
-from rotaspark.plans import actuals, attendance, calls, evidence, forecasting, roster, staffing
+from rotaspark.plans import actuals, attendance, calls, evidence, roster
 from rotaspark.policy import StatusPolicy
 from rotaspark.schemas import SERVICE_MEASURES, constraints
 from rotaspark.session import configure
 from rotaspark.sources.stage import write_stage
 from testbed import shape
-from testbed.oracle import NOW, day, iso, minutes, sql, sums
+from testbed.oracle import day, iso, sql, sums
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}

@@ -10,9 +10,9 @@ from rotaspark.functions.keys import call_key
 from rotaspark.functions.text import fold_name
 from rotaspark.functions.temporal import NTZ
 from rotaspark.operators import identity as ident
-from rotaspark.plans import attendance, evidence, forecasting, refresh, roster, staffing
+from rotaspark.plans import attendance, forecasting, refresh, roster, staffing
 from testbed import shape
-from testbed.oracle import day, iso, minutes
+from testbed.oracle import day, iso
 from testbed.queries import (
     _cells, _intervals, _legs, _lilo, _model, _roster, _schedule, _shifts, _status, _time_off, query,
 )
