@@ -4,15 +4,25 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from rotaspark.llm import bpe_codec, line_dedup, mixing
+from rotaspark.llm import bpe_codec, line_dedup, mixing, ngram_join, quality_rules
 from rotaspark.llm.common import staged, table
 
 
+def apply_quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps the documents that the adaptive quality rules keep."""
+    return quality_rules.kept_documents(docs)
+
+
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops lines of at least 40 code points that at least five documents share, but for their last holder."""
     return line_dedup.dedup_lines(docs).select(*docs.columns)
 
 
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps the document of the smallest doc_id of every group that similar texts link."""
+    return ngram_join.one_per_class(docs)
+
+
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The mix of all sources at 150% of their words; a document taken twice is two rows."""
     return mixing.mix_documents(docs)
@@ -24,7 +34,9 @@ def encode_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 STAGES = [
+    ("quality rules", apply_quality_rules),
     ("line dedup", dedup_lines),
+    ("n-gram Jaccard join", drop_near_duplicates),
     ("mixing sources to target weights", mix_sources),
     ("BPE encoding and decoding", encode_documents),
 ]

@@ -20,3 +20,100 @@ SELECT doc_id, count(*)::BIGINT AS n_lines, (count(*) FILTER (WHERE lost))::BIGI
     sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE NOT lost), '')) AS kept_sha256
 FROM marked GROUP BY doc_id
 """
+
+_WORD = "[^\\x20\\x09-\\x0D]+"
+_METRICS = {"symbols": ("n_symbols", "n_words"), "dup_lines": ("n_dup_lines", "n_lines"), "repeats": ("n_repeat_words", "n_words"), "long_words": ("word_chars", "n_words")}
+_SLACK = {"symbols": 3000.0, "dup_lines": 4000.0, "repeats": 3500.0, "long_words": 30000.0}
+
+QUALITY = f"""
+WITH doc AS (
+    SELECT doc_id, coalesce('s' || lang, 'n') AS lk, coalesce('s' || source, 'n') AS sk, coalesce(text, '') AS t FROM documents
+),
+word AS (SELECT *, regexp_extract_all(t, '{_WORD}') AS w, string_split(t, chr(10)) AS raw_lines FROM doc),
+line AS (SELECT *, list_filter(raw_lines, lambda x: regexp_matches(x, '{_WORD}')) AS lines FROM word),
+gram AS (
+    SELECT doc_id, i, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS g
+    FROM (SELECT doc_id, w, unnest(range(1, len(w) - 1)) AS i FROM word)
+),
+again AS (SELECT doc_id, i FROM (SELECT *, count(*) OVER (PARTITION BY doc_id, g) AS n FROM gram) WHERE n > 1),
+covered AS (
+    SELECT doc_id, count(DISTINCT i + d) AS n FROM again, (SELECT unnest(range(0, 3)) AS d) GROUP BY doc_id
+),
+base AS (
+    SELECT line.doc_id, lk, sk, len(w)::BIGINT AS n_words, length(regexp_replace(t, '[\\x20\\x09-\\x0D]', '', 'g'))::BIGINT AS word_chars,
+        (length(t) - length(translate(t, '#*$%&|<>', '')))::BIGINT AS n_symbols, len(lines)::BIGINT AS n_lines,
+        (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines, coalesce(covered.n, 0)::BIGINT AS n_repeat_words
+    FROM line LEFT JOIN covered ON line.doc_id = covered.doc_id
+),
+metric AS (
+    {" UNION ALL ".join(f"SELECT lk, sk, '{m}' AS metric, ({a} * 10000) // {b} AS v FROM base WHERE n_words > 0" for m, (a, b) in _METRICS.items())}
+),
+own AS (
+    SELECT lk, sk, metric, v - v % (2 ** greatest(length(bin(v)) - 6, 0))::BIGINT AS b, count(*) AS n FROM metric GROUP BY ALL
+),
+both_ AS (
+    SELECT lk, sk, metric, b, n * 100 AS n FROM own
+    UNION ALL
+    SELECT g.lk, g.sk, g.metric, l.b, l.n
+    FROM (SELECT DISTINCT lk, sk, metric FROM own) g
+    JOIN (SELECT lk, metric, b, sum(n) AS n FROM own GROUP BY ALL) l ON g.lk = l.lk AND g.metric = l.metric
+),
+merged AS (SELECT lk, sk, metric, b, sum(n) AS n FROM both_ GROUP BY ALL),
+share AS (
+    SELECT *, (sum(n) OVER (PARTITION BY lk, sk, metric ORDER BY b))::DOUBLE / (sum(n) OVER (PARTITION BY lk, sk, metric))::DOUBLE AS s
+    FROM merged
+),
+mark AS (
+    SELECT lk, sk, metric, min(b) FILTER (WHERE s >= 0.5) AS centre, min(b) FILTER (WHERE s >= 0.9) AS upper FROM share GROUP BY ALL
+),
+cap AS (
+    SELECT lk, sk, metric, upper + greatest(4.0 * (upper - centre), CASE metric
+        {" ".join(f"WHEN '{m}' THEN {v}" for m, v in _SLACK.items())} END) AS top FROM mark
+),
+caps AS (
+    SELECT lk, sk, {", ".join(f"max(top) FILTER (WHERE metric = '{m}') AS max_{m}" for m in _METRICS)} FROM cap GROUP BY ALL
+),
+failed AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM base)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+    NOT base_failed AND {" AND ".join(f"coalesce(({a} * 10000) // nullif({b}, 0) <= max_{m}, true)" for m, (a, b) in _METRICS.items())} AS kept
+FROM failed LEFT JOIN caps ON failed.lk = caps.lk AND failed.sk = caps.sk
+"""
+
+
+def _rendered(turns: str) -> str:
+    return f"coalesce(array_to_string(list_transform({turns}, lambda t: '<|' || coalesce(t.role, '') || '|>' || chr(10) || coalesce(t.text, '') || '<|end|>' || chr(10)), ''), '')"
+
+
+def _mask(turns: str) -> str:
+    return (
+        f"coalesce(array_to_string(list_transform({turns}, lambda t: '0x' || (length(coalesce(t.role, '')) + 5) || ' ' || "
+        "CASE WHEN t.role = 'assistant' THEN '1x' ELSE '0x' END || (length(coalesce(t.text, '')) + 8)), ' '), '')"
+    )
+
+
+PREFERENCES = f"""
+WITH conv AS (
+    SELECT conv_id, list({{'role': role, 'text': text}} ORDER BY turn, role, text) AS turns FROM conversations GROUP BY conv_id
+),
+reply AS (
+    SELECT *, list_max(list_filter(range(1, len(turns) + 1), lambda i: turns[i].role = 'assistant')) AS pos FROM conv
+),
+next AS (
+    SELECT conv_id, coalesce(lead(conv_id) OVER (ORDER BY conv_id), min(conv_id) OVER ()) AS other_id, turns[pos].text AS mine
+    FROM reply WHERE pos IS NOT NULL
+),
+pair AS (
+    SELECT r.conv_id, n.other_id, len(r.turns) AS n_turns, CASE WHEN pos IS NULL THEN turns ELSE turns[1:pos] END AS chosen,
+        CASE WHEN pos IS NULL THEN turns ELSE list_concat(turns[1:pos - 1], [{{'role': turns[pos].role, 'text': o.mine}}]) END AS rejected
+    FROM reply r LEFT JOIN next n ON r.conv_id = n.conv_id LEFT JOIN next o ON n.other_id = o.conv_id
+),
+cut AS (
+    SELECT *, coalesce(
+        list_min(list_filter(range(1, len(chosen) + 1), lambda i: chosen[i] IS DISTINCT FROM rejected[i])) - 1, len(chosen)
+    ) AS n FROM pair
+)
+SELECT conv_id, other_id, n_turns::INTEGER AS n_turns, n::INTEGER AS n_prompt_turns, {_rendered("chosen[1:n]")} AS prompt,
+    {_rendered("chosen[n + 1:]")} AS chosen, {_rendered("rejected[n + 1:]")} AS rejected,
+    {_mask("chosen[n + 1:]")} AS chosen_mask, {_mask("rejected[n + 1:]")} AS rejected_mask
+FROM cut
+"""

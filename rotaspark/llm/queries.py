@@ -7,7 +7,19 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rotaspark.llm import bpe_codec, line_dedup, mixing, oracles, token_planes
+from rotaspark.llm import (
+    bpe_codec,
+    license_scan,
+    line_dedup,
+    mixing,
+    ngram_join,
+    oracles,
+    preferences,
+    quality_rules,
+    token_planes,
+    toxicity,
+    winnowing,
+)
 from rotaspark.llm.common import new_path, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -19,10 +31,36 @@ def op1_token_planes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_planes.document_digests(spark, path)
 
 
+def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = quality_rules.judged(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
 def op3_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_codec.codec_digests(table(spark, sf_dir, "documents"))
 
 
+def op4_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.similarity_classes(table(spark, sf_dir, "documents"))
+
+
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.score(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
+
+
+def op6_preference_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pairs = preferences.format_pairs(preferences.conversation_pairs(table(spark, sf_dir, "conversations")))
+    joined = lambda side: F.array_join(F.transform(side, lambda s: s["text"]), "")
+    run = lambda s: F.concat(F.when(s["train"], "1x").otherwise("0x"), F.length(s["text"]))
+    mask = lambda side: F.array_join(F.transform(side, run), " ")
+    return pairs.select(
+        "conv_id", "other_id", "n_turns", "n_prompt_turns", "prompt",
+        joined("chosen").alias("chosen"), joined("rejected").alias("rejected"),
+        mask("chosen").alias("chosen_mask"), mask("rejected").alias("rejected_mask"),
+    )
+
+
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = line_dedup.dedup_lines(table(spark, sf_dir, "documents"))
     digest = F.sha2(F.encode(F.coalesce("text", F.lit("")), "UTF-8"), 256)
@@ -35,6 +73,14 @@ def op8_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op9_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return winnowing.edited_likeness(table(spark, sf_dir, "documents"))
+
+
+def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan_licenses(table(spark, sf_dir, "documents"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -42,9 +88,25 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    named = [op1_token_planes, op3_bpe_codec, op7_line_dedup, op8_source_mix]
+    named = [
+        op1_token_planes,
+        op2_quality_rules,
+        op3_bpe_codec,
+        op4_ngram_join,
+        op5_toxicity,
+        op6_preference_format,
+        op7_line_dedup,
+        op8_source_mix,
+        op9_winnowing,
+        op10_license_scan,
+        pipeline,
+    ]
     return {f.__name__: f for f in named}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_line_dedup": oracles.LINE_DEDUP}
+    return {
+        "op2_quality_rules": oracles.QUALITY,
+        "op6_preference_format": oracles.PREFERENCES,
+        "op7_line_dedup": oracles.LINE_DEDUP,
+    }
