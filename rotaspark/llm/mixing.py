@@ -3,7 +3,8 @@
 Every source is one flow. Its documents are shuffled by a hash, and document copies get the virtual finish time
 `words of the source up to and with this copy / target of the source`. All copies are put in the order of their
 finish times and taken until the total budget is reached, so all sources reach their targets at about time 1.
-A second pass over a source follows its first; there is no third.
+A second pass over a source follows its first; there is no third. A copy that lies more beyond its source's target than
+below it does not queue: what a very long document leaves of the budget is not given to the other sources.
 """
 
 from __future__ import annotations
@@ -74,18 +75,21 @@ def mixture(docs: DataFrame, seed: int = 17, weights=WEIGHTS, share: float = BUD
         finish = (F.col("cum") + F.col("source_size") * n) / F.col("target")
         return F.struct(finish.alias("finish"), F.col("key").alias("key"), F.lit(n).alias("pass"), "h", "doc_id", "size")
 
-    real = timed.where(F.col("size") > 0)
-    copies = real.select(F.explode(F.array(*map(place, range(passes)))).alias("p"), (F.col("size") * F.col("n_rows")).alias("words"))
+    words = F.col("size") * F.col("n_rows")
+    queues = lambda n: (F.col("size") > 0) & (2 * (F.col("cum") + F.col("source_size") * n) - words <= 2 * F.col("target"))
+    places = F.filter(F.array(*[F.when(queues(n), place(n)) for n in range(passes)]), lambda p: p.isNotNull())
+    copies = timed.select(F.explode(places).alias("p"), words.alias("words"))
     tick = F.least(F.floor(F.col("p.finish") * _TICKS), F.lit(4 * _TICKS))
     copies = copies.withColumn("tick", tick)
     sums = copies.groupBy("tick").agg(F.sum("words").alias("words"))
     upto = Window.orderBy("tick").rowsBetween(Window.unboundedPreceding, 0)
-    sums = sums.select("tick", "words", F.sum("words").over(upto).alias("upto"), (F.sum("words").over(Window.partitionBy()) * (share / passes)).alias("budget"))
-    over = sums.where(F.col("upto") > F.col("budget")).orderBy("tick").first()
+    sums = sums.select("tick", "words", F.sum("words").over(upto).alias("upto"))
+    budget = (totals.agg(F.sum("words")).first()[0] or 0) * share
+    over = sums.where(F.col("upto") > budget).orderBy("tick").first()
     if over is None:
-        taken = F.lit(0) * F.col("size")
+        taken = sum((F.when(queues(n), F.col("size")).otherwise(0) for n in range(passes)), F.lit(0))
     else:
-        room = over["budget"] - (over["upto"] - over["words"])
+        room = budget - (over["upto"] - over["words"])
         last = copies.where(F.col("tick") == over["tick"])
         last = last.withColumn("run", F.sum("words").over(Window.orderBy("p").rowsBetween(Window.unboundedPreceding, 0)))
         cut = last.where(F.col("run") <= room).agg(F.max("p").alias("p")).first()["p"]
@@ -98,7 +102,7 @@ def mixture(docs: DataFrame, seed: int = 17, weights=WEIGHTS, share: float = BUD
             if cut is not None:
                 edge = F.struct(*[F.lit(cut[k]).cast(ty).alias(k) for k, ty in _PLACE])
                 inside = inside | ((t == n_ticks) & (at <= edge))
-            taken = taken + F.when((F.col("size") > 0) & inside, F.col("size")).otherwise(F.lit(0))
+            taken = taken + F.when(queues(n) & inside, F.col("size")).otherwise(F.lit(0))
     return timed.select("doc_id", "mark", "key", "n_rows", "size", "source_size", "target", taken.cast("long").alias("taken"))
 
 
