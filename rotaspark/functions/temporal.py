@@ -89,7 +89,7 @@ def time_of_day_seconds(c: Column) -> Column:
 
 def day_fraction_seconds(c: Column) -> Column:
     """FN-08 for a numeric cell: fraction of a day, rounded half to even."""
-    seconds = F.bround(c.cast("double") * 86400).cast("int")
+    seconds = F.bround(c.cast("double") * 86400).try_cast("int")
     return F.when((seconds >= 0) & (seconds < 86400), seconds)
 
 
@@ -130,8 +130,12 @@ def filename_date(name: Column) -> Column:
 
 
 def add_seconds(ts: Column, seconds: Column) -> Column:
-    """FN-29: `ts` moved by whole seconds."""
-    return ts + F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), seconds.cast("decimal(18,6)"))
+    """FN-29: `ts` moved by seconds; NULL where that leaves the years 1 to 9999."""
+    sane = F.when(F.abs(seconds) < F.lit(400_000_000_000), seconds)
+    days = F.floor(sane / F.lit(86_400)).cast("int")
+    rest = F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), F.pmod(sane, F.lit(86_400)).cast("decimal(18,6)"))
+    moved = ts + F.make_dt_interval(days) + rest
+    return F.when(F.year(moved).between(1, 9999), moved)
 
 
 def overnight_end(start: Column, end: Column) -> Column:

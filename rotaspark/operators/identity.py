@@ -36,7 +36,7 @@ def valid_ids(roster: DataFrame) -> DataFrame:
 
 def unique_names(roster: DataFrame) -> DataFrame:
     """JN-02: folded names held by exactly one valid row."""
-    row = F.struct("employment_status", "end_date", "source_row")
+    row = F.struct("employment_status", "end_date", "source_row", "source_key")
     return (
         roster.filter("valid")
         .withColumn("name_key", fold_name(F.col("agent_name")))
@@ -57,7 +57,7 @@ def resolve_agents(
     day: str = "business_date",
     spread_by: Sequence[str] = ("source_row",),
 ) -> DataFrame:
-    """JN-01: adds roster_client_id, scope_match (`id`, `name`, `none`) and roster_row.
+    """JN-01: adds roster_client_id, scope_match (`id`, `name`, `none`), roster_key and roster_row.
 
     An id known to the roster settles the match even when it is not eligible on
     the day. Only an unknown id falls back to a unique name, and keeps the
@@ -68,12 +68,14 @@ def resolve_agents(
         F.col("employment_status").alias("_id_status"),
         F.col("end_date").alias("_id_end"),
         F.col("source_row").alias("_id_row"),
+        F.col("source_key").alias("_id_source"),
     )
     by_name = unique_names(roster).select(
         F.col("name_key").alias("_name"),
         F.col("employment_status").alias("_name_status"),
         F.col("end_date").alias("_name_end"),
         F.col("source_row").alias("_name_row"),
+        F.col("source_key").alias("_name_source"),
     )
     joined = facts.withColumn("_id_key", spread_nulls(F.col(agent_id), *spread_by)).join(
         by_id, F.col("_id_key") == F.col("_id"), "left"
@@ -97,9 +99,10 @@ def resolve_agents(
     return (
         resolved.withColumn("roster_client_id", F.when(found, F.col(agent_id)))
         .withColumn("roster_row", F.when(found, F.coalesce("_id_row", "_name_row")))
+        .withColumn("roster_key", F.when(found, F.coalesce("_id_source", "_name_source")))
         .drop(
-            "_id_key", "_id", "_id_status", "_id_end", "_id_row",
-            "_name_key", "_name", "_name_status", "_name_end", "_name_row",
+            "_id_key", "_id", "_id_status", "_id_end", "_id_row", "_id_source",
+            "_name_key", "_name", "_name_status", "_name_end", "_name_row", "_name_source",
         )
     )
 

@@ -30,10 +30,10 @@ def row_findings(df: DataFrame, severity: Mapping[str, str] | str, codes: str =
     else:
         table = F.create_map(*[F.lit(x) for pair in severity.items() for x in pair])
         level = F.coalesce(F.try_element_at(table, F.col("issue_code")), F.lit("warning"))
-    where = F.concat(F.lit("row "), F.coalesce(F.col("source_row").cast("string"), F.lit("?")))
+    where = F.concat(F.lit("source row "), F.coalesce(F.col("source_row").cast("string"), F.lit("unknown")))
     return base.select(
         "issue_code", level.alias("severity"), "source_key", "source_row", "source_column",
-        F.concat(where, F.lit(" requires review for "), F.col("issue_code")).alias("details"),
+        F.concat_ws(": ", where, F.lower(F.replace(F.col("issue_code"), F.lit("_"), F.lit(" ")))).alias("details"),
     )
 
 
@@ -66,19 +66,19 @@ def counted_findings(counters: DataFrame, rules: Mapping[str, tuple[str, str, st
 
 # Finding codes of the counted checks.
 STATUS_COUNTERS = {
-    "rejected_rows": ("AGENT_STATUS_REJECTED_ROWS", "warning", "rows lacked valid row-level evidence"),
-    "outside_rows": ("AGENT_STATUS_OUTSIDE_ROSTER_ROWS", "info", "rows were outside the effective roster"),
-    "unmapped_rows": ("AGENT_STATUS_UNMAPPED_LABELS", "warning", "rows used the fallback classifier"),
+    "rejected_rows": ("AGENT_STATUS_REJECTED_ROWS", "warning", "status rows could not be read"),
+    "outside_rows": ("AGENT_STATUS_OUTSIDE_ROSTER_ROWS", "info", "status rows belong to nobody on the roster that day"),
+    "unmapped_rows": ("AGENT_STATUS_UNMAPPED_LABELS", "warning", "status rows have a label without a rule"),
 }
 LILO_COUNTERS = {
-    "rejected_rows": ("LILO_REJECTED_ROWS", "warning", "rows lacked valid row-level evidence"),
-    "outside_rows": ("LILO_OUTSIDE_ROSTER_ROWS", "info", "rows were outside the effective roster"),
+    "rejected_rows": ("LILO_REJECTED_ROWS", "warning", "log-in rows could not be read"),
+    "outside_rows": ("LILO_OUTSIDE_ROSTER_ROWS", "info", "log-in rows belong to nobody on the roster that day"),
 }
 CALL_COUNTERS = {
-    "rejected_rows": ("CALL_REJECTED_ROWS", "warning", "rows had no valid call start"),
-    "outside_rows": ("CALL_OUTSIDE_SCOPE_ROWS", "info", "rows matched neither roster nor mapped queue"),
-    "unmapped_rows": ("CALL_UNMAPPED_AGENT_ROWS", "info", "roster rows had no mapped queue"),
-    "degraded_rows": ("CALL_DEGRADED_ROWS", "warning", "rows lacked service fields or valid durations"),
+    "rejected_rows": ("CALL_REJECTED_ROWS", "warning", "calls start at no readable time"),
+    "outside_rows": ("CALL_OUTSIDE_SCOPE_ROWS", "info", "calls belong to no roster agent and no known queue"),
+    "unmapped_rows": ("CALL_UNMAPPED_AGENT_ROWS", "info", "calls of roster agents came through an unknown queue"),
+    "degraded_rows": ("CALL_DEGRADED_ROWS", "warning", "calls miss a service field or a usable duration"),
 }
 
 

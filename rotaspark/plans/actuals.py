@@ -73,7 +73,7 @@ def parse_status(raw: DataFrame, roster: DataFrame, policy: StatusPolicy) -> Dat
         "lane",
         F.when(~whole, "invalid").when(F.col("scope_match") == "none", "outside").otherwise("accepted"),
     )
-    return classify_status(lanes, policy).drop("roster_row")
+    return classify_status(lanes, policy).drop("roster_row", "roster_key")
 
 
 def lilo_date_header(columns: list[str]) -> str | None:
@@ -112,7 +112,7 @@ def parse_lilo(raw: DataFrame, roster: DataFrame) -> DataFrame:
         F.when(F.col("extract_date").isNull(), "invalid")
         .when(F.col("scope_match") == "none", "outside")
         .otherwise("accepted"),
-    ).drop("roster_row")
+    ).drop("roster_row", "roster_key")
 
 
 def accepted(lanes: DataFrame) -> DataFrame:

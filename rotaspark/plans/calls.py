@@ -125,7 +125,7 @@ def parse_calls(raw: DataFrame, roster: DataFrame, mapping: DataFrame) -> DataFr
             F.col("shared_call_reference"), F.col("call_reference_number"), F.col("call_id"), F.col("call_key")
         ),
     )
-    return rows.drop("_end", "roster_row", *[f"_{n}" for n in _DURATIONS], *[f"_has_{n}" for n in _DURATIONS])
+    return rows.drop("_end", "roster_row", "roster_key", *[f"_{n}" for n in _DURATIONS], *[f"_has_{n}" for n in _DURATIONS])
 
 
 def accepted(lanes: DataFrame) -> DataFrame:

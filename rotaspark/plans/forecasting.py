@@ -106,29 +106,46 @@ def select_model(scores: DataFrame, by: Sequence[str] = ()) -> DataFrame:
 
 
 def rolling_origin(
-    history: DataFrame, keys: Sequence[str], origins: Sequence, horizon_days: int = 7, value: str = "actual_volume"
+    history: DataFrame,
+    keys: Sequence[str],
+    origins: Sequence,
+    horizon_days: int = 7,
+    value: str = "actual_volume",
+    window_days: int = 7,
+    season_days: int = 7,
 ) -> DataFrame:
     """DX-04: errors of the baselines at each origin, over the days after it.
 
     A model at an origin sees only days before it. Origins are a short
-    driver-side list: each history row is sent to the origins it may inform or
-    test, within the horizon and the equally long training window.
+    driver-side list, and a row is sent only to those it may inform or test.
+    The mean is taken over `window_days`. The seasonal value of a test day is
+    the latest day before the origin that lies whole seasons back.
     """
-    dates = F.array(*[F.lit(o).cast("date") for o in origins])
     day = F.col("business_date")
+    seasons = -(-horizon_days // season_days)
+    back = max(window_days, seasons * season_days)
+    dates = F.filter(
+        F.array(*[F.lit(o).cast("date") for o in origins]),
+        lambda o: F.datediff(day, o).between(-back, horizon_days - 1),
+    )
     aged = history.select(
         *keys, "business_date", "interval_start", F.col(value).cast("double").alias("actual_volume"),
         F.explode(dates).alias("origin"),
     ).withColumn("_age", F.datediff(day, F.col("origin")))
     clock = F.date_format("interval_start", "HH:mm")
-    train = aged.filter((F.col("_age") < 0) & (F.col("_age") >= -horizon_days)).withColumn("_clock", clock)
-    test = aged.filter((F.col("_age") >= 0) & (F.col("_age") < horizon_days)).withColumn("_clock", clock)
+    aged = aged.withColumn("_clock", clock)
+    train = aged.filter((F.col("_age") < 0) & (F.col("_age") >= -window_days))
+    test = aged.filter(F.col("_age") >= 0)
     mean = train.groupBy("origin", *keys, "_clock").agg(F.avg("actual_volume").alias("forecast_volume"))
     mean = mean.withColumn("model_id", F.lit("recent_mean"))
     scored_mean = test.join(mean, ["origin", *keys, "_clock"])
-    naive = train.select(
-        "origin", *keys, "_clock", F.date_add("business_date", horizon_days).alias("business_date"),
-        F.col("actual_volume").alias("forecast_volume"), F.lit("seasonal_naive").alias("model_id"),
+    last_season = aged.filter((F.col("_age") < 0) & (F.col("_age") >= -season_days))
+    ahead = F.explode(F.sequence(F.lit(season_days), F.lit(seasons * season_days), F.lit(season_days)))
+    naive = last_season.select(
+        "origin", *keys, "_clock", "business_date", F.col("actual_volume").alias("forecast_volume"), ahead.alias("_ahead")
+    ).select(
+        "origin", *keys, "_clock", F.date_add("business_date", F.col("_ahead")).alias("business_date"), "forecast_volume",
+        F.lit("seasonal_naive").alias("model_id"),
     )
     scored_naive = test.join(naive, ["origin", *keys, "_clock", "business_date"])
     columns = ["origin", *keys, "business_date", "interval_start", "model_id", "forecast_volume", "actual_volume"]

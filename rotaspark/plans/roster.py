@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from rotaspark.functions import rules
 from rotaspark.functions.temporal import parse_date, parse_header_date, time_of_day_seconds
 from rotaspark.functions.text import clean, id_text, keyword, normalize_id, number
-from rotaspark.operators.identity import resolve_agents, valid_ids
+from rotaspark.operators.identity import resolve_agents, spread_nulls, valid_ids
 from rotaspark.operators.latest import keep_first, schedule_precedence
 from rotaspark.operators.quality import row_findings
 
@@ -101,7 +101,8 @@ def mark_duplicates(rows: DataFrame) -> DataFrame:
         .agg(F.count("*").alias("_copies"), F.max(F.when(F.col("valid"), order)).alias("_winner"))
         .filter("_copies > 1")
     )
-    joined = rows.join(repeated, F.col("client_id") == F.col("_dup_id"), "left")
+    spread = rows.withColumn("_spread", spread_nulls(F.col("client_id"), "source_row"))
+    joined = spread.join(repeated, F.col("_spread") == F.col("_dup_id"), "left").drop("_spread")
     duplicate = F.col("_copies").isNotNull()
     wins = (F.col("_winner.source_row") == F.col("source_row")) & (
         F.col("_winner.source_key") == F.col("source_key")
@@ -131,7 +132,8 @@ def _register_frame(raw: DataFrame, roster: DataFrame, kind: str, id_is_text: bo
     base = raw.withColumn("client_id", normalize_id(F.col("client_id"))).withColumn(
         "_raw_end", F.col("end_date")
     )
-    base = base.join(known, F.col("client_id") == F.col("_known"), "left")
+    base = base.withColumn("_spread", spread_nulls(F.col("client_id"), "source_row"))
+    base = base.join(known, F.col("_spread") == F.col("_known"), "left").drop("_spread")
     base = (
         base.withColumn("start_date", parse_date(F.col("start_date")))
         .withColumn("end_date", parse_date(F.col("end_date")))
@@ -232,17 +234,22 @@ def canonical_time_off(time_off: DataFrame) -> DataFrame:
 
 
 def unpivot_schedule(wide: DataFrame, date_columns: Sequence[str]) -> DataFrame:
-    """SET-03: one row per filled cell of the wide schedule, with its column position."""
+    """SET-03: one row per filled cell of the wide schedule, with its column position.
+
+    The position is that of the cell's own file: `header_cells` where files of
+    several headers are united, else the order of the columns.
+    """
     ids = [c for c in ("source_key", "source_row", "source_mtime", "Name", "Data Source IDs") if c in wide.columns]
     table_columns = [c for c in wide.columns if c not in ("source_key", "source_row", "source_mtime")]
-    position = {name: table_columns.index(name) + 1 for name in date_columns}
-    long = wide.unpivot(ids, list(date_columns), "date_text", "raw_assignment")
-    table = F.create_map(*[F.lit(x) for pair in position.items() for x in pair])
+    if "header_cells" not in wide.columns:
+        wide = wide.withColumn("header_cells", F.array(*map(F.lit, table_columns)))
+    long = wide.unpivot([*ids, "header_cells"], list(date_columns), "date_text", "raw_assignment")
     identified = clean(F.col("Name")).isNotNull() | id_text(F.col("Data Source IDs")).isNotNull()
     return (
         long.withColumn("raw_assignment", clean(F.col("raw_assignment")))
         .filter(F.col("raw_assignment").isNotNull() & identified)
-        .withColumn("source_column", F.element_at(table, F.col("date_text")))
+        .withColumn("source_column", F.array_position("header_cells", F.col("date_text")).cast("int"))
+        .drop("header_cells")
         .withColumn("business_date", parse_header_date(F.col("date_text")))
     )
 
@@ -317,12 +324,16 @@ def canonical_roster(roster: DataFrame, cells: DataFrame | None = None) -> DataF
     agents = valid_ids(roster).select(columns)
     if cells is not None:
         named = cells.filter("valid AND in_roster_scope AND scope_match = 'name'").select(
-            "roster_client_id", "roster_row", F.struct("source_key", "source_row", "source_column").alias("_seen")
+            "roster_client_id", F.struct("roster_key", "roster_row").alias("_agent"),
+            F.struct("source_key", "source_row", "source_column").alias("_seen"),
         )
-        first = named.groupBy("roster_client_id").agg(F.min_by("roster_row", "_seen").alias("_row"))
+        first = named.groupBy("roster_client_id").agg(F.min_by("_agent", "_seen").alias("_agent"))
         extra = (
             first.join(agents.select("client_id"), F.col("roster_client_id") == F.col("client_id"), "left_anti")
-            .join(roster.filter("valid").drop("client_id"), F.col("_row") == F.col("source_row"))
+            .join(
+                roster.filter("valid").drop("client_id"),
+                (F.col("_agent.roster_row") == F.col("source_row")) & (F.col("_agent.roster_key") == F.col("source_key")),
+            )
             .withColumn("client_id", F.col("roster_client_id"))
             .select(columns)
         )

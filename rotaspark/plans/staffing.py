@@ -64,7 +64,7 @@ def shrinkage_uplift(required: DataFrame, shrinkage: str | float) -> DataFrame:
 
 
 def quarters(df: DataFrame, start: str, end: str) -> DataFrame:
-    """One row per 15-minute interval touched, with the overlap in minutes."""
+    """One row per 15-minute interval touched, with the overlap in whole seconds."""
     first = quarter_start(F.col(start))
     solid = df.filter(F.col(end) > F.col(start)).withColumn("_first", first)
     grid = solid.withColumn(
@@ -73,7 +73,7 @@ def quarters(df: DataFrame, start: str, end: str) -> DataFrame:
     ).drop("_first")
     lo = F.greatest("interval_start", F.col(start))
     hi = F.least(quarter_end(F.col("interval_start")), F.col(end))
-    return grid.withColumn("overlap_minutes", F.timestamp_diff("SECOND", lo, hi) / F.lit(60.0))
+    return grid.withColumn("overlap_seconds", F.timestamp_diff("SECOND", lo, hi))
 
 
 def staffing_ladder(
@@ -88,47 +88,57 @@ def staffing_ladder(
     Every input is a set of (scope, start, end) pieces of one agent-day:
     shifts, planned time off, absence (late, early, no-show) and
     non-productive time. Each piece is cut to the 15-minute grid where it
-    stands and all kinds are summed in one aggregate; nothing is joined.
+    stands and all kinds are summed in one aggregate; nothing is joined. Sums
+    are whole seconds, so they are exact in any order and divided once.
     """
     parts = {"scheduled": shifts, "time_off": time_off_pieces, "absent": gaps, "idle": idle}
     union: DataFrame | None = None
     for kind, df in parts.items():
         cut = quarters(df.select(scope, "start", "end"), "start", "end").select(
-            scope, "interval_start", F.lit(kind).alias("kind"), "overlap_minutes"
+            scope, "interval_start", F.lit(kind).alias("kind"), "overlap_seconds"
         )
         union = cut if union is None else union.unionByName(cut)
-    fte = lambda kind: F.sum(F.when(F.col("kind") == kind, F.col("overlap_minutes")).otherwise(0.0)) / 15.0
-    sums = union.groupBy(scope, "interval_start").agg(*[fte(kind).alias(f"_{kind}") for kind in parts])
+    seconds = lambda kind: F.sum(F.when(F.col("kind") == kind, F.col("overlap_seconds")).otherwise(F.lit(0).cast("bigint")))
+    sums = union.groupBy(scope, "interval_start").agg(*[seconds(kind).alias(f"_{kind}") for kind in parts])
     available = F.col("_scheduled") - F.col("_time_off")
     present = available - F.col("_absent")
     return sums.select(
         scope,
         F.to_date("interval_start").alias("business_date"),
         "interval_start",
-        F.col("_scheduled").alias("scheduled_fte"),
-        available.alias("available_fte"),
-        present.alias("present_fte"),
-        (present - F.col("_idle")).alias("effective_fte"),
+        (F.col("_scheduled") / F.lit(900.0)).alias("scheduled_fte"),
+        (available / F.lit(900.0)).alias("available_fte"),
+        (present / F.lit(900.0)).alias("present_fte"),
+        ((present - F.col("_idle")) / F.lit(900.0)).alias("effective_fte"),
     )
 
 
 def staffing_gap(ladder: DataFrame, required: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """DX-11: effective minus required FTE; an interval without a requirement keeps an unknown gap."""
+    """DX-11: effective minus required FTE to six digits; an interval without a requirement keeps an unknown gap."""
     need = required.select(*keys, "required_productive_fte")
     return ladder.join(need, list(keys), "left").withColumn(
-        "staffing_gap", F.col("effective_fte") - F.col("required_productive_fte")
+        "staffing_gap", F.round(F.col("effective_fte") - F.col("required_productive_fte"), 6)
     )
 
 
 def coverage_quality(staffing: DataFrame, by: Sequence[str], hours: float = 0.25) -> DataFrame:
-    """DX-12: FTE-hours under and over requirement, and the share of required hours that is met."""
+    """DX-12: FTE-hours under and over requirement, and the share of required hours that is met.
+
+    FTE is summed in millionths, as integers: the sums do not depend on the order
+    of rows, and hours are whole millionths, rounded down.
+    """
     gap = F.col("staffing_gap")
-    under = F.sum(F.greatest(-gap, F.lit(0.0))) * hours
-    need = F.sum(F.when(gap.isNotNull(), F.col("required_productive_fte"))) * hours
-    return staffing.groupBy(*by).agg(
-        under.alias("fte_hours_under"),
-        (F.sum(F.greatest(gap, F.lit(0.0))) * hours).alias("fte_hours_over"),
-        (1 - _ratio(under, need)).alias("coverage_fit"),
+    millionths = lambda c: F.sum(F.round(c * 1e6).cast("bigint"))
+    under = millionths(F.greatest(-gap, F.lit(0.0)))
+    over = millionths(F.greatest(gap, F.lit(0.0)))
+    need = millionths(F.when(gap.isNotNull(), F.col("required_productive_fte")))
+    sums = staffing.groupBy(*by).agg(under.alias("_under"), over.alias("_over"), need.alias("_need"))
+    in_hours = lambda c: F.floor(F.col(c) * F.lit(hours)) / F.lit(1e6)
+    return sums.select(
+        *by,
+        in_hours("_under").alias("fte_hours_under"),
+        in_hours("_over").alias("fte_hours_over"),
+        (1 - _ratio(F.col("_under"), F.col("_need"))).alias("coverage_fit"),
     )
 
 
@@ -137,7 +147,8 @@ def apply_scenarios(baseline: DataFrame, scenarios: Sequence[dict]) -> DataFrame
 
     The scenario list is a driver-side value that travels inside the plan as an
     array literal. Volume is multiplied, AHT is shifted, FTE is added, and the
-    requirement goes through the same workload and uplift formulas.
+    requirement goes through the same workload and uplift formulas. Where the
+    baseline has an effective FTE, the added FTE goes into it and into the gap.
     """
     fields = ("volume_multiplier", "aht_delta_seconds", "additional_fte", "shrinkage")
     rows = [
@@ -153,15 +164,28 @@ def apply_scenarios(baseline: DataFrame, scenarios: Sequence[dict]) -> DataFrame
         .withColumn("scenario_aht_seconds", aht)
         .withColumn("required_productive_fte", volume * aht / 900.0)
         .withColumn("scenario_fte_delta", F.col("_s.additional_fte"))
+        .withColumns(_scenario_supply(baseline, F.col("_s.additional_fte")))
         .withColumn("_shrinkage", F.col("_s.shrinkage"))
     )
     return shrinkage_uplift(out, "_shrinkage").drop("_s", "_shrinkage")
 
 
+def _scenario_supply(baseline: DataFrame, added: Column) -> dict[str, Column]:
+    if "effective_fte" not in baseline.columns:
+        return {}
+    effective = F.col("effective_fte") + added
+    return {
+        "scenario_effective_fte": effective,
+        "scenario_staffing_gap": F.round(effective - F.col("required_productive_fte"), 6),
+    }
+
+
 def decision_outcomes(decisions: DataFrame, intervals: DataFrame, baseline_minutes: int = 60) -> DataFrame:
     """DX-14: service level in the outcome window after a decision, against the window before it.
 
-    Components are summed inside each window before any ratio is taken.
+    Components are summed inside each window before any ratio is taken. Spans
+    and intervals meet by scope and hour; a decision without any interval stays,
+    with unknown measures.
     """
     width = F.make_dt_interval(F.lit(0), F.lit(0), F.col("outcome_window_minutes"))
     before = F.make_dt_interval(F.lit(0), F.lit(0), F.lit(baseline_minutes))
@@ -173,17 +197,19 @@ def decision_outcomes(decisions: DataFrame, intervals: DataFrame, baseline_minut
         F.sum("offered").alias("offered"), F.sum("answered_within_target").alias("answered_within_target")
     )
     met = overlap_join(
-        spans, facts, ["service_scope"], left_span=("_from", "_to"), right_span=("interval_start", "interval_end")
+        spans, facts, ["service_scope"], left_span=("_from", "_to"), right_span=("interval_start", "interval_end"),
+        unit="HOUR",
     )
     after = F.col("interval_start") >= F.col("decided_at")
     earlier = F.col("interval_end") <= F.col("decided_at")
     part = lambda cond, name: F.sum(F.when(cond, F.col(name)))
-    sums = met.groupBy("decision_id", "service_scope").agg(
+    found = met.groupBy("decision_id", "service_scope").agg(
         part(earlier, "offered").cast("bigint").alias("baseline_offered"),
         part(after, "offered").cast("bigint").alias("outcome_offered"),
         part(earlier, "answered_within_target").alias("_b"),
         part(after, "answered_within_target").alias("_a"),
     )
+    sums = decisions.select("decision_id", "service_scope").join(found, ["decision_id", "service_scope"], "left")
     return sums.select(
         "decision_id", "service_scope", "baseline_offered", "outcome_offered",
         _ratio(F.col("_b"), F.col("baseline_offered")).alias("baseline_service_level"),

@@ -25,17 +25,30 @@ class SourceError(ValueError):
     """A source does not meet its file-level contract."""
 
 
-# Files above this size are read in splits when no record spans lines.
-SPLIT_FROM_BYTES = 256 * 1024 * 1024
+def headers_of(spark: SparkSession, paths: Sequence[str], sep: str = ",") -> dict[str, tuple[list[str], bool]]:
+    """Header cells of every file, and whether each record sits on one line; one pass over all files.
+
+    A record may span lines only where a line holds an odd number of quotes. Files
+    without such a line, of any size, are read in splits.
+    """
+    odd = (F.length("value") - F.length(F.replace(F.col("value"), F.lit('"'), F.lit("")))) % 2 == 1
+    at = F.struct(F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("line"))
+    lines = spark.read.text(list(paths)).select(F.col("_metadata.file_path").alias("uri"), at.alias("at"), "value", odd.alias("odd"))
+    found = lines.groupBy("uri").agg(F.min_by("value", "at").alias("header"), F.max("odd").alias("odd"))
+    rows = {r["path"]: r for r in found.select(decoded_path(F.col("uri")).alias("path"), "header", "odd").collect()}
+    out = {}
+    for path in paths:
+        row = rows.get(path) or next((r for p, r in rows.items() if p.split(":", 1)[-1].lstrip("/") == path.split(":", 1)[-1].lstrip("/")), None)
+        if row is None:
+            raise SourceError(f"empty extract: {path}")
+        cells = next(csv.reader(io.StringIO(row["header"].lstrip("\ufeff")), delimiter=sep))
+        out[path] = cells, not row["odd"]
+    return out
 
 
 def header_of(spark: SparkSession, path: str, sep: str = ",") -> list[str]:
     """The first line of one file, as header cells."""
-    first = spark.read.text(path).limit(1).collect()
-    if not first:
-        raise SourceError(f"empty extract: {path}")
-    line = first[0][0].lstrip("﻿")
-    return next(csv.reader(io.StringIO(line), delimiter=sep))
+    return headers_of(spark, [path], sep)[path][0]
 
 
 def decoded_path(uri: Column) -> Column:
@@ -43,16 +56,6 @@ def decoded_path(uri: Column) -> Column:
     return F.url_decode(F.replace(uri, F.lit("+"), F.lit("%2B")))
 
 
-def _splittable(spark: SparkSession, path: str) -> bool:
-    """Whether every record of a large file sits on one line (even quote count per line)."""
-    size = spark.read.format("binaryFile").load(path).select(F.max("length")).first()[0]
-    if size < SPLIT_FROM_BYTES:
-        return False
-    lines = spark.read.text(path)
-    odd = (F.length("value") - F.length(F.replace(F.col("value"), F.lit('"'), F.lit("")))) % 2 == 1
-    return not lines.filter(odd).limit(1).count()
-
-
 def with_source_rows(df: DataFrame, first_row: int = 2) -> DataFrame:
     """SRC-16: row number inside each file, without sorting or gathering a file.
 
@@ -84,15 +87,19 @@ def read_delimited(
     encoding: str = "UTF-8",
     rename: Callable[[list[str]], list[str]] = list,
     check: Callable[[list[str]], None] = lambda header: None,
+    keep_header: bool = False,
 ) -> DataFrame:
-    """SRC-03..06: files with the same header are scanned together and united by name (SET-01)."""
+    """SRC-03..06: files with the same header are scanned together and united by name (SET-01).
+
+    keep_header adds `header_cells`, the file's own column names in order.
+    """
     if encoding.upper() not in ("UTF-8", "UTF8"):
         spark.conf.set("spark.sql.legacy.javaCharsets", "true")
     groups: dict[tuple[tuple[str, ...], bool], list[str]] = defaultdict(list)
-    for path in paths:
-        header = rename(header_of(spark, path, sep))
+    for path, (cells, lines) in headers_of(spark, paths, sep).items() if paths else ():
+        header = rename(cells)
         check(header)
-        groups[(tuple(header), _splittable(spark, path))].append(path)
+        groups[(tuple(header), lines)].append(path)
     frames = []
     for (header, lines), members in groups.items():
         names = [name if name else f"_blank_{i}" for i, name in enumerate(header)]
@@ -112,7 +119,8 @@ def read_delimited(
             F.col("_metadata.file_modification_time").alias("source_mtime"),
             F.col("_metadata.file_block_start").alias("_split"),
         )
-        frames.append(with_source_rows(placed))
+        rows = with_source_rows(placed)
+        frames.append(rows.withColumn("header_cells", F.array(*map(F.lit, names))) if keep_header else rows)
     if not frames:
         raise SourceError("no files were given")
     out = frames[0]
@@ -179,7 +187,9 @@ def read_schedule(spark: SparkSession, root: str, paths: Sequence[str]) -> tuple
             raise SourceError("a schedule repeats a business date")
         dates.update(dict.fromkeys(named))
 
-    wide = read_delimited(spark, root, paths, sep="\t", encoding="windows-1252", rename=tidy, check=check)
+    wide = read_delimited(
+        spark, root, paths, sep="\t", encoding="windows-1252", rename=tidy, check=check, keep_header=True
+    )
     blank = [c for c in wide.columns if c.startswith("_blank_")]
     if blank:
         filled = F.coalesce(*[F.nullif(strip(F.col(c)), F.lit("")) for c in blank])

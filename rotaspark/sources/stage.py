@@ -15,14 +15,15 @@ _FALLBACK: dict[str, str] = {}
 def stage_root(spark: SparkSession) -> str:
     """A fresh folder under the cluster's shared checkpoint folder, one per application.
 
-    Only where no such folder is configured, as in local tests, a temporary one is made.
+    A session on one machine may do without that setting and gets a temporary
+    folder. Executors of a cluster would each write to their own disk, so there
+    the setting is required.
     """
     app = spark.sparkContext.applicationId
     if app not in _FALLBACK:
-        if spark.conf.get("spark.checkpoint.dir", None):
-            base = checkpoint_root(spark)
-        else:
-            base = tempfile.mkdtemp(prefix="rotaspark-")
+        one_machine = spark.sparkContext.master.split("[")[0] == "local"
+        unset = not spark.conf.get("spark.checkpoint.dir", None)
+        base = tempfile.mkdtemp(prefix="rotaspark-") if one_machine and unset else checkpoint_root(spark)
         _FALLBACK[app] = f"{base.rstrip('/')}/stages-{uuid.uuid4().hex}"
     return _FALLBACK[app]
 

@@ -14,10 +14,9 @@ from pyspark.sql.streaming import StreamingQuery
 
 from rotaspark.operators.bounded import MAX_INTERVALS
 from rotaspark.operators.latest import newest_export
-from rotaspark.plans.calls import with_service_measures
+from rotaspark.plans.calls import INTERVAL_KEYS, interval_rows
 from rotaspark.policy import ServiceRules
 from rotaspark.schemas import SERVICE_MEASURES
-from rotaspark.functions.text import interval_language
 
 
 def dedup_stream(legs: DataFrame, lateness: str = "2 days") -> DataFrame:
@@ -27,46 +26,45 @@ def dedup_stream(legs: DataFrame, lateness: str = "2 days") -> DataFrame:
 
 
 def interval_stream(legs: DataFrame, rules: ServiceRules, lateness: str = "2 days", timed: bool = False) -> DataFrame:
-    """SS-02: tumbling 15-minute service components; `timed` legs already carry a watermark."""
-    rows = legs.filter("service_eligible")
+    """SS-02: tumbling 15-minute service components under the keys of the batch table.
+
+    `timed` legs already carry a watermark.
+    """
+    rows = interval_rows(legs, rules).drop("interval_start")
     if not timed:
         rows = rows.withColumn("event_time", F.col("call_start").cast("timestamp")).withWatermark(
             "event_time", lateness
         )
-    rows = rows.withColumn("language", interval_language(F.col("service_scope"), F.col("language")))
-    rows = with_service_measures(rows, rules)
-    sums = rows.groupBy(
-        F.window("event_time", "15 minutes").alias("w"), "service_scope", "comparison_scope", "queue", "language"
-    ).agg(*[F.sum(f"m_{m}").alias(m) for m in SERVICE_MEASURES])
+    sums = rows.groupBy(F.window("event_time", "15 minutes").alias("w"), "business_date", *INTERVAL_KEYS[2:]).agg(*[F.sum(f"m_{m}").alias(m) for m in SERVICE_MEASURES])
     return sums.select(
+        "business_date",
         F.col("w.start").cast("timestamp_ntz").alias("interval_start"),
         F.col("w.end").cast("timestamp_ntz").alias("interval_end"),
-        "service_scope", "comparison_scope", "queue", "language", *SERVICE_MEASURES,
+        *INTERVAL_KEYS[2:], *SERVICE_MEASURES,
     )
 
 
 def merge_newest(spark: SparkSession, path: str) -> Callable[[DataFrame, int], None]:
     """SS-01: `foreachBatch` sink that keeps the newest export of each leg per date.
 
-    Only the dates of the batch are read and rewritten. The new version goes to
-    a folder of its own (`v=<batch id>`), so a batch that is retried after a
-    failure writes the same folder again and readers never see half a date.
+    Only the dates of the batch are read and rewritten: they are few, and go into
+    the scan as partition filter. The new version goes to a folder of its own
+    (`v=<batch id>`), so a batch that is retried after a failure writes the same
+    folder again and readers never see half a date.
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
         target = f"{path}/v={batch_id}"
-        versions = _versions(spark, path, batch_id)
-        rows = batch
-        if versions is not None:
-            days = batch.select("business_date").distinct()
-            rows = versions.join(days, "business_date", "left_semi").unionByName(batch)
+        days = [r[0] for r in batch.select("business_date").distinct().collect()]
+        versions = _versions(spark, path, batch_id, days)
+        rows = batch if versions is None else versions.unionByName(batch)
         newest_export(rows, ["call_key"]).write.mode("overwrite").partitionBy("business_date").parquet(target)
 
     return write
 
 
-def _versions(spark: SparkSession, path: str, before: int | None = None) -> DataFrame | None:
-    """Per date, the rows of its highest version folder."""
+def _versions(spark: SparkSession, path: str, before: int | None = None, days: list | None = None) -> DataFrame | None:
+    """Per date, the rows of its highest version folder; `days` limits the folders read."""
     from pyspark.errors import AnalysisException
 
     try:
@@ -77,7 +75,9 @@ def _versions(spark: SparkSession, path: str, before: int | None = None) -> Data
         raise
     if before is not None:
         rows = rows.filter(F.col("v") < before)
-    # Both columns are partition values: this is answered from the folder listing.
+    if days is not None:
+        known = F.col("business_date").isin([d for d in days if d is not None])
+        rows = rows.filter(known | F.col("business_date").isNull() if None in days else known)
     top = rows.groupBy("business_date").agg(F.max("v").alias("v"))
     return rows.join(top, ["business_date", "v"], "left_semi").drop("v")
 
@@ -105,14 +105,15 @@ def reevaluate(
 ) -> Callable[[DataFrame, int], None]:
     """SS-04: per micro-batch, re-judge the dates that received evidence.
 
-    `model` gets the touched dates and returns their agent-days under the
+    `model` gets the touched dates, with the dates before and after them whose
+    overnight shifts share the evidence, and returns their agent-days under the
     current evaluation time; a provisional day becomes complete this way.
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
         days = batch.select(F.col("extract_date").alias("business_date")).distinct()
         near = days.select(
-            F.explode(F.array("business_date", F.date_sub("business_date", 1))).alias("business_date")
+            F.explode(F.array(F.date_sub("business_date", 1), "business_date", F.date_add("business_date", 1))).alias("business_date")
         ).distinct()
         sink(model(near), batch_id)
 
@@ -120,9 +121,12 @@ def reevaluate(
 
 
 def split_overlong_days(intervals: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """SS-05: intervals of days within the bound, and a count per day beyond it."""
+    """SS-05: the intervals of days within the bound, and those of the days beyond it with the day's count.
+
+    Every row is in one of the two.
+    """
     size = intervals.select("business_date", "interval_start").distinct().groupBy("business_date").agg(
         F.count("*").alias("interval_count")
     )
     over = size.filter(F.col("interval_count") > MAX_INTERVALS)
-    return intervals.join(over, "business_date", "left_anti"), over
+    return intervals.join(over, "business_date", "left_anti"), intervals.join(over, "business_date")

@@ -59,13 +59,13 @@ def manifest_diff(spark, sf):
 
 
 @query(
-    f"""SELECT DISTINCT strftime(unnest(generate_series(a.date_from - 1, a.date_to + 1, INTERVAL 1 DAY)), '%Y-%m-%d') AS business_date
-    FROM {_A} a JOIN ({_DIFF}) d USING (source_key) WHERE d.change <> 'same'"""
+    f"""SELECT DISTINCT strftime(unnest(generate_series(m.date_from - 1, m.date_to + 1, INTERVAL 1 DAY)), '%Y-%m-%d') AS business_date
+    FROM (SELECT * FROM {_A} UNION ALL SELECT * FROM {_C}) m JOIN ({_DIFF}) d USING (source_key) WHERE d.change <> 'same'"""
 )
 def affected_dates(spark, sf):
-    """GN-08."""
+    """GN-08: the old and the new date range of every source that changed."""
     active, diff = _diff(spark, sf)
-    return refresh.affected_dates(active, diff)
+    return refresh.affected_dates(active, _call_files(spark, sf, date(2024, 1, 3), date(2024, 1, 31)), diff)
 
 
 def _history(spark, sf):
@@ -98,13 +98,13 @@ _HISTORY = """(SELECT day(ts)::BIGINT AS g, event_type AS k, count(*)::BIGINT AS
 @query(
     f"""SELECT 'call_by_call' AS source_type, k AS source_key, g AS generation_id, n AS row_count FROM (
       SELECT *, row_number() OVER (PARTITION BY k ORDER BY g DESC) AS r FROM {_HISTORY} WHERE g IN (
-        WITH RECURSIVE chain(g) AS (SELECT 30 UNION ALL SELECT CASE WHEN g % 5 = 0 THEN g - 2 ELSE g - 1 END FROM chain WHERE g > 1) SELECT g FROM chain))
+        WITH RECURSIVE chain(g) AS (SELECT max(g) FROM {_HISTORY} UNION ALL SELECT CASE WHEN g % 5 = 0 THEN g - 2 ELSE g - 1 END FROM chain WHERE g > 1) SELECT g FROM chain))
     WHERE r = 1 AND n % 7 <> 0"""
 )
 def lineage_latest(spark, sf):
     """GN-05 / WN-07 / SET-04."""
     manifest, generations, _ = _history(spark, sf)
-    chain = refresh.lineage(generations, 30)
+    chain = refresh.lineage(generations, generations.agg(F.max("generation_id")).first()[0])
     return refresh.lineage_sources(manifest, chain).select("source_type", "source_key", "generation_id", "row_count")
 
 
@@ -424,11 +424,12 @@ _PEOPLE = """(SELECT client_id AS c, lob FROM by_id UNION ALL SELECT x.roster_cl
 _PIECES = """(SELECT c, s, e, 'scheduled' AS kind FROM shifts WHERE assignment_type <> 'Planned absence'
     UNION ALL SELECT o.c, o.ps, o.pe, 'time_off' FROM overlay o JOIN shifts h ON h.c = o.c AND h.bd = o.bd WHERE h.assignment_type <> 'Planned absence'
     UNION ALL SELECT roster_client_id, gap_start, gap_end, CASE WHEN gap_type IN ('LATE', 'EARLY_LEAVE', 'NO_SHOW') THEN 'absent' ELSE 'idle' END FROM gaps)"""
-_GRID = f"""(SELECT lob, kind, q, (epoch(least(e, q + INTERVAL 15 MINUTE)) - epoch(greatest(s, q))) / 60.0 AS m FROM (
+_GRID = f"""(SELECT lob, kind, q, date_diff('second', greatest(s, q), least(e, q + INTERVAL 15 MINUTE)) AS m FROM (
       SELECT p.*, lob, unnest(generate_series(time_bucket(INTERVAL 15 MINUTE, s), e - INTERVAL 1 MICROSECOND, INTERVAL 15 MINUTE)) AS q FROM {_PIECES} p JOIN {_PEOPLE} x USING (c)))"""
-_fte = lambda k: f"coalesce(sum(m) FILTER (WHERE kind = '{k}'), 0) / 15.0"
-_LADDER = f"""(SELECT lob AS service_scope, q AS interval_start, {_fte('scheduled')} AS scheduled_fte, {_fte('scheduled')} - {_fte('time_off')} AS available_fte,
-    {_fte('scheduled')} - {_fte('time_off')} - {_fte('absent')} AS present_fte, {_fte('scheduled')} - {_fte('time_off')} - {_fte('absent')} - {_fte('idle')} AS effective_fte FROM {_GRID} GROUP BY 1, 2)"""
+_sec = lambda k: f"coalesce(sum(m) FILTER (WHERE kind = '{k}'), 0)::BIGINT"
+_fte = lambda *kinds: f"({' - '.join(map(_sec, kinds))})::DOUBLE / 900.0::DOUBLE"
+_LADDER = f"""(SELECT lob AS service_scope, q AS interval_start, {_fte('scheduled')} AS scheduled_fte, {_fte('scheduled', 'time_off')} AS available_fte,
+    {_fte('scheduled', 'time_off', 'absent')} AS present_fte, {_fte('scheduled', 'time_off', 'absent', 'idle')} AS effective_fte FROM {_GRID} GROUP BY 1, 2)"""
 
 
 @query(
@@ -452,7 +453,7 @@ def _gapped(spark, sf):
 @query(
     f"""SELECT service_scope, {iso('interval_start')} AS interval_start, round(g, 6) AS staffing_gap, round(CASE WHEN g >= 0 THEN 0.0 ELSE least(abs(g) / 5.0, 1.0) END, 6) AS risk_score,
     CASE WHEN g >= 0 THEN 'safe' WHEN least(abs(g) / 5.0, 1.0) >= 0.6 THEN 'critical' WHEN least(abs(g) / 5.0, 1.0) >= 0.3 THEN 'risk' ELSE 'watch' END AS severity
-    FROM (SELECT *, effective_fte - (scheduled_fte * 0.5 + 1.0) AS g FROM {_LADDER})"""
+    FROM (SELECT *, round(effective_fte - (scheduled_fte * 0.5::DOUBLE + 1.0::DOUBLE), 6) AS g FROM {_LADDER})"""
 )
 def risk_table(spark, sf):
     """PR-10 / FN-33."""
@@ -461,8 +462,9 @@ def risk_table(spark, sf):
 
 
 @query(
-    f"""SELECT service_scope, round(sum(greatest(-g, 0)) * 0.25, 6) AS fte_hours_under, round(sum(greatest(g, 0)) * 0.25, 6) AS fte_hours_over, round(1 - sum(greatest(-g, 0)) / nullif(sum(need), 0), 6) AS coverage_fit
-    FROM (SELECT *, scheduled_fte * 0.5 + 1.0 AS need, effective_fte - (scheduled_fte * 0.5 + 1.0) AS g FROM {_LADDER}) GROUP BY 1"""
+    f"""SELECT service_scope, floor(sum(round(greatest(-g, 0) * 1e6)::BIGINT) * 0.25::DOUBLE) / 1e6 AS fte_hours_under, floor(sum(round(greatest(g, 0) * 1e6)::BIGINT) * 0.25::DOUBLE) / 1e6 AS fte_hours_over,
+    round(1 - sum(round(greatest(-g, 0) * 1e6)::BIGINT)::DOUBLE / nullif(sum(round(need * 1e6)::BIGINT), 0)::DOUBLE, 6) AS coverage_fit
+    FROM (SELECT *, scheduled_fte * 0.5::DOUBLE + 1.0::DOUBLE AS need, round(effective_fte - (scheduled_fte * 0.5::DOUBLE + 1.0::DOUBLE), 6) AS g FROM {_LADDER}) GROUP BY 1"""
 )
 def coverage_quality(spark, sf):
     """DX-12."""
@@ -483,12 +485,12 @@ def coverage_shortage(spark, sf):
 
 
 @query(
-    """SELECT decision_id, service_scope, sum(offered) FILTER (WHERE interval_end <= t)::BIGINT AS baseline_offered, sum(offered) FILTER (WHERE interval_start >= t)::BIGINT AS outcome_offered,
+    """SELECT decision_id, d.scope AS service_scope, sum(offered) FILTER (WHERE interval_end <= t)::BIGINT AS baseline_offered, sum(offered) FILTER (WHERE interval_start >= t)::BIGINT AS outcome_offered,
     round(sum(w) FILTER (WHERE interval_end <= t) / sum(offered) FILTER (WHERE interval_end <= t)::DOUBLE, 6) AS baseline_service_level,
     round(sum(w) FILTER (WHERE interval_start >= t) / sum(offered) FILTER (WHERE interval_start >= t)::DOUBLE, 6) AS outcome_service_level,
     round(sum(w) FILTER (WHERE interval_start >= t) / sum(offered) FILTER (WHERE interval_start >= t)::DOUBLE - sum(w) FILTER (WHERE interval_end <= t) / sum(offered) FILTER (WHERE interval_end <= t)::DOUBLE, 6) AS service_impact
     FROM (SELECT o_orderkey AS decision_id, ['Alpha FR', 'Beta NL', 'Gamma'][(o_orderkey % 3 + 1)::INT] AS scope, TIMESTAMP '2024-01-01' + to_minutes((o_orderkey * 37) % 43200) AS t, (30 + o_orderkey % 120)::INT AS width FROM orders) d
-    JOIN (SELECT service_scope, interval_start, interval_end, sum(offered) AS offered, sum(answered_within_target) AS w FROM intervals GROUP BY ALL) i
+    LEFT JOIN (SELECT service_scope, interval_start, interval_end, sum(offered) AS offered, sum(answered_within_target) AS w FROM intervals GROUP BY ALL) i
       ON i.service_scope = d.scope AND i.interval_start < t + to_minutes(width) AND i.interval_end > t - INTERVAL 60 MINUTE GROUP BY 1, 2"""
 )
 def decision_outcomes(spark, sf):

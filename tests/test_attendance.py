@@ -47,48 +47,47 @@ def build(spark, shifts, statuses=(), lilos=(), offs=(), as_of="2026-08-02T12:00
     return days, gaps
 
 
-def test_seven_agents(spark):
-    shifts = [shift(a) for a in "ABCDEG"] + [shift("F", "2026-08-01T22:00", "2026-08-02T06:00")]
+def test_one_day_of_a_team(spark):
+    """One agent per rule: late with a pause off line, early, absent, unknown, partly off, away, both ends short."""
+    day, late_shift = lambda t: f"2026-08-01T{t}", ("2026-08-01T21:00", "2026-08-02T05:30")
+    team = ["ines", "marc", "olga", "pavel", "rosa", "uwe"]
+    shifts = [shift(a, day("09:30"), day("18:00")) for a in team] + [shift("tom", *late_shift)]
     statuses = [
-        status("A", "Logged Off", "2026-08-01T08:00", "2026-08-01T08:10", 2),
-        status("A", "Productive", "2026-08-01T08:10", "2026-08-01T12:00", 3),
-        status("A", "Logged Off", "2026-08-01T12:00", "2026-08-01T12:10", 4),
-        status("A", "Productive", "2026-08-01T12:10", "2026-08-01T16:00", 5),
-        status("B", "Productive", "2026-08-01T10:00", "2026-08-01T11:00", 8),
-        status("G", "Productive", "2026-08-01T08:30", "2026-08-01T14:54", 9),
+        status("ines", "Productive", day("09:37"), day("13:05"), 11),
+        status("ines", "Logged Off", day("13:05"), day("13:30"), 12),
+        status("ines", "Productive", day("13:30"), day("18:00"), 13),
+        status("uwe", "Productive", day("10:10"), day("17:00"), 14),
+        status("marc", "Productive", day("11:00"), day("11:45"), 15),
     ]
     lilos = [
-        lilo("A", "2026-08-01T07:55", "2026-08-01T13:00", 2),
-        lilo("B", "2026-08-01T08:05", "2026-08-01T15:50", 3),
-        lilo("C", None, None, 4),
-        lilo("E", "2026-08-01T10:00", "2026-08-01T16:00", 5),
-        lilo("G", "2026-08-01T08:00", "2026-08-01T16:00", 6),
+        lilo("marc", day("09:28"), day("17:39"), 21),
+        lilo("olga", None, None, 22),
+        lilo("rosa", day("12:30"), day("18:00"), 23),
+        lilo("uwe", day("09:30"), day("18:00"), 24),
     ]
-    offs = [off("F"), off("E", "PTO", "PARTIAL_DAY", secs=(8 * 3600, 10 * 3600))]
+    offs = [off("tom"), off("rosa", "PTO", "PARTIAL_DAY", secs=(9 * 3600 + 1800, 12 * 3600 + 1800))]
     days, gaps = build(spark, shifts, statuses, lilos, offs)
-    verdict = {a: (r.attendance_result, r.late_minutes, r.early_leave_minutes, r.no_show_minutes) for a, r in days.items()}
-    assert verdict == {
-        "A": ("Late", 10, 0, 0),
-        "B": ("Early leave", 0, 10, 0),
-        "C": ("No show", 0, 0, 480),
-        "D": ("Missing actual evidence", 0, 0, 0),
-        "E": ("Present - partial time off", 0, 0, 0),
-        "F": ("Planned absence", 0, 0, 0),
-        "G": ("Late + early leave", 30, 66, 0),
+    short = {a: (r.late_minutes, r.early_leave_minutes, r.no_show_minutes) for a, r in days.items()}
+    assert short == {
+        "ines": (7, 0, 0), "marc": (0, 21, 0), "olga": (0, 0, 510), "pavel": (0, 0, 0), "rosa": (0, 0, 0),
+        "tom": (0, 0, 0), "uwe": (40, 60, 0),
     }
-    assert days["A"].status_is_primary and days["G"].status_is_primary
-    assert not days["B"].status_is_primary and days["B"].actual_evidence == "LILO+AGENT_STATUS"
-    assert days["G"].status_coverage_ratio == pytest.approx(0.8)
-    assert (days["E"].planned_work_minutes, days["E"].planned_time_off_minutes) == (360, 120)
-    assert (days["F"].planned_work_minutes, days["F"].planned_time_off_minutes) == (0, 480)
-    assert days["D"].evidence_state == "UNKNOWN"
-    assert {(g.roster_client_id, g.gap_type, g.gap_minutes) for g in gaps} == {
-        ("A", "LATE", 10), ("A", "LOGGED_OFF", 10), ("B", "EARLY_LEAVE", 10), ("C", "NO_SHOW", 480),
-        ("G", "LATE", 30), ("G", "EARLY_LEAVE", 66),
-    }
-    noon = [g for g in gaps if g.roster_client_id == "A" and g.gap_type == "LOGGED_OFF"]
-    assert (noon[0].gap_start, noon[0].gap_end) == (at("2026-08-01T12:00"), at("2026-08-01T12:10"))
-    assert days["A"].source_keys_json == '["lilo.csv","s.txt","status.csv"]'
+    named = {a: r.attendance_result for a, r in days.items()}
+    assert (named["ines"], named["marc"], named["olga"]) == ("Late", "Early leave", "No show")
+    assert (named["pavel"], named["rosa"]) == ("Missing actual evidence", "Present - partial time off")
+    assert (named["tom"], named["uwe"]) == ("Planned absence", "Late + early leave")
+    assert {a for a, r in days.items() if r.status_is_primary} == {"ines", "uwe"}
+    assert days["uwe"].status_coverage_ratio == pytest.approx(410 / 510)
+    work = {a: (days[a].planned_work_minutes, days[a].planned_time_off_minutes) for a in ("rosa", "tom")}
+    assert work == {"rosa": (330, 180), "tom": (0, 510)}
+    assert days["pavel"].evidence_state == "UNKNOWN" and days["marc"].actual_evidence == "LILO+AGENT_STATUS"
+    found = sorted((g.roster_client_id, g.gap_type, g.gap_minutes) for g in gaps)
+    assert found == [
+        ("ines", "LATE", 7), ("ines", "LOGGED_OFF", 25), ("marc", "EARLY_LEAVE", 21), ("olga", "NO_SHOW", 510),
+        ("uwe", "EARLY_LEAVE", 60), ("uwe", "LATE", 40),
+    ]
+    pause = next(g for g in gaps if g.gap_type == "LOGGED_OFF")
+    assert (pause.gap_start, pause.gap_end) == (at(day("13:05")), at(day("13:30")))
 
 
 def test_blank_lilo_row_wins_over_presence_in_status(spark):

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from rotaspark.operators.bounded import BoundExceededError, at_most
 from rotaspark.operators.quality import QualityGateError
 from rotaspark.plans import refresh
+from rotaspark.plans.calls import service_intervals
 from rotaspark.policy import ServiceRules
 from rotaspark.sources import writers
 from rotaspark.streaming import calls as sc
@@ -83,7 +84,7 @@ def test_reuse_and_unchanged(spark):
     bronze = spark.createDataFrame([(1, "a.csv")], "generation_id bigint, source_key string")
     short = refresh.staged_counts(of(1, version(spark, owner=1)), bronze).collect()
     assert [(r.row_count, r.bronze_rows) for r in short] == [(2, 1)]
-    days = refresh.affected_dates(active, spark.createDataFrame([("call_by_call", "a.csv", "changed")], "source_type string, source_key string, change string"))
+    days = refresh.affected_dates(active, active.limit(0), spark.createDataFrame([("call_by_call", "a.csv", "changed")], "source_type string, source_key string, change string"))
     assert sorted(r[0].day for r in days.collect()) == [1, 2, 3, 31]
 
 
@@ -95,13 +96,13 @@ def test_bound_fails_closed(spark):
 
 LEGS = ("call_key string, call_start timestamp_ntz, business_date date, service_eligible boolean, service_scope string, comparison_scope string, "
         "queue string, language string, source_agent_id string, talk_seconds bigint, hold_seconds bigint, wrap_seconds bigint, "
-        "queue_wait_seconds bigint, ringing_seconds bigint, transferred boolean, source_mtime timestamp, source_key string, source_row bigint")
+        "queue_wait_seconds bigint, ringing_seconds bigint, transferred boolean, source_mtime timestamp, source_key string, source_row bigint, designation string")
 
 
 def legs(spark, numbers, key="a", mtime=T):
     rows = [
         (f"k{n}", datetime(2026, 8, 1 + n % 2, 10, n % 60), date(2026, 8, 1 + n % 2), n % 3 != 0, "North", "North", "Q", "fr",
-         None if n % 4 == 0 else "7", n, 0, 0, n % 40, 1, False, mtime, key, n)
+         None if n % 4 == 0 else "7", n, 0, 0, n % 40, 1, False, mtime, key, n, "D" if n % 5 else None)
         for n in numbers
     ]
     return spark.createDataFrame(rows, LEGS)
@@ -127,11 +128,13 @@ def test_streams_equal_batch(spark, tmp_path):
     q = sums.writeStream.format("memory").queryName("sums").outputMode("update").option(
         "checkpointLocation", str(tmp_path / "cp2")).trigger(availableNow=True).start()
     q.awaitTermination(120)
-    streamed = {(r.interval_start, r.language): (r.offered, r.answered) for r in spark.table("sums").collect()}
-    batch = sc.interval_stream(
-        legs(spark, [*range(60), 100]), ServiceRules()
-    ).collect()
-    assert streamed == {(r.interval_start, r.language): (r.offered, r.answered) for r in batch}
+    measures = ("business_date", "interval_start", "queue", "designation", "language", "offered", "answered")
+    last = {}
+    for r in spark.table("sums").collect():  # update mode: a later row of a key replaces the earlier one
+        key = tuple(r[m] for m in measures[:5])
+        last[key] = max(last.get(key, ()), (r.offered, r.answered))
+    batch = service_intervals(legs(spark, [*range(60), 100]), ServiceRules()).collect()
+    assert last == {tuple(r[m] for m in measures[:5]): (r.offered, r.answered) for r in batch}
 
 
 def test_overlong_days_are_split_off(spark):
@@ -140,4 +143,5 @@ def test_overlong_days_are_split_off(spark):
     ).unionByName(spark.range(104).selectExpr("DATE'2026-08-03' AS business_date", "id AS interval_start"))
     kept, over = sc.split_overlong_days(df)
     assert {r.business_date.day for r in kept.collect()} == {3}
-    assert {r.business_date.day: r.interval_count for r in over.collect()} == {1: 105, 2: 105}
+    beyond = over.collect()
+    assert {r.business_date.day: r.interval_count for r in beyond} == {1: 105, 2: 105} and len(beyond) == 210

