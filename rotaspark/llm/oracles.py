@@ -23,7 +23,7 @@ FROM marked GROUP BY doc_id
 
 _WORD = "[^\\x20\\x09-\\x0D]+"
 _METRICS = {"symbols": ("n_symbols", "n_words"), "dup_lines": ("n_dup_lines", "n_lines"), "repeats": ("n_repeat_words", "n_words"), "long_words": ("word_chars", "n_words")}
-_SLACK = {"symbols": 3000.0, "dup_lines": 4000.0, "repeats": 3500.0, "long_words": 30000.0}
+_SLACK = {"symbols": 3000.0, "dup_lines": 4000.0, "repeats": 4500.0, "long_words": 30000.0}
 
 QUALITY = f"""
 WITH doc AS (

@@ -18,7 +18,7 @@ _BITS = 6
 #: A threshold is the UPPER quantile plus SPREAD times its distance from the CENTRE quantile, but at least the metric's
 #: slack beyond it: in a clean group most quantiles are 0 or close together.
 CENTRE, UPPER, SPREAD = 0.5, 0.9, 4.0
-SLACK = {"symbols": 0.3, "dup_lines": 0.4, "repeats": 0.35, "long_words": 3.0}
+SLACK = {"symbols": 0.3, "dup_lines": 0.4, "repeats": 0.45, "long_words": 3.0}
 #: How often a document of the group counts beside one of its whole language, whose sketch is merged in as a prior.
 OWN_WEIGHT = 100
 MIN_WORDS, MAX_REPEAT_PERCENT = 50, 50
