@@ -102,7 +102,8 @@ def _cells(classes: DataFrame) -> DataFrame:
     """(rep, cells): the cells (key, band, i, j) of every representative that shares a band with another."""
     placed = classes.select("rep", F.posexplode("bands").alias("band", "key"))
     own = F.xxhash64("rep")
-    buckets = placed.groupBy("key", "band").agg(F.count("*").alias("n"), F.bit_xor(own).alias("x"), F.sum(F.shiftright(own, 20)).alias("s"))
+    # 24-bit terms: their sum stays a long for any number of members.
+    buckets = placed.groupBy("key", "band").agg(F.count("*").alias("n"), F.bit_xor(own).alias("x"), F.sum(F.shiftright(own, 40)).alias("s"))
     buckets = buckets.where("n > 1").groupBy("n", "x", "s").agg(F.min(F.struct("band", "key")).alias("b"))
     buckets = buckets.select("b.key", "b.band", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
     members = placed.join(buckets, ["key", "band"])

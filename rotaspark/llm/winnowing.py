@@ -22,28 +22,44 @@ K = 8
 WINDOW = 32
 _LAST = np.uint64(0xFFFFFFFFFFFFFFFF)
 _FINE = 64
+_RUN = 1 << 20
 
 
 def winnow(text: str | None, k: int = K, window: int = WINDOW) -> tuple[np.ndarray, np.ndarray]:
-    """(positions, hashes) of the fingerprints in order. A text of 1 to k-1 code points has one; an empty text none."""
+    """(positions, hashes) of the fingerprints in order. A text of 1 to k-1 code points has one; an empty text none.
+
+    Windows are worked on in runs of _RUN, so the arrays do not grow with the text.
+    """
     points = code_points(text)
     if not points.size:
         return np.empty(0, np.int64), np.empty(0, np.uint64)
     k = min(k, points.size)
-    start = np.arange(points.size - k + 1, dtype=np.int64)
-    grams = np.minimum(span_hashes(points, start, start + k), _LAST - np.uint64(1))
-    edge = np.full(window - 1, _LAST)
-    least = np.concatenate((edge, grams, edge))
-    where = np.arange(least.size, dtype=np.int64) - (window - 1)
-    reach = 1
+    n = points.size - k + 1
+    places, values = [], []
+    for first in range(0, n + window - 1, _RUN):
+        last = min(first + _RUN, n + window - 1)
+        low, high = max(0, first - window + 1), min(n, last)
+        start = np.arange(high - low, dtype=np.int64)
+        grams = np.minimum(span_hashes(points[low : high + k - 1], start, start + k), _LAST - np.uint64(1))
+        before, after = np.full(low - (first - window + 1), _LAST), np.full(last - high, _LAST)
+        at, least = _minima(np.concatenate((before, grams, after)), window)
+        places.append(at + (first - window + 1))
+        values.append(least)
+    at, least = np.concatenate(places), np.concatenate(values)
+    fresh = np.append(True, at[1:] != at[:-1])
+    return at[fresh], least[fresh]
+
+
+def _minima(hashes: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
+    """Place and value of the rightmost minimum of every window, by windows of doubled length."""
+    least, where, reach = hashes, np.arange(hashes.size, dtype=np.int64), 1
     while reach < window:
         step = min(reach, window - reach)
         right = least[step:] <= least[:-step]
         least = np.where(right, least[step:], least[:-step])
         where = np.where(right, where[step:], where[:-step])
         reach += step
-    chosen = where[np.append(True, where[1:] != where[:-1])]
-    return chosen, grams[chosen]
+    return where, least
 
 
 Bag = tuple[np.ndarray, np.ndarray]
@@ -65,7 +81,10 @@ def likeness(a: Bag, b: Bag) -> float:
 
 
 def as_text(positions: np.ndarray, hashes: np.ndarray) -> str:
-    """Base64 of one record per fingerprint: the step from the position before (one byte) and the hash's first 4 bytes."""
+    """Base64 of one record per fingerprint: the step from the position before (one byte) and the hash's first 4 bytes.
+
+    Steps are shorter than the window, which may have 256 hashes at most here.
+    """
     cells = np.empty((positions.size, 5), np.uint8)
     cells[:, 0] = np.diff(positions, prepend=0)
     cells[:, 1:] = (hashes >> np.uint64(32)).astype(">u4").view(np.uint8).reshape(-1, 4)
@@ -132,6 +151,8 @@ def edited_likeness(docs: DataFrame, k: int = K, window: int = WINDOW) -> DataFr
     fingerprint is '', and two empty texts are alike (1.0). Repeated rows count as documents that follow each other;
     other columns are ignored, and an empty table gives no rows.
     """
+    if not 1 <= window <= 256:
+        raise ValueError("the window must have 1 to 256 hashes")
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
     def result(doc_id, text: str, mine, following: str, others) -> tuple:

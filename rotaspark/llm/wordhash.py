@@ -11,6 +11,7 @@ import numpy as np
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 _STEP = 0xD1342543DE82EF95
 _LONGEST = 1 << 12
+_RUN = 1 << 20
 
 
 def mix(values: np.ndarray) -> np.ndarray:
@@ -59,9 +60,18 @@ def word_bounds(mask: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def word_hashes(points: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """One 64-bit hash per word: a polynomial over mixed code points, finalised with the length."""
+    """One 64-bit hash per word: a polynomial over mixed code points, finalised with the length.
+
+    Words are worked on in runs of about _RUN code points, so the arrays do not grow with the text.
+    """
     if not starts.size:
         return np.empty(0, np.uint64)
+    done = np.cumsum(ends - starts)
+    cuts = np.unique(np.append(np.searchsorted(done, np.arange(_RUN, done[-1], _RUN)) + 1, starts.size))
+    return np.concatenate([_hashed(points, starts[a:b], ends[a:b]) for a, b in zip([0, *cuts[:-1]], cuts)])
+
+
+def _hashed(points: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     lengths = ends - starts
     longest = int(lengths.max())
     powers = _POWERS if longest <= _LONGEST else _powers(longest)

@@ -7,7 +7,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 
-from rotaspark.llm import license_scan, ngram_join, winnowing
+from rotaspark.llm import license_scan, ngram_join, winnowing, wordhash
 from rotaspark.llm.components import components
 from rotaspark.llm.license_texts import PHRASES, TEMPLATES
 
@@ -109,13 +109,17 @@ def slow_winnow(text, k, w):
     return sorted(chosen)
 
 
-def test_winnow_takes_the_rightmost_minimum_of_every_window():
+def test_winnow_takes_the_rightmost_minimum_of_every_window(monkeypatch):
     rng = random.Random(4)
     for n in (1, 3, 8, 9, 40, 300):
         for letters in ("ab", "abcdefghij é日"):
             text = "".join(rng.choice(letters) for _ in range(n))
             at, hashes = winnowing.winnow(text, 8, 16)
             assert at.tolist() == slow_winnow(text, 8, 16)
+    for run in (1, 5, 64):  # the runs of windows leave no seam
+        monkeypatch.setattr(winnowing, "_RUN", run)
+        text = "".join(rng.choice("abc") for _ in range(200))
+        assert winnowing.winnow(text, 8, 16)[0].tolist() == slow_winnow(text, 8, 16)
     assert winnowing.winnow("")[0].size == 0 and winnowing.winnow(None)[0].size == 0
 
 
@@ -148,6 +152,15 @@ def test_edited_likeness(spark):
     assert winnowing.fingerprints(docs).where("doc_id = 8").count() > 10
 
 
+def test_word_hashes_have_no_seams(monkeypatch):
+    text = prose(random.Random(3), 300) + " " + "x" * 500 + " one more"
+    whole = license_scan.words_of(text)
+    assert whole.size == len(ALNUM.findall(text)) and len(set(whole.tolist())) == len(set(ALNUM.findall(text)))
+    for run in (1, 7, 100, 5000):
+        monkeypatch.setattr(wordhash, "_RUN", run)
+        assert (license_scan.words_of(text) == whole).all()
+
+
 def places(words, phrase):
     phrase = phrase.split()
     return [i for i in range(len(words) - len(phrase) + 1) if words[i : i + len(phrase)] == phrase]
