@@ -10,7 +10,7 @@ from rotaspark.functions.keys import call_key
 from rotaspark.functions.text import fold_name
 from rotaspark.functions.temporal import NTZ
 from rotaspark.operators import identity as ident
-from rotaspark.plans import attendance, forecasting, refresh, roster, staffing
+from rotaspark.plans import attendance, evidence, forecasting, refresh, roster, staffing
 from testbed import shape
 from testbed.oracle import day, iso
 from testbed.queries import (
@@ -534,3 +534,60 @@ def call_key_hash(spark, sf):
 def folded_texts(spark, sf):
     """FN-03 over whole texts; checked against Unicode's own folding in the tests."""
     return shape.table(spark, sf, "documents").select("doc_id", F.md5(fold_name(F.col("text"))).alias("folded_md5"))
+
+
+# --- read products -----------------------------------------------------------
+
+_PAGE_DAY = "business_date = (SELECT max(business_date) FROM intervals)"
+_PAGE_SCOPE = "service_scope = 'Alpha FR' AND comparison_scope = 'Alpha'"
+
+
+def _latest_day(spark, sf) -> str:
+    return _intervals(spark, sf).agg(F.max("business_date")).first()[0].isoformat()
+
+
+@query(
+    f"""SELECT 'scope' AS part, service_scope || ' / ' || comparison_scope AS label, count(DISTINCT 1)::BIGINT AS n, 0::BIGINT AS amount FROM intervals WHERE {_PAGE_DAY} GROUP BY service_scope, comparison_scope
+    UNION ALL SELECT 'interval', {iso('interval_start')}, sum(offered)::BIGINT, sum(handled_seconds)::BIGINT FROM intervals WHERE {_PAGE_DAY} AND {_PAGE_SCOPE} GROUP BY interval_start
+    UNION ALL SELECT 'state', evidence_state, count(*)::BIGINT, 0 FROM agent_day WHERE {_PAGE_DAY} GROUP BY evidence_state
+    UNION ALL SELECT 'gap', gap_type, count(*)::BIGINT, sum(gap_minutes)::BIGINT FROM gaps WHERE {_PAGE_DAY} GROUP BY gap_type"""
+)
+def operate_evidence(spark, sf):
+    """PR-07: the whole page of the latest date and one scope."""
+    model = _model(spark, sf)
+    page = evidence.operate_evidence(
+        _intervals(spark, sf), attendance.agent_days(model), attendance.attendance_gaps(model), _latest_day(spark, sf), "Alpha FR", "Alpha"
+    )
+    row = lambda df, part, label, n, amount: df.select(
+        F.lit(part).alias("part"), label.alias("label"), n.cast("bigint").alias("n"), amount.cast("bigint").alias("amount")
+    )
+    zero = F.lit(0)
+    scope = F.concat_ws(" / ", "service_scope", "comparison_scope")
+    parts = [
+        row(page["scopes"], "scope", scope, F.lit(1), zero),
+        row(page["intervals"], "interval", F.date_format("interval_start", "yyyy-MM-dd'T'HH:mm:ss"), F.col("offered"), F.col("handled_seconds")),
+        row(page["states"], "state", F.col("evidence_state"), F.col("agent_days"), zero),
+        row(page["gaps"], "gap", F.col("gap_type"), F.col("fragments"), F.col("minutes")),
+    ]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3])
+
+
+_PARITY = f"FROM intervals WHERE {_PAGE_DAY} AND upper(queue) IN ('Q CLICK', 'Q-CLICK', 'Q PURCHASE', 'Q-PURCHASE')"
+
+
+@query(
+    f"""SELECT 'hour' AS part, strftime(date_trunc('hour', interval_start), '%H') AS label, sum(offered)::BIGINT AS offered, sum(answered)::BIGINT AS answered {_PARITY} GROUP BY 2
+    UNION ALL SELECT 'total', '', sum(offered)::BIGINT, sum(answered)::BIGINT {_PARITY}"""
+)
+def flash_parity(spark, sf):
+    """PR-08: hours and totals of one profile on the latest date."""
+    found = evidence.flash_parity(_intervals(spark, sf), shape.PROFILES[:1], _latest_day(spark, sf))
+    pick = lambda df, part, label: df.select(F.lit(part).alias("part"), label.alias("label"), "offered", "answered")
+    return pick(found["hours"], "hour", F.date_format("hour_start", "HH")).unionByName(pick(found["totals"], "total", F.lit("")))
+
+
+@query(f"SELECT {day('business_date')} AS business_date, {iso('interval_start')} AS interval_start, {iso('interval_end')} AS interval_end, sum(offered)::BIGINT AS offered, sum(handled_seconds)::BIGINT AS handled_seconds FROM intervals WHERE upper(queue) IN ('Q CLICK', 'Q-CLICK', 'Q PURCHASE', 'Q-PURCHASE') GROUP BY ALL")
+def flash_intervals(spark, sf):
+    """AG-03: profile sums per interval, across scopes."""
+    found = evidence.flash_intervals(_intervals(spark, sf), shape.PROFILES[0])
+    return found.select("business_date", "interval_start", "interval_end", "offered", "handled_seconds")

@@ -6,7 +6,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from rotaspark.functions.temporal import add_seconds, duration_seconds
+from rotaspark.operators.bounded import BoundExceededError
 from rotaspark.plans import evidence, forecasting, refresh, roster, staffing
+from rotaspark.schemas import SERVICE_MEASURES
 from rotaspark.sources import readers
 
 
@@ -122,3 +124,29 @@ def test_scope_pair():
     for bad in (("a", None), (None, "b"), ("", "b"), ("a\n", "b"), ("x" * 1000, "b")):
         with pytest.raises(evidence.QueryError):
             evidence.scope_pair(*bad)
+
+
+def test_evidence_page_and_profile(spark):
+    """PR-07 and PR-08 on a day of two scopes, without evidence of another day."""
+    at = lambda m: datetime(2026, 3, 4, 10, m)
+    rows = [(date(2026, 3, 4), at(m), at(m + 15), s, s, "Q-1") for m in (0, 15) for s in ("South", "North")]
+    ddl = "business_date date, interval_start timestamp_ntz, interval_end timestamp_ntz, service_scope string, comparison_scope string, queue string"
+    intervals = spark.createDataFrame(rows, ddl).withColumns({m: F.lit(2).cast("long") for m in SERVICE_MEASURES})
+    days = spark.createDataFrame([(date(2026, 3, 4), "COMPLETE")] * 3, "business_date date, evidence_state string")
+    gaps = spark.createDataFrame([(date(2026, 3, 4), "LATE", 7), (date(2026, 3, 5), "LATE", 9)], "business_date date, gap_type string, gap_minutes long")
+    page = evidence.operate_evidence(intervals, days, gaps, "2026-03-04")
+    assert [r.service_scope for r in page["scopes"].collect()] == ["North", "South"]
+    assert [(r.interval_start.minute, r.service_scope, r.offered) for r in page["intervals"].collect()] == [(0, "North", 2), (15, "North", 2)]
+    assert [tuple(r) for r in page["states"].collect()] == [(date(2026, 3, 4), "COMPLETE", 3)]
+    assert [tuple(r)[1:] for r in page["gaps"].collect()] == [("LATE", 1, 7)]
+    assert evidence.operate_evidence(intervals, days, gaps, "2026-03-06")["intervals"].count() == 0
+    assert evidence.default_scope(intervals, date(2026, 3, 4)) == ("North", "North")
+    with pytest.raises(evidence.QueryError):
+        evidence.operate_evidence(intervals, days, gaps, "2026-03-04", "East", "East")
+    many = intervals.crossJoin(spark.range(200).selectExpr("cast(id as string) AS n")).withColumn("service_scope", F.col("n"))
+    with pytest.raises(BoundExceededError):
+        evidence.operate_evidence(many.drop("n"), days, gaps, "2026-03-04")
+    profile = evidence.FlashProfile("p", "P", date(2026, 1, 1), ("q-1",))
+    parity = evidence.flash_parity(intervals, [profile], "2026-03-04")
+    assert [r.offered for r in parity["hours"].collect()] == [8] and parity["totals"].first().offered == 8
+    assert evidence.flash_parity(intervals, [profile], "2026-03-07")["totals"].first().offered is None
