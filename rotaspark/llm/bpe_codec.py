@@ -12,6 +12,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 VOCABULARY = "byte_bpe_50k.json"
+#: Distinct pieces that a Python worker remembers, about 60 MB.
+MEMO_PIECES = 200_000
 
 
 def vocabulary_path(name: str = VOCABULARY) -> str:
@@ -21,23 +23,24 @@ def vocabulary_path(name: str = VOCABULARY) -> str:
 
 
 @cache
-def _codec(path: str):
+def _codec(path: str, digests: bool):
+    """An encoder whose codes are ids, or what digests need of them: how many, their decimal list and their bytes."""
     from tokenizers import Tokenizer
 
     from rotaspark.llm.bpe_tree import TreeBpe
 
     table = TreeBpe(path)
 
-    def code(ids: tuple[int, ...]) -> tuple[int, bytes, bytes, tuple[int, ...]]:
-        listed = b"".join(b"%d," % i for i in ids)
-        return len(ids), listed, b"".join(table.token_bytes[i] for i in ids), ids
+    def code(ids: tuple[int, ...]) -> tuple[int, bytes, bytes]:
+        return len(ids), b"".join(b"%d," % i for i in ids), b"".join(table.token_bytes[i] for i in ids)
 
-    return table.encoder(Tokenizer.from_file(path).pre_tokenizer.pre_tokenize_str, code)
+    split = Tokenizer.from_file(path).pre_tokenizer.pre_tokenize_str
+    return table.encoder(split, code if digests else None, MEMO_PIECES)
 
 
 def _tables(group) -> tuple[np.ndarray, list[bytes], list[bytes]]:
     if group.tables is None:
-        sizes, listed, raw = zip(*(c[:3] for c in group.codes))
+        sizes, listed, raw = zip(*group.codes)
         group.tables = np.array(sizes), listed, raw
     return group.tables
 
@@ -51,12 +54,12 @@ def encode_ids(docs: DataFrame, path: str | None = None, text: str = "text") ->
     path = path or vocabulary_path()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = _codec(path)
+        codec = _codec(path, False)
         for batch in batches:
             out: list[list[int]] = [[] for _ in range(batch.num_rows)]
             for i, group, number in codec.parts(batch.column("_text").to_pylist()):
                 for x in number.tolist():
-                    out[i].extend(group.codes[x][3])
+                    out[i].extend(group.codes[x])
             kept = [batch.column(n) for n in batch.schema.names[:-1]]
             yield pa.RecordBatch.from_arrays([*kept, pa.array(out, pa.list_(pa.int32()))], [*batch.schema.names[:-1], "ids"])
 
@@ -92,7 +95,7 @@ def codec_digests(docs: DataFrame, path: str | None = None) -> DataFrame:
     path = path or vocabulary_path()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = _codec(path)
+        codec = _codec(path, True)
         for batch in batches:
             n = batch.num_rows
             counts, ids, texts = [0] * n, [hashlib.sha256() for _ in range(n)], [hashlib.sha256() for _ in range(n)]

@@ -124,7 +124,7 @@ class TreeBpe:
             tree[rows, at] = np.minimum(tree[rows, 2 * at], tree[rows, 2 * at + 1])
             width >>= 1
 
-    def encoder(self, split, as_code=None) -> PieceEncoder:
+    def encoder(self, split, as_code=None, memo_pieces: int = 500_000) -> PieceEncoder:
         """A batch encoder with this table; as_code turns the ids of a piece into what `encode` returns for it."""
         codes = self.encode_pieces if as_code is None else lambda p: [as_code(x) for x in self.encode_pieces(p)]
-        return PieceEncoder(split, codes, self.special)
+        return PieceEncoder(split, codes, self.special, memo_pieces)
