@@ -8,6 +8,7 @@ verified word by word.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator, Sequence
 from difflib import SequenceMatcher
 
@@ -25,6 +26,11 @@ K = 3
 DRIFT = 3
 MIN_VOTES = 0.3
 MIN_COVER = 0.9
+#: Phrases that tell neighbouring licences apart, and what they say: a span must say what its template says, no more.
+DECIDING = {
+    "lesser general": "lesser", "library general": "lesser", "affero general": "affero", "sharealike": "sa",
+    "noncommercial": "nc", "noderivatives": "nd", "noderivs": "nd",
+}
 
 
 def words_of(text: str | None) -> np.ndarray:
@@ -43,6 +49,17 @@ def phrase_places(words: np.ndarray, phrase: np.ndarray) -> np.ndarray:
     return np.flatnonzero(found)
 
 
+def said(words: np.ndarray, deciding: Sequence[tuple[str, np.ndarray]]) -> set[str]:
+    """What the deciding phrases among the words say."""
+    return {what for what, p in deciding if phrase_places(words, p).size}
+
+
+def version_words(label: str, words: np.ndarray) -> set[int]:
+    """The words of the version at the end of the label, as far as they stand among the template's words."""
+    version = re.search(r"-(\d+(\.\d+)*)$", label)
+    return set(words_of(version[1]).tolist()) & set(words.tolist()) if version else set()
+
+
 def template_grams(spark: SparkSession, templates: Sequence[tuple[str, str]], k: int) -> DataFrame:
     """(gram, template, place): bounded by the words of the templates, which the library or the caller lists."""
     rows = [
@@ -116,15 +133,18 @@ def verified_spans(docs: DataFrame, spans: DataFrame, templates: Sequence[tuple[
 
     cover is the number of words that an alignment finds, over the length of the template or of the aligned words,
     whichever is more, so a missing word and an extra one both count. The span searched is as long as the template and
-    a quarter more on both sides.
+    a quarter more on both sides. A span that lacks or adds a deciding phrase, or lacks a word of the version that the
+    template's label names, is a neighbouring licence's and is left out at any cover.
     """
-    known = [(label, words_of(t).tolist()) for label, t in templates]
+    deciding = [(what, words_of(p)) for p, what in DECIDING.items()]
+    texts_of = [(label, words_of(t)) for label, t in templates]
+    known = [(label, w.tolist(), said(w, deciding), version_words(label, w)) for label, w in texts_of]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
             for doc_id, mark, template, at, text in zip(*(c.to_pylist() for c in batch.columns)):
-                label, wanted = known[template]
+                label, wanted, says, version = known[template]
                 words = words_of(text)
                 slack = DRIFT + len(wanted) // 4
                 start = max(0, at - slack)
@@ -134,7 +154,8 @@ def verified_spans(docs: DataFrame, spans: DataFrame, templates: Sequence[tuple[
                     continue
                 first, last = blocks[0].a, blocks[-1].a + blocks[-1].size - 1
                 cover = sum(b.size for b in blocks) / max(len(wanted), last - first + 1)
-                if cover >= MIN_COVER:
+                held = words[start + first : start + last + 1]
+                if cover >= MIN_COVER and said(held, deciding) == says and version <= set(held.tolist()):
                     out.append((doc_id, mark, label, template, start + first, start + last, cover))
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), _SPANS.types)], schema=_SPANS)

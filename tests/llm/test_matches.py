@@ -203,3 +203,28 @@ def test_license_scan(spark):
     assert labels[505] == "cc-by,cc-by-nc-4.0" and labels[506] == "gpl,gpl-3.0" and labels[508] == "reserved"
     assert labels[8] == "" and labels[103] == ""
     assert license_scan.scan_licenses(empty(docs)).count() == 0
+
+
+def test_neighbouring_licenses_are_told_apart(spark):
+    gpl, lgpl = (next(t for label, t in TEMPLATES if label == x and "published" in t) for x in ("gpl", "lgpl"))
+    by, short = (next(t for label, t in TEMPLATES if label == x and "This work" in t) for x in ("cc-by-4.0", "gpl-3.0"))
+    apache = next(t for label, t in TEMPLATES if label == "apache-2.0" and "http" in t)
+    cases = [(text, {label}) for label, text in TEMPLATES] + [
+        (gpl.replace("This program is free", "This library is free"), {"gpl"}),
+        (gpl.split(", either")[0], set()),
+        (lgpl.replace("This library", "This program"), {"lgpl"}),
+        (lgpl.replace("Lesser", "Library"), {"lgpl"}),
+        (by.replace("Attribution", "Attribution-NoDerivatives"), set()),
+        (by.replace("Attribution", "Attribution-NonCommercial-ShareAlike"), set()),
+        (by.replace("4.0", "3.0"), set()),
+        (short.replace("version 3", "version 2"), set()),
+        (short.replace("General", "Affero General"), set()),
+        (short.replace("GNU", "Gnu").replace("This work", "The work"), {"gpl-3.0"}),
+        (apache.replace("2.0", "1.1"), set()),
+        (apache.replace("express or ", "").replace("a copy of ", ""), {"apache-2.0"}),
+    ]
+    docs = spark.createDataFrame([(i, f"some words before. {t} and some after") for i, (t, _) in enumerate(cases)], "doc_id long, text string")
+    got = {r.doc_id: r for r in license_scan.scan_licenses(docs).collect()}
+    for i, (text, want) in enumerate(cases):
+        labels, base = (set(x.split(",")) - {""} for x in (got[i].labels, got[i].base_labels))
+        assert labels == want | base, (text, labels)
