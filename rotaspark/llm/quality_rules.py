@@ -22,6 +22,12 @@ SLACK = {"symbols": 0.3, "dup_lines": 0.4, "repeats": 0.45, "long_words": 3.0}
 #: How often a document of the group counts beside one of its whole language, whose sketch is merged in as a prior.
 OWN_WEIGHT = 100
 MIN_WORDS, MAX_REPEAT_PERCENT = 50, 50
+#: The steady limits of kept_documents: the STEADY_CENTRE quantile plus STEADY_SPREAD times its distance from the
+#: STEADY_LOWER one, which junk of up to 30% of a group moves inside its clean part only, but at least the floor beyond.
+STEADY_CENTRE, STEADY_LOWER, STEADY_SPREAD = 0.5, 0.25, 6.0
+FLOOR = {"symbols": 0.1, "dup_lines": 0.4, "repeats": 0.4, "long_words": 2.0}
+#: A source's own documents count beside so many of its language's.
+PRIOR_DOCUMENTS = 100
 METRICS = tuple(SLACK)
 
 
@@ -114,10 +120,48 @@ def thresholds(own: DataFrame) -> DataFrame:
     )
 
 
+def _steady(counts: DataFrame, groups: list[str]) -> DataFrame:
+    """(groups, metric, top): the limits that counts (groups, metric, bin, n) give."""
+    group = Window.partitionBy(*groups, "metric")
+    share = F.sum("n").over(group.orderBy("bin")) / F.sum("n").over(group)
+    marks = counts.withColumn("share", share).groupBy(*groups, "metric").agg(
+        *[F.min(F.when(F.col("share") >= q, F.col("bin"))).alias(name) for name, q in (("centre", STEADY_CENTRE), ("lower", STEADY_LOWER))]
+    )
+    floor = F.create_map(*[F.lit(x) for m, v in FLOOR.items() for x in (m, v * SCALE)])[F.col("metric")]
+    top = F.col("centre") + F.greatest(STEADY_SPREAD * (F.col("centre") - F.col("lower")), floor)
+    return marks.select(*groups, "metric", top.alias("top"))
+
+
+def steady_limits(own: DataFrame) -> DataFrame:
+    """(lang_key, source_key, one column steady_... per metric): limits that dirty sources do not move.
+
+    own is the sketch per language and source. PRIOR_DOCUMENTS documents' worth of the language's sketch are merged
+    into each source's, and no source's limit is beyond its language's.
+    """
+    lang = own.groupBy("lang_key", "metric", "bin").agg(F.sum("n").alias("n"))
+    whole = lang.groupBy("lang_key", "metric").agg(F.sum("n").cast("decimal(19,0)").alias("total"))
+    sources = own.select("lang_key", "source_key", "metric").distinct()
+    mine = own.join(whole, ["lang_key", "metric"]).select("lang_key", "source_key", "metric", "bin", (F.col("n") * F.col("total")).alias("n"))
+    prior = sources.join(lang, ["lang_key", "metric"]).select(
+        "lang_key", "source_key", "metric", "bin", (F.col("n") * F.lit(PRIOR_DOCUMENTS)).cast("decimal(38,0)").alias("n")
+    )
+    merged = mine.unionByName(prior).groupBy("lang_key", "source_key", "metric", "bin").agg(F.sum("n").alias("n"))
+    bound = _steady(lang, ["lang_key"]).withColumnRenamed("top", "bound")
+    tops = _steady(merged, ["lang_key", "source_key"]).join(bound, ["lang_key", "metric"])
+    return tops.groupBy("lang_key", "source_key").agg(
+        *[F.max(F.when(F.col("metric") == m, F.least("top", "bound"))).alias(f"steady_{m}") for m in METRICS]
+    )
+
+
 def _key(name: str) -> Column:
     return F.when(F.col(name).isNull(), "n").otherwise(F.concat(F.lit("s"), name))
 
 
+def _measured(docs: DataFrame) -> DataFrame:
+    rows = docs.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("mark"), _key("lang").alias("lang_key"), _key("source").alias("source_key"), "text")
+    return staged(base_measures(rows).drop("text"), "quality-measures")
+
+
 def judged(docs: DataFrame) -> DataFrame:
     """doc_id, mark, lang_key, source_key, the base measures, base_failed and kept, of every row.
 
@@ -127,9 +171,12 @@ def judged(docs: DataFrame) -> DataFrame:
     gives no rows. Only doc_id, text, lang and source are read. Counts are added up in each task before they are
     shuffled, so a group of any size comes as a few hundred bins.
     """
-    rows = docs.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("mark"), _key("lang").alias("lang_key"), _key("source").alias("source_key"), "text")
-    measures = staged(base_measures(rows).drop("text"), "quality-measures")
-    limits = thresholds(sketch(measures, ["lang_key", "source_key"]))
+    measures = _measured(docs)
+    return _verdicts(measures, sketch(measures, ["lang_key", "source_key"]))
+
+
+def _verdicts(measures: DataFrame, own: DataFrame) -> DataFrame:
+    limits = thresholds(own)
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
     fine = F.lit(True)
     for m, c in metric_columns().items():
@@ -140,9 +187,18 @@ def judged(docs: DataFrame) -> DataFrame:
 
 
 def kept_documents(docs: DataFrame) -> DataFrame:
-    """The rows of docs that the rules keep, with the columns of docs as they are."""
+    """The rows of docs that judged keeps and that are within the steady limits, with the columns of docs as they are.
+
+    judged's own limits follow its SQL check, and where a tenth of a group is junk they lie beyond the junk.
+    """
     key = F.struct("doc_id", "mark", "lang_key", "source_key")
-    good = judged(docs).where("kept").select(key.alias("k")).distinct().select(*[F.col(f"k.{c}").alias(f"k_{c}") for c in ("doc_id", "mark", "lang_key", "source_key")])
+    measures = _measured(docs)
+    own = staged(sketch(measures, ["lang_key", "source_key"]), "quality-sketch")
+    fine = F.lit(True)
+    for m, c in metric_columns().items():
+        fine = fine & F.coalesce(c <= F.col(f"steady_{m}"), F.lit(True))
+    verdicts = _verdicts(measures, own).where("kept").join(steady_limits(own), ["lang_key", "source_key"], "left")
+    good = verdicts.where(fine).select(key.alias("k")).distinct().select(*[F.col(f"k.{c}").alias(f"k_{c}") for c in ("doc_id", "mark", "lang_key", "source_key")])
     rows = docs.select(
         F.struct(*docs.columns).alias("row"), F.col("doc_id").alias("d"),
         F.xxhash64(F.coalesce("text", F.lit(""))).alias("m"), _key("lang").alias("l"), _key("source").alias("s"),

@@ -1,13 +1,14 @@
 """Quality rules, line dedup and mixing against plain Python versions."""
 
 import collections
+import random
 import re
 from bisect import bisect_left
 
 from rotaspark.llm import line_dedup, mixing, quality_rules
 from rotaspark.llm.common import successors
 
-from .support import documents, empty, rows_of
+from .support import documents, empty, prose, rows_of
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -76,6 +77,26 @@ def test_quality_verdicts(spark):
     assert quality_rules.judged(empty(docs)).count() == 0 and quality_rules.kept_documents(empty(docs)).count() == 0
 
 
+def test_dirty_sources_lose_their_junk_only(spark):
+    """15 and 30% junk of four kinds in a source, also one with a third of all rows; the clean rows all stay."""
+    rng, rows = random.Random(4), []
+    dirty = {"a": (300, 0.3), "b": (40, 0.3), "c": (100, 0.15)}
+    for source, (n, share) in (dirty | {"d": (300, 0), "e": (160, 0), "f": (3, 0)}).items():
+        for i in range(n):
+            words = prose(rng, rng.randint(80, 200)).split(" ")
+            junk = i < share * n
+            if junk and i % 3 == 0:
+                words = [f"{w}$$$" for w in words]
+            elif junk and i % 3 == 1:
+                words = [w * 2 for w in words]
+            elif junk:
+                words += ["\nsame line here\n"] * 12 + words[:10]
+            rows.append((len(rows), " ".join(words), "en", source, 1, "junk" if junk else "clean"))
+    docs = spark.createDataFrame(rows, documents(spark, extra="kind").schema)
+    kept = {r.doc_id for r in quality_rules.kept_documents(docs).collect()}
+    assert {r[0] for r in rows if r[5] == "clean"} == kept
+
+
 def test_sketches_merge(spark):
     measures = quality_rules.base_measures(documents(spark)).withColumnsRenamed({"lang": "lang_key"})
     whole = {(r.metric, r.bin): r.n for r in quality_rules.sketch(measures, []).collect()}
