@@ -18,7 +18,7 @@ from math import comb
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from rotaspark.llm.common import staged
@@ -78,7 +78,8 @@ def _digest(grams: np.ndarray) -> tuple[int, int]:
 
 
 def _signatures(docs: DataFrame) -> DataFrame:
-    """doc_id, s1, s2 (digest of the 5-gram set; NULL without words), bands of every row."""
+    """doc_id, s1, s2 (digest of the 5-gram set; NULL without words), bands of every row, and its mark if docs has one."""
+    marked = "mark" in docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -90,9 +91,10 @@ def _signatures(docs: DataFrame) -> DataFrame:
                     continue
                 out.append((doc_id, *_digest(grams), band_keys(minhash(grams))))
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), _SIGNED.types)], schema=_SIGNED)
+                arrays = [pa.array(c, t) for c, t in zip(zip(*out), _SIGNED.types)]
+                yield pa.RecordBatch.from_arrays(arrays + batch.columns[2:], _SIGNED.names + ["mark"] * marked)
 
-    return docs.mapInArrow(run, "doc_id long, s1 long, s2 long, bands array<long>")
+    return docs.mapInArrow(run, "doc_id long, s1 long, s2 long, bands array<long>" + ", mark long" * marked)
 
 
 _SIGNED = pa.schema([("doc_id", pa.int64()), ("s1", pa.int64()), ("s2", pa.int64()), ("bands", pa.list_(pa.int64()))])
@@ -290,7 +292,12 @@ def similarity_classes(docs: DataFrame, threshold: float = THRESHOLD, tolerance:
     part: class_id and rep_id are NULL, n_links is 0. Repeated rows are copies of each other; of several texts with one
     doc_id the one with the smallest digest stands for the id. Other columns are ignored; an empty table gives no rows.
     """
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    found = _classified(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), threshold, tolerance)
+    return found.drop("s1", "s2")
+
+
+def _classified(rows: DataFrame, threshold: float, tolerance: float) -> DataFrame:
+    """similarity_classes of rows (doc_id, text and maybe mark), with s1, s2 and the mark."""
     signed = staged(_signatures(rows), "ngram-signatures")
     real = signed.where("doc_id IS NOT NULL AND s1 IS NOT NULL")
     one = F.min_by(F.struct("s1", "s2", "bands"), F.struct("s1", "s2")).alias("v")
@@ -300,26 +307,41 @@ def similarity_classes(docs: DataFrame, threshold: float = THRESHOLD, tolerance:
     )
     classes = staged(classes, "ngram-classes")
     cells = staged(_cells(classes), "ngram-cells")
-    loaded = _loaded(cells, classes, rows.where("doc_id IS NOT NULL"))
+    loaded = _loaded(cells, classes, rows.where("doc_id IS NOT NULL").select("doc_id", "text"))
     found = staged(_compared(loaded, threshold, tolerance), "ngram-links")
     links = found.where("links IS NOT NULL").groupBy("rep").agg(F.sum("links").alias("n_links"))
     groups = components(found.where("other IS NOT NULL").select(F.col("rep").alias("a"), F.col("other").alias("b")))
     known = classes.drop("bands").join(links, "rep", "left").join(groups.withColumnRenamed("id", "rep"), "rep", "left")
     known = known.select("s1", "s2", "rep", "n_copies", "n_links", "label")
-    members = signed.select("doc_id", *[F.when(F.col("doc_id").isNotNull(), F.col(c)).alias(c) for c in ("s1", "s2")])
+    marks = [c for c in signed.columns if c == "mark"]
+    members = signed.select("doc_id", *marks, *[F.when(F.col("doc_id").isNotNull(), F.col(c)).alias(c) for c in ("s1", "s2")])
     return members.join(known, ["s1", "s2"], "left").select(
         "doc_id",
         F.coalesce("label", "rep", "doc_id").alias("class_id"),
         F.coalesce("rep", "doc_id").alias("rep_id"),
         F.coalesce("n_copies", F.lit(1).cast("long")).alias("n_copies"),
         F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"),
+        "s1", "s2", *marks,
     )
 
 
 def one_per_class(docs: DataFrame) -> DataFrame:
-    """The rows of docs whose doc_id is the smallest of its class, once each; rows without a doc_id all stay."""
-    found = similarity_classes(docs)
-    keep = found.where("doc_id = class_id").select(F.col("doc_id").alias("k")).distinct()
-    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").cast("long").alias("d"))
-    kept = rows.join(keep, F.col("d") == F.col("k"), "left_semi")
-    return kept.select("row.*").unionByName(docs.where("doc_id IS NULL"))
+    """One row of each class: of the smallest doc_id, once each.
+
+    Rows without a doc_id take part under ids of their texts beyond 2**62, so they stay where no row with an id below
+    that is in their class. Of rows with equal doc_id and text the one with the least other columns stays; texts of one
+    doc_id with different 5-gram sets are told apart, and those with the same set count as copies.
+    """
+    mark = F.xxhash64("text")
+    own = F.lit(2**62) + F.shiftrightunsigned(mark, 3)
+    others = [c for c in docs.columns if c not in ("doc_id", "text")]
+    rows = docs.select(
+        F.struct(*docs.columns).alias("row"), F.coalesce(F.col("doc_id").cast("long"), own).alias("d"), mark.alias("m"),
+        F.to_json(F.struct(*others)).alias("rest") if others else F.lit("").alias("rest"),
+    )
+    # The window keeps one row per task before the shuffle, and the join below has the same keys.
+    first = rows.withColumn("at", F.row_number().over(Window.partitionBy("d", "m").orderBy("rest"))).where("at = 1")
+    texts = docs.select(F.coalesce(F.col("doc_id").cast("long"), own).alias("doc_id"), "text", mark.alias("mark"))
+    found = _classified(texts, THRESHOLD, TOLERANCE).where("doc_id = class_id")
+    keep = found.groupBy(F.col("doc_id").alias("k"), "s1", "s2").agg(F.min("mark").alias("km")).select("k", "km")
+    return first.join(keep, (F.col("d") == F.col("k")) & (F.col("m") == F.col("km")), "left_semi").select("row.*")

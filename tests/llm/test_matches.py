@@ -82,6 +82,30 @@ def test_several_texts_with_one_id(spark):
     assert ngram_join.similarity_classes(docs).count() == docs.count()
 
 
+def test_one_row_per_class(spark):
+    base = documents(spark)
+    near = near_copies(spark, 6)
+    lone = prose(random.Random(77), 200)
+    more = [(5, base.where("doc_id = 5").first().text, "en", "a", 1, "other columns")]
+    more += [*near, (None, near[0][1] + " more", "en", "a", 1, "near a row with an id")]
+    more += [(None, lone, "en", "a", 1, "x")] * 3 + [(None, lone + " more", "en", "b", 1, "near"), (None, lone.upper(), "en", "b", 1, "copy")]
+    more += [(700, "several texts of one id", "en", "a", 1, "x"), (700, "Several texts of one id", "en", "a", 1, "x"), (700, near[0][1], "en", "a", 1, "x")]
+    docs = base.union(spark.createDataFrame(more, base.schema))
+    got = ngram_join.one_per_class(docs).collect()
+    rows = [r for r in docs.collect() if r.doc_id is not None]
+    want = joined([r for r in rows if r.doc_id not in (6, 700)])
+    heads = sorted({c for c, _, _ in want.values()} - {1000} | {6}) + [6]
+    assert sorted(r.doc_id for r in got if r.doc_id not in (None, 700, 1000)) == sorted(heads)
+    # One text of 700 is that of 1000: whichever of the two ids stands, there is one row of it and one of the other text.
+    both = Counter(r.text.lower() for r in got if r.doc_id in (700, 1000))
+    assert both == Counter([near[0][1].lower(), "several texts of one id"])
+    alone = [r.text for r in got if r.doc_id is None]
+    assert Counter(t for t in alone if t not in (lone, lone + " more", lone.upper())) == Counter(["no id and a text of its own", None])
+    assert len(alone) == 3
+    again = ngram_join.one_per_class(docs.repartition(7)).collect()
+    assert sorted(map(str, again)) == sorted(map(str, got))
+
+
 def test_pruning_bounds():
     least = ngram_join.least_matches(0.8, 1e-9)
     assert least[16] < 12 and least[128] > 50
