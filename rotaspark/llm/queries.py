@@ -18,6 +18,7 @@ from rotaspark.llm import (
     quality_rules,
     token_planes,
     toxicity,
+    whitening,
     winnowing,
 )
 from rotaspark.llm.common import new_path, table
@@ -81,6 +82,11 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan_licenses(table(spark, sf_dir, "documents"))
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return whitening.whiten(vectors, whitening.fit(vectors))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -99,6 +105,7 @@ def queries() -> dict[str, Query]:
         op8_source_mix,
         op9_winnowing,
         op10_license_scan,
+        op11_whitening,
         pipeline,
     ]
     return {f.__name__: f for f in named}
