@@ -117,3 +117,74 @@ SELECT conv_id, other_id, n_turns::INTEGER AS n_turns, n::INTEGER AS n_prompt_tu
     {_mask("chosen[n + 1:]")} AS chosen_mask, {_mask("rejected[n + 1:]")} AS rejected_mask
 FROM cut
 """
+
+
+_KEY = {
+    "assign": "(?:[pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[sS][eE][cC][rR][eE][tT]|[tT][oO][kK][eE][nN]|[aA][pP][iI]_?[kK][eE][yY])",
+    "login": "(?:[uU][sS][eE][rR](?:_?[nN][aA][mM][eE]|_?[iI][dD])?|[lL][oO][gG][iI][nN]|[aA][cC][cC][oO][uU][nN][tT](?:_?[iI][dD])?"
+    "|[cC][lL][iI][eE][nN][tT]_?[iI][dD]|[aA][cC][cC][eE][sS][sS]_?[kK][eE][yY]_?[iI][dD])",
+    "loose": "(?:[pP][wW][dD]|[pP][aA][sS][sS]|[pP][aA][sS][sS][pP][hH][rR][aA][sS][eE]|[cC][rR][eE][dD][eE][nN][tT][iI][aA][lL][sS]?"
+    "|[pP][rR][iI][vV][aA][tT][eE]_?[kK][eE][yY]|[aA][cC][cC][eE][sS][sS]_?[kK][eE][yY]|[aA][uU][tT][hH])",
+    "host": "(?:[hH][oO][sS][tT](?:_?[nN][aA][mM][eE])?|[eE][nN][dD][pP][oO][iI][nN][tT]|[sS][eE][rR][vV][eE][rR])",
+}
+_SET = "[\"\'\']?\\x20*[:=]\\x20*[\"\'\']?"
+#: name, place in the order, role, base, pattern, least length of the value
+_PARTS = [
+    ("assign", 0, 2, True, _KEY["assign"] + _SET + "([A-Za-z0-9+/_.=-]+)", 6),
+    ("access", 1, 1, True, "(AKIA[A-Z0-9]{16,})", 1),
+    ("hex", 2, 2, True, "([0-9a-f]{24,})", 1),
+    ("login", 3, 1, False, _KEY["login"] + _SET + "([A-Za-z0-9@._+-]+)", 3),
+    ("email", 4, 1, False, "([A-Za-z0-9._+-]+@[A-Za-z0-9-]+(?:\\.[A-Za-z0-9-]+)+)", 1),
+    ("loose", 6, 2, False, _KEY["loose"] + _SET + "([A-Za-z0-9+/_.=-]+)", 4),
+    ("opaque", 7, 2, False, "([A-Za-z0-9+/_=-]{20,})", 1),
+    ("url", 8, 3, False, "((?:https?|ftps?|sftp|ssh|s3|jdbc:[a-z0-9]+|postgres(?:ql)?|mysql|mongodb|redis|amqps?)://[^\\x00-\\x20\"\'\'<>\\x7F]+)", 1),
+    ("host", 9, 3, False, _KEY["host"] + _SET + "([A-Za-z0-9-]+(?:\\.[A-Za-z0-9-]+)+)", 1),
+    ("break", 10, 0, False, "(\\n[\\x20\\t\\r]*\\n)", 1),
+]
+
+SECRETS = f"""
+WITH doc AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+raw AS (
+    {" UNION ALL ".join(f"SELECT doc_id, '{name}' AS kind, {n} AS place, {role} AS role, {base} AS base, {least} AS least, string_split_regex(t, '{p}') AS b, regexp_extract_all(t, '{p}') AS m, regexp_extract_all(t, '{p}', 1) AS v FROM doc WHERE regexp_matches(t, '{p}')" for name, n, role, base, p, least in _PARTS)}
+),
+hit AS (
+    SELECT doc_id, kind, place, role, base, least, i, length(b[i]) + length(m[i]) AS step, m[i] AS whole, length(v[i]) AS size
+    FROM (SELECT *, unnest(range(1, len(m) + 1)) AS i FROM raw)
+),
+placed AS (
+    SELECT *, sum(step) OVER (PARTITION BY doc_id, kind ORDER BY i)::BIGINT AS stop FROM hit
+),
+part AS (
+    SELECT doc_id, CASE WHEN kind = 'assign' AND size < 6 THEN 'short' ELSE kind END AS kind,
+        CASE WHEN kind = 'assign' AND size < 6 THEN 5 ELSE place END AS place, role, base AND size >= least AS base,
+        stop - length(whole) AS start, stop
+    FROM placed
+    WHERE (size >= least OR kind = 'assign')
+        AND (kind <> 'opaque' OR regexp_matches(whole, '[a-z]') AND regexp_matches(whole, '[A-Z]') AND regexp_matches(whole, '[0-9]'))
+),
+scoped AS (
+    SELECT p.*, (SELECT count(*) FROM part b WHERE b.doc_id = p.doc_id AND b.kind = 'break' AND b.start <= p.start) AS scope
+    FROM part p WHERE kind <> 'break'
+),
+seen AS (
+    SELECT * FROM scoped p
+    WHERE base OR kind IN ('url', 'host') OR NOT EXISTS (
+        SELECT 1 FROM scoped o WHERE o.doc_id = p.doc_id AND o.start < p.stop AND o.stop > p.start
+            AND CASE WHEN p.kind = 'opaque' THEN o.kind <> 'opaque' ELSE o.base END
+    )
+),
+near AS (
+    SELECT w.doc_id, w.place, w.start
+    FROM seen w JOIN seen o ON w.doc_id = o.doc_id AND w.scope = o.scope AND w.role <> o.role AND abs(w.start - o.start) <= 200
+    WHERE NOT w.base GROUP BY ALL HAVING bool_or(o.base) OR count(DISTINCT o.role) = 2
+),
+told AS (
+    SELECT s.*, s.kind || ':' || s.start || ':' || s.stop AS span FROM seen s
+    LEFT JOIN near n ON s.doc_id = n.doc_id AND s.place = n.place AND s.start = n.start WHERE s.base OR n.doc_id IS NOT NULL
+)
+SELECT doc.doc_id, count(*) FILTER (WHERE kind = 'assign') AS n_assign, count(*) FILTER (WHERE kind = 'access') AS n_access,
+    count(*) FILTER (WHERE kind = 'hex') AS n_hex,
+    sha256(coalesce(string_agg(span, ',' ORDER BY start, place) FILTER (WHERE base), '')) AS base_sha256,
+    coalesce(string_agg(span, ',' ORDER BY start, place), '') AS spans
+FROM doc LEFT JOIN told ON doc.doc_id = told.doc_id GROUP BY doc.doc_id
+"""

@@ -17,6 +17,7 @@ from rotaspark.llm import (
     periodic_runs,
     preferences,
     quality_rules,
+    secrets,
     token_planes,
     toxicity,
     whitening,
@@ -105,6 +106,17 @@ def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op13_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.scan(table(spark, sf_dir, "documents"))
+    count = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long")
+    base = F.filter("spans", lambda s: s["base"])
+    joined = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+    return found.select(
+        "doc_id", count("assign").alias("n_assign"), count("access").alias("n_access"), count("hex").alias("n_hex"),
+        F.sha2(joined(base).cast("binary"), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"),
+    )
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -125,6 +137,7 @@ def queries() -> dict[str, Query]:
         op10_license_scan,
         op11_whitening,
         op12_periodic_runs,
+        op13_secret_scan,
         pipeline,
     ]
     return {f.__name__: f for f in named}
@@ -135,4 +148,5 @@ def oracle_sql() -> dict[str, str]:
         "op2_quality_rules": oracles.QUALITY,
         "op6_preference_format": oracles.PREFERENCES,
         "op7_line_dedup": oracles.LINE_DEDUP,
+        "op13_secret_scan": oracles.SECRETS,
     }
