@@ -23,7 +23,24 @@ FROM marked GROUP BY doc_id
 
 _WORD = "[^\\x20\\x09-\\x0D]+"
 _METRICS = {"symbols": ("n_symbols", "n_words"), "dup_lines": ("n_dup_lines", "n_lines"), "repeats": ("n_repeat_words", "n_words"), "long_words": ("word_chars", "n_words")}
-_SLACK = {"symbols": 3000.0, "dup_lines": 4000.0, "repeats": 4500.0, "long_words": 30000.0}
+_WIDTH = {"symbols": 1000, "dup_lines": 1500, "repeats": 1500, "long_words": 8000}
+
+
+def _valley(counts: str, groups: str) -> str:
+    """Median and limit of each group of counts: the middle of the first two quantiles that are far apart."""
+    return f"""
+    SELECT {groups}, metric, min(b) AS centre, arg_min(coalesce((b + next) // 2, b + width), b) FILTER (WHERE next IS NULL OR next - b >= width) AS top
+    FROM (
+        SELECT *, min(b) OVER (PARTITION BY {groups}, metric ORDER BY share RANGE BETWEEN 2000000 FOLLOWING AND UNBOUNDED FOLLOWING) AS next,
+            CASE metric {" ".join(f"WHEN '{m}' THEN {w}" for m, w in _WIDTH.items())} END AS width
+        FROM (
+            SELECT *, ((sum(n) OVER (PARTITION BY {groups}, metric ORDER BY b))::HUGEINT * 1000000000
+                // (sum(n) OVER (PARTITION BY {groups}, metric))::HUGEINT)::BIGINT AS share
+            FROM {counts}
+        )
+    )
+    WHERE share >= 500000000 GROUP BY {groups}, metric"""
+
 
 QUALITY = f"""
 WITH doc AS (
@@ -45,35 +62,32 @@ base AS (
         (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines, coalesce(covered.n, 0)::BIGINT AS n_repeat_words
     FROM line LEFT JOIN covered ON line.doc_id = covered.doc_id
 ),
+failed AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM base),
 metric AS (
-    {" UNION ALL ".join(f"SELECT lk, sk, '{m}' AS metric, ({a} * 10000) // {b} AS v FROM base WHERE n_words > 0" for m, (a, b) in _METRICS.items())}
+    {" UNION ALL ".join(f"SELECT lk, sk, '{m}' AS metric, ({a} * 10000) // {b} AS v FROM failed WHERE NOT base_failed" for m, (a, b) in _METRICS.items())}
 ),
 own AS (
     SELECT lk, sk, metric, v - v % (2 ** greatest(length(bin(v)) - 6, 0))::BIGINT AS b, count(*) AS n FROM metric GROUP BY ALL
 ),
-both_ AS (
-    SELECT lk, sk, metric, b, n * 100 AS n FROM own
-    UNION ALL
-    SELECT g.lk, g.sk, g.metric, l.b, l.n
-    FROM (SELECT DISTINCT lk, sk, metric FROM own) g
-    JOIN (SELECT lk, metric, b, sum(n) AS n FROM own GROUP BY ALL) l ON g.lk = l.lk AND g.metric = l.metric
-),
-merged AS (SELECT lk, sk, metric, b, sum(n) AS n FROM both_ GROUP BY ALL),
-share AS (
-    SELECT *, (sum(n) OVER (PARTITION BY lk, sk, metric ORDER BY b))::DOUBLE / (sum(n) OVER (PARTITION BY lk, sk, metric))::DOUBLE AS s
-    FROM merged
-),
-mark AS (
-    SELECT lk, sk, metric, min(b) FILTER (WHERE s >= 0.5) AS centre, min(b) FILTER (WHERE s >= 0.9) AS upper FROM share GROUP BY ALL
-),
+lang AS (SELECT lk, metric, b, sum(n) AS n FROM own GROUP BY ALL),
+merged AS (
+    SELECT lk, sk, metric, b, sum(n) AS n FROM (
+        SELECT o.lk, o.sk, o.metric, o.b, o.n * t.total AS n
+        FROM own o JOIN (SELECT lk, metric, sum(n) AS total FROM lang GROUP BY ALL) t ON o.lk = t.lk AND o.metric = t.metric
+        UNION ALL
+        SELECT g.lk, g.sk, g.metric, l.b, l.n * 100
+        FROM (SELECT DISTINCT lk, sk, metric FROM own) g JOIN lang l ON g.lk = l.lk AND g.metric = l.metric
+    ) GROUP BY ALL
+),
+bound AS ({_valley("lang", "lk")}),
+mark AS ({_valley("merged", "lk, sk")}),
 cap AS (
-    SELECT lk, sk, metric, upper + greatest(4.0 * (upper - centre), CASE metric
-        {" ".join(f"WHEN '{m}' THEN {v}" for m, v in _SLACK.items())} END) AS top FROM mark
+    SELECT m.lk, m.sk, m.metric, least(m.top, m.centre + 2 * (b.top - b.centre)) AS top
+    FROM mark m JOIN bound b ON m.lk = b.lk AND m.metric = b.metric
 ),
 caps AS (
     SELECT lk, sk, {", ".join(f"max(top) FILTER (WHERE metric = '{m}') AS max_{m}" for m in _METRICS)} FROM cap GROUP BY ALL
-),
-failed AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM base)
+)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
     NOT base_failed AND {" AND ".join(f"coalesce(({a} * 10000) // nullif({b}, 0) <= max_{m}, true)" for m, (a, b) in _METRICS.items())} AS kept
 FROM failed LEFT JOIN caps ON failed.lk = caps.lk AND failed.sk = caps.sk

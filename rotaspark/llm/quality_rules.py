@@ -15,20 +15,17 @@ from rotaspark.llm.common import BLANKS, staged
 #: Metrics are integers per this many units; bins split each power of two into 2**(_BITS - 1) parts.
 SCALE = 10_000
 _BITS = 6
-#: A threshold is the UPPER quantile plus SPREAD times its distance from the CENTRE quantile, but at least the metric's
-#: slack beyond it: in a clean group most quantiles are 0 or close together.
-CENTRE, UPPER, SPREAD = 0.5, 0.9, 4.0
-SLACK = {"symbols": 0.3, "dup_lines": 0.4, "repeats": 0.45, "long_words": 3.0}
-#: How often a document of the group counts beside one of its whole language, whose sketch is merged in as a prior.
-OWN_WEIGHT = 100
-MIN_WORDS, MAX_REPEAT_PERCENT = 50, 50
-#: The steady limits of kept_documents: the STEADY_CENTRE quantile plus STEADY_SPREAD times its distance from the
-#: STEADY_LOWER one, which junk of up to 30% of a group moves inside its clean part only, but at least the floor beyond.
-STEADY_CENTRE, STEADY_LOWER, STEADY_SPREAD = 0.5, 0.25, 6.0
-FLOOR = {"symbols": 0.1, "dup_lines": 0.4, "repeats": 0.4, "long_words": 2.0}
-#: A source's own documents count beside so many of its language's.
+#: A limit lies in the first valley above a group's median: a stretch at least this wide that holds at most VALLEY of
+#: the group. The widths tell noise from a gap; where the valley begins and ends is read from the group's quantiles.
+WIDTH = {"symbols": 0.1, "dup_lines": 0.15, "repeats": 0.15, "long_words": 0.8}
+VALLEY, CENTRE = 0.002, 0.5
+#: As many documents' worth of its language's sketch are merged into each source's.
 PRIOR_DOCUMENTS = 100
-METRICS = tuple(SLACK)
+#: A source's limit is at most so many times as far from its median as its language's limit is from the language's.
+BOUND = 2
+_PARTS = 10**9
+MIN_WORDS, MAX_REPEAT_PERCENT = 50, 50
+METRICS = tuple(WIDTH)
 
 
 def _words(text: Column) -> Column:
@@ -93,63 +90,49 @@ def sketch(measures: DataFrame, groups: list[str]) -> DataFrame:
     return rows.select(*groups, "p.metric", "p.bin").groupBy(*groups, "metric", "bin").agg(F.count("*").alias("n"))
 
 
-def thresholds(own: DataFrame) -> DataFrame:
-    """(lang_key, source_key, one column per metric): the largest value that a document of the group may have.
+def valleys(counts: DataFrame, groups: list[str]) -> DataFrame:
+    """(groups, metric, centre, top) of counts (groups, metric, bin, n): the median and the limit above it.
 
-    own is the sketch per language and source. The language's sketch is merged into each, with 1/OWN_WEIGHT of the
-    weight, so a source with few documents is judged mostly by its language and a large one by itself.
+    Going up from the median, the limit is the middle of the first two quantiles that are VALLEY apart in rank and at
+    least the metric's width apart in value. What lies beyond may be any part of the group below a half: its quantiles
+    move, but the valley before them stays. Where no valley comes before the end, it is a width above the last quantile.
     """
-    lang = own.groupBy("lang_key", "metric", "bin").agg(F.sum("n").alias("n"))
-    sources = own.select("lang_key", "source_key", "metric").distinct()
-    prior = sources.join(lang, ["lang_key", "metric"]).select(
-        "lang_key", "source_key", "metric", "bin", "n"
-    )
-    merged = own.select("lang_key", "source_key", "metric", "bin", (F.col("n") * OWN_WEIGHT).alias("n")).unionByName(prior)
-    merged = merged.groupBy("lang_key", "source_key", "metric", "bin").agg(F.sum("n").alias("n"))
-    group = Window.partitionBy("lang_key", "source_key", "metric")
-    share = F.sum("n").over(group.orderBy("bin")) / F.sum("n").over(group)
-    marks = merged.withColumn("share", share).groupBy("lang_key", "source_key", "metric").agg(
-        *[F.min(F.when(F.col("share") >= q, F.col("bin"))).alias(name) for name, q in (("centre", CENTRE), ("upper", UPPER))]
-    )
-    spread = SPREAD * (F.col("upper") - F.col("centre"))
-    return marks.groupBy("lang_key", "source_key").agg(
-        *[
-            F.max(F.when(F.col("metric") == m, F.col("upper") + F.greatest(spread, F.lit(slack * SCALE)))).alias(f"max_{m}")
-            for m, slack in SLACK.items()
-        ]
-    )
-
-
-def _steady(counts: DataFrame, groups: list[str]) -> DataFrame:
-    """(groups, metric, top): the limits that counts (groups, metric, bin, n) give."""
     group = Window.partitionBy(*groups, "metric")
-    share = F.sum("n").over(group.orderBy("bin")) / F.sum("n").over(group)
-    marks = counts.withColumn("share", share).groupBy(*groups, "metric").agg(
-        *[F.min(F.when(F.col("share") >= q, F.col("bin"))).alias(name) for name, q in (("centre", STEADY_CENTRE), ("lower", STEADY_LOWER))]
-    )
-    floor = F.create_map(*[F.lit(x) for m, v in FLOOR.items() for x in (m, v * SCALE)])[F.col("metric")]
-    top = F.col("centre") + F.greatest(STEADY_SPREAD * (F.col("centre") - F.col("lower")), floor)
-    return marks.select(*groups, "metric", top.alias("top"))
+    rank = F.sum("n").over(group.orderBy("bin")).cast("decimal(28,0)")
+    ranked = counts.select(*groups, "metric", "bin", rank.alias("rank"), F.sum("n").over(group).cast("decimal(28,0)").alias("total"))
+    ranked = ranked.withColumn("share", F.expr(f"(rank * {_PARTS}) div total"))
+    ahead = group.orderBy("share").rangeBetween(int(VALLEY * _PARTS), Window.unboundedFollowing)
+    width = F.create_map(*[F.lit(x) for m, w in WIDTH.items() for x in (m, round(w * SCALE))])[F.col("metric")]
+    steps = ranked.withColumn("next", F.min("bin").over(ahead)).withColumn("width", width)
+    steps = steps.where(F.col("share") >= int(CENTRE * _PARTS))
+    wide = F.col("next").isNull() | (F.col("next") - F.col("bin") >= F.col("width"))
+    middle = F.coalesce(F.expr("(bin + next) div 2"), F.col("bin") + F.col("width"))
+    return steps.groupBy(*groups, "metric").agg(
+        F.min("bin").alias("centre"), F.min(F.when(wide, F.struct("bin", middle.alias("top")))).alias("first")
+    ).select(*groups, "metric", "centre", F.col("first.top").alias("top"))
 
 
-def steady_limits(own: DataFrame) -> DataFrame:
-    """(lang_key, source_key, one column steady_... per metric): limits that dirty sources do not move.
+def thresholds(own: DataFrame) -> DataFrame:
+    """(lang_key, source_key, one column max_... per metric): the largest value that a document of the group may have.
 
-    own is the sketch per language and source. PRIOR_DOCUMENTS documents' worth of the language's sketch are merged
-    into each source's, and no source's limit is beyond its language's.
+    own is the sketch per language and source, of documents that pass the base rule. PRIOR_DOCUMENTS documents' worth
+    of the language's sketch are merged into each source's, so a source with few documents is judged mostly by its
+    language and a large one by itself; and a source is at most BOUND times as lenient as its language, from the median.
     """
     lang = own.groupBy("lang_key", "metric", "bin").agg(F.sum("n").alias("n"))
-    whole = lang.groupBy("lang_key", "metric").agg(F.sum("n").cast("decimal(19,0)").alias("total"))
+    whole = lang.groupBy("lang_key", "metric").agg(F.sum("n").cast("decimal(14,0)").alias("total"))
     sources = own.select("lang_key", "source_key", "metric").distinct()
-    mine = own.join(whole, ["lang_key", "metric"]).select("lang_key", "source_key", "metric", "bin", (F.col("n") * F.col("total")).alias("n"))
+    mine = own.join(whole, ["lang_key", "metric"])
+    mine = mine.select("lang_key", "source_key", "metric", "bin", (F.col("n").cast("decimal(14,0)") * F.col("total")).alias("n"))
     prior = sources.join(lang, ["lang_key", "metric"]).select(
-        "lang_key", "source_key", "metric", "bin", (F.col("n") * F.lit(PRIOR_DOCUMENTS)).cast("decimal(38,0)").alias("n")
+        "lang_key", "source_key", "metric", "bin", (F.col("n") * PRIOR_DOCUMENTS).cast("decimal(29,0)").alias("n")
     )
     merged = mine.unionByName(prior).groupBy("lang_key", "source_key", "metric", "bin").agg(F.sum("n").alias("n"))
-    bound = _steady(lang, ["lang_key"]).withColumnRenamed("top", "bound")
-    tops = _steady(merged, ["lang_key", "source_key"]).join(bound, ["lang_key", "metric"])
+    bounds = valleys(lang, ["lang_key"]).select("lang_key", "metric", ((F.col("top") - F.col("centre")) * BOUND).alias("reach"))
+    tops = valleys(merged, ["lang_key", "source_key"]).join(bounds, ["lang_key", "metric"])
+    top = F.least("top", F.col("centre") + F.col("reach"))
     return tops.groupBy("lang_key", "source_key").agg(
-        *[F.max(F.when(F.col("metric") == m, F.least("top", "bound"))).alias(f"steady_{m}") for m in METRICS]
+        *[F.max(F.when(F.col("metric") == m, top)).alias(f"max_{m}") for m in METRICS]
     )
 
 
@@ -162,6 +145,10 @@ def _measured(docs: DataFrame) -> DataFrame:
     return staged(base_measures(rows).drop("text"), "quality-measures")
 
 
+def _base_failed() -> Column:
+    return (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
+
+
 def judged(docs: DataFrame) -> DataFrame:
     """doc_id, mark, lang_key, source_key, the base measures, base_failed and kept, of every row.
 
@@ -172,33 +159,23 @@ def judged(docs: DataFrame) -> DataFrame:
     shuffled, so a group of any size comes as a few hundred bins.
     """
     measures = _measured(docs)
-    return _verdicts(measures, sketch(measures, ["lang_key", "source_key"]))
-
-
-def _verdicts(measures: DataFrame, own: DataFrame) -> DataFrame:
-    limits = thresholds(own)
-    failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
+    limits = thresholds(staged(sketch(measures.where(~_base_failed()), ["lang_key", "source_key"]), "quality-sketch"))
     fine = F.lit(True)
     for m, c in metric_columns().items():
         fine = fine & F.coalesce(c <= F.col(f"max_{m}"), F.lit(True))
     return measures.join(limits, ["lang_key", "source_key"], "left").select(
-        *measures.columns, failed.alias("base_failed"), (~failed & fine).alias("kept")
+        *measures.columns, _base_failed().alias("base_failed"), (~_base_failed() & fine).alias("kept")
     )
 
 
 def kept_documents(docs: DataFrame) -> DataFrame:
-    """The rows of docs that judged keeps and that are within the steady limits, with the columns of docs as they are.
+    """The rows of docs that judged keeps, with the columns of docs as they are.
 
-    judged's own limits follow its SQL check, and where a tenth of a group is junk they lie beyond the junk.
+    Rows are told apart by doc_id, text, lang and source, NULLs included, so repeated rows stay or go together; columns
+    of any other name pass through, and an empty table stays empty.
     """
-    key = F.struct("doc_id", "mark", "lang_key", "source_key")
-    measures = _measured(docs)
-    own = staged(sketch(measures, ["lang_key", "source_key"]), "quality-sketch")
-    fine = F.lit(True)
-    for m, c in metric_columns().items():
-        fine = fine & F.coalesce(c <= F.col(f"steady_{m}"), F.lit(True))
-    verdicts = _verdicts(measures, own).where("kept").join(steady_limits(own), ["lang_key", "source_key"], "left")
-    good = verdicts.where(fine).select(key.alias("k")).distinct().select(*[F.col(f"k.{c}").alias(f"k_{c}") for c in ("doc_id", "mark", "lang_key", "source_key")])
+    key = ("doc_id", "mark", "lang_key", "source_key")
+    good = judged(docs).where("kept").select(*[F.col(c).alias(f"k_{c}") for c in key]).distinct()
     rows = docs.select(
         F.struct(*docs.columns).alias("row"), F.col("doc_id").alias("d"),
         F.xxhash64(F.coalesce("text", F.lit(""))).alias("m"), _key("lang").alias("l"), _key("source").alias("s"),
