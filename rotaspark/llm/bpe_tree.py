@@ -3,11 +3,13 @@
 Each piece has a tree whose leaf i holds rank * width + i of the pair that starts at symbol i. The root is the
 leftmost pair of lowest rank. A merge changes three leaves, each in log2(width) steps; a piece is done when its root
 holds no pair. Pieces of equal tree width form the rows of one array, so one array operation is one step of all.
+Few pieces of a width are worked on one by one instead, in flat arrays of numbers, where a step costs less than a call.
 """
 
 from __future__ import annotations
 
 import json
+from array import array
 
 import numpy as np
 
@@ -15,6 +17,8 @@ from rotaspark.llm.pretokens import PieceEncoder
 
 _NONE = np.int64(1) << np.int64(62)
 _CELLS = 1 << 21
+#: Fewer rows than this are merged one by one.
+_FEW = 48
 
 
 def byte_characters() -> list[str]:
@@ -43,6 +47,7 @@ class TreeBpe:
         order = np.argsort(keys, kind="stable")
         self.keys, self.ranks = keys[order], order.astype(np.int64)
         self.results = np.array([vocab[a + b] for a, b in pairs], np.int64)[order]
+        self._known: dict[int, tuple[int, int]] = {}
         self.token_bytes = [b""] * self.size
         for token, i in vocab.items():
             self.token_bytes[i] = bytes(value[c] for c in token) if all(c in value for c in token) else token.encode()
@@ -66,6 +71,10 @@ class TreeBpe:
             step = max(1, _CELLS // int(w))
             for at in range(0, rows.size, step):
                 chosen = rows[at : at + step]
+                if chosen.size < _FEW:
+                    for i in chosen.tolist():
+                        out[i] = self._merge_one(raw[i], int(w))
+                    continue
                 for i, ids in zip(chosen, self._merge([raw[j] for j in chosen], int(w))):
                     out[i] = ids
         for i, p in enumerate(pieces):
@@ -115,6 +124,57 @@ class TreeBpe:
         ends = np.cumsum(left.sum(axis=1)).tolist()
         return [tuple(flat[a:b]) for a, b in zip([0, *ends[:-1]], ends)]
 
+    def _merge_one(self, raw: bytes, width: int) -> tuple[int, ...]:
+        """The same tree for one piece: a point update ends where a node keeps its value."""
+        n, none, size = len(raw), int(_NONE), self.size
+        start = self.byte_ids[np.frombuffer(raw, np.uint8)]
+        if n < 2:
+            return tuple(start.tolist())
+        if not self._known:
+            self._known = dict(zip(self.keys.tolist(), zip(self.ranks.tolist(), self.results.tolist())))
+        known = self._known
+        leaves = np.full(2 * width, _NONE, np.int64)
+        rank, _ = self._pairs(start[:-1], start[1:])
+        leaves[width : width + n - 1] = np.where(rank < _NONE, rank * width + np.arange(n - 1), _NONE)
+        level = width
+        while level > 1:
+            leaves[level // 2 : level] = np.minimum(leaves[level : 2 * level : 2], leaves[level + 1 : 2 * level : 2])
+            level //= 2
+        tree, sym = array("q", leaves.tobytes()), array("q", start.tobytes())
+        after, before = array("q", range(1, n + 1)), array("q", range(-1, n - 1))
+        del leaves, start, rank
+
+        def point(at: int, value: int) -> None:
+            at += width
+            tree[at] = value
+            while at > 1:
+                other = tree[at ^ 1]
+                if other < value:
+                    value = other
+                at >>= 1
+                if tree[at] == value:
+                    return
+                tree[at] = value
+
+        while (least := tree[1]) < none:
+            i = least % width
+            j = after[i]
+            made = known[sym[i] * size + sym[j]][1]
+            k = after[j]
+            sym[i], sym[j], after[i] = made, -1, k
+            point(j, none)
+            value = none
+            if k < n:
+                before[k] = i
+                if (pair := known.get(made * size + sym[k])) is not None:
+                    value = pair[0] * width + i
+            point(i, value)
+            h = before[i]
+            if h >= 0:
+                pair = known.get(sym[h] * size + made)
+                point(h, none if pair is None else pair[0] * width + h)
+        return tuple(x for x in sym if x >= 0)
+
     @staticmethod
     def _point(tree: np.ndarray, rows: np.ndarray, leaf: np.ndarray, value: np.ndarray, width: int) -> None:
         at = leaf + width

@@ -32,10 +32,13 @@ def dedup_lines(docs: DataFrame, min_points: int = MIN_POINTS, min_docs: int = M
     docs named n_lines or n_dropped are replaced, and so is text; all others pass through. An empty table stays empty.
 
     Keys travel as two 64-bit hashes. Documents are counted from distinct (key, doc_id) rows, so no key is gathered
-    anywhere; the few frequent keys are copied to SALTS salts before they meet their lines.
+    anywhere; the few frequent keys are copied to SALTS salts before they meet their lines. A text with lost lines is
+    split once more, into a column of its own, and put together from the positions that are left, so the work is linear
+    in its lines.
     """
     text = F.coalesce("text", F.lit(""))
-    lines = docs.select("doc_id", F.xxhash64(text).alias("mark"), F.posexplode(_lines(F.col("text"))).alias("pos", "line"))
+    split = docs.select("doc_id", F.xxhash64(text).alias("mark"), _lines(F.col("text")).alias("lines"))
+    lines = split.select("doc_id", "mark", F.posexplode("lines").alias("pos", "line"))
     keyed = lines.where(F.length("line") >= min_points).select("doc_id", "mark", "pos", line_key(F.col("line")).alias("key"))
     keyed = keyed.where(F.length("key") >= min_points).select(
         "doc_id", "mark", "pos", F.xxhash64("key").alias("h1"), F.xxhash64(F.lit("line"), "key").alias("h2")
@@ -51,9 +54,9 @@ def dedup_lines(docs: DataFrame, min_points: int = MIN_POINTS, min_docs: int = M
     drops = lost.groupBy("doc_id", "mark").agg(F.collect_set("pos").alias("drops"))
     rows = docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").alias("d"), F.xxhash64(text).alias("m"))
     joined = rows.join(drops, F.col("d").eqNullSafe(drops["doc_id"]) & (F.col("m") == drops["mark"]), "left")
-    split = _lines(F.col("row.text"))
-    kept = F.array_except(F.sequence(F.lit(0), F.size(split) - 1), F.col("drops"))
-    rebuilt = F.array_join(F.transform(kept, lambda i: F.get(split, i)), "\n")
+    joined = joined.select("row", "drops", F.when(F.col("drops").isNotNull(), _lines(F.col("row.text"))).alias("lines"))
+    kept = F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), F.col("drops"))
+    rebuilt = F.array_join(F.transform(kept, lambda i: F.get("lines", i)), "\n")
     whole_text = F.coalesce("row.text", F.lit(""))
     n_lines = F.length(whole_text) - F.length(F.replace(whole_text, F.lit("\n"), F.lit(""))) + 1
     own = [c for c in docs.columns if c not in ("n_lines", "n_dropped")]

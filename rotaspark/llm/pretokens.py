@@ -14,7 +14,7 @@ import numpy as np
 
 #: Code points encoded at once.
 GROUP_POINTS = 1 << 20
-_SAFE = re.compile("[A-Za-z](?= [A-Za-z])")
+_SAFE = re.compile("[A-Za-z](?= [A-Za-z])|\\S\n(?=\\S)")
 LETTER, DIGIT, BLANK, OTHER, NEW = 0, 1, 2, 3, 255
 _STEP = 0xD1342543DE82EF95
 _UNSTEP = pow(_STEP, -1, 1 << 64)
@@ -138,8 +138,9 @@ class PieceEncoder:
         """(text number, group, piece numbers within the group) for each part of each text, in order.
 
         A group is what was encoded at once: about GROUP_POINTS code points, whatever the batch holds. Long texts are
-        cut into parts where a piece starts for certain: at a space between two ASCII letters. A special token is a
-        part of its own. Empty texts have no part.
+        cut into parts where a piece starts for certain: at a space between two ASCII letters, or behind a single line
+        feed. Without such a place a text is one part, so memory follows the longest stretch without one. A special
+        token is a part of its own. Empty texts have no part.
         """
         held: list[tuple[int, str]] = []
         size = 0
@@ -171,9 +172,13 @@ class PieceEncoder:
         _, where, number = np.unique(span_hashes(points, begin, end), return_index=True, return_inverse=True)
         length = end - begin
         model = spread(begin[where][number], length)
-        if (length != length[where][number]).any() or (points != points[model]).any():
-            raise RuntimeError("two pieces share a hash")
-        group = Group(self._codes([whole[a:b] for a, b in zip(begin[where].tolist(), end[where].tolist())]))
+        if (length != length[where][number]).any() or (points != points[model]).any():  # two pieces share a hash
+            seen: dict[str, int] = {}
+            number = np.array([seen.setdefault(whole[a:b], len(seen)) for a, b in zip(begin.tolist(), end.tolist())], np.int64)
+            pieces = list(seen)
+        else:
+            pieces = [whole[a:b] for a, b in zip(begin[where].tolist(), end[where].tolist())]
+        group = Group(self._codes(pieces))
         cuts = np.append(np.searchsorted(begin, first), begin.size).tolist()
         for k, (i, _) in enumerate(held):
             yield i, group, number[cuts[k] : cuts[k + 1]]

@@ -3,6 +3,7 @@
 import collections
 import random
 import re
+import time
 from bisect import bisect_left
 
 import pytest
@@ -174,6 +175,21 @@ def test_line_dedup(spark):
     assert line_dedup.dedup_lines(empty(docs)).count() == 0
 
 
+def test_texts_of_many_lines(spark):
+    """100,000 lines of which every third is lost: the rebuild is linear in the lines."""
+    shared = "a line that several documents share, long enough to count"
+    text = "\n".join(shared if i % 3 == 0 else f"line {i}" for i in range(100_000))
+    rows = [(1, text, "en", "a", 1, "x"), *[(i, shared, "en", "a", 1, "x") for i in range(2, 8)]]
+    docs = spark.createDataFrame(rows, documents(spark).schema)
+    line_dedup.dedup_lines(docs.where("doc_id > 1")).collect()
+    began = time.time()
+    got = {r.doc_id: r for r in line_dedup.dedup_lines(docs).collect()}
+    assert time.time() - began < 10
+    assert (got[1].n_lines, got[1].n_dropped) == (100_000, 33_334)
+    assert got[1].text == "\n".join(f"line {i}" for i in range(100_000) if i % 3)
+    assert got[7].text == shared and got[6].text == ""
+
+
 def shared_out(sizes, weights, budget):
     """Targets by resharing the excess again and again."""
     target, open_ = {}, dict(zip(sizes, weights))

@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import time
 import zlib
 
 import numpy as np
@@ -9,7 +10,7 @@ import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
 
-from rotaspark.llm import bpe_codec, token_planes
+from rotaspark.llm import bpe_codec, pretokens, token_planes
 from rotaspark.llm.bpe_tree import TreeBpe
 from rotaspark.llm.common import new_path
 
@@ -49,6 +50,33 @@ def test_long_texts_are_cut_where_a_piece_starts(codec):
     assert ids == library_ids(text)
 
 
+def test_long_pieces_and_unbroken_texts(codec):
+    rng = random.Random(4)
+    blob = "".join(rng.choices("ABCDEFGHabcdefgh", k=64_000))
+    texts = [blob, "a" * 64_000, "日本語。テスト" * 9_000, "x\ny's\n\n z\n" * 200_000, "é" * 3000 + "\n" + "1" * 5000]
+    began = time.time()
+    for text in texts:
+        assert [i for c in codec.encode(text) for i in c] == library_ids(text), text[:20]
+    assert time.time() - began < 20
+    table = TreeBpe(PATH)
+    began = time.time()
+    table.encode_pieces([blob])
+    assert time.time() - began < 2
+
+
+def test_few_and_many_pieces_are_merged_alike():
+    table, rng = TreeBpe(PATH), random.Random(5)
+    pieces = ["".join(rng.choices("abcdeé日 ", k=rng.randint(1, 70))) for _ in range(900)]
+    many = table.encode_pieces(pieces)
+    assert [ids for p in pieces for ids in table.encode_pieces([p])] == many
+
+
+def test_pieces_with_equal_hashes(codec, monkeypatch):
+    text = "the cat sat on the mat, the end"
+    monkeypatch.setattr(pretokens, "span_hashes", lambda points, starts, ends: np.zeros(starts.size, np.uint64))
+    assert [i for c in codec.encode(text) for i in c] == library_ids(text)
+
+
 def test_tree_merges_leftmost_lowest_rank_first():
     table = TreeBpe(PATH)
     rank = dict(zip(table.keys.tolist(), zip(table.ranks.tolist(), table.results.tolist())))
