@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rotaspark.functions.keys import serial_or_hash
@@ -82,18 +82,38 @@ def lilo_date_header(columns: list[str]) -> str | None:
     return next((by_name[key] for key in LILO_DATE_HEADERS if key in by_name), None)
 
 
+def _own_date(raw: DataFrame) -> Column:
+    """The date column of a row's own file: where files of several headers are united, `header_cells` tells it."""
+    none = F.lit(None).cast("date")
+    if "header_cells" not in raw.columns:
+        header = lilo_date_header(raw.columns)
+        return parse_date(F.col(f"`{header}`")) if header else none
+    by_name: dict[str, list[str]] = {}
+    for c in raw.columns:
+        by_name.setdefault(normalize_header(c), []).append(c)
+    found = none
+    for c in reversed([c for key in LILO_DATE_HEADERS for c in by_name.get(key, [])]):
+        found = F.when(F.array_contains("header_cells", c), parse_date(F.col(f"`{c}`"))).otherwise(found)
+    return found
+
+
+def lilo_date(raw: DataFrame) -> Column:
+    """FL-06: the date of a LILO row: its date column, first or last date, or the one date in the file's name."""
+    name = F.element_at(F.split(F.col("source_key"), "/"), -1)
+    return F.coalesce(
+        _own_date(raw),
+        F.to_date(parse_datetime(F.col("[First Log-on Time]"))),
+        F.to_date(parse_datetime(F.col("[Last Log-off Time]"))),
+        filename_date(name),
+    )
+
+
 def parse_lilo(raw: DataFrame, roster: DataFrame) -> DataFrame:
     """LILO rows with a `lane`; FL-06 date fallback, FN-28 overnight correction."""
-    date_header = lilo_date_header(raw.columns)
-    own_date = parse_date(F.col(f"`{date_header}`")) if date_header else F.lit(None).cast("date")
-    name = F.element_at(F.split(F.col("source_key"), "/"), -1)
     rows = (
         raw.withColumn("first_login", parse_datetime(F.col("[First Log-on Time]")))
         .withColumn("raw_last_logout", parse_datetime(F.col("[Last Log-off Time]")))
-        .withColumn(
-            "extract_date",
-            F.coalesce(own_date, F.to_date("first_login"), F.to_date("raw_last_logout"), filename_date(name)),
-        )
+        .withColumn("extract_date", lilo_date(raw))
         .withColumn("last_logout", overnight_end(F.col("first_login"), F.col("raw_last_logout")))
         .withColumn(
             "overnight_adjusted",

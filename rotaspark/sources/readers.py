@@ -162,9 +162,10 @@ def read_status(spark: SparkSession, root: str, paths: Sequence[str]) -> DataFra
     )
 
 
-def read_lilo(spark: SparkSession, root: str, paths: Sequence[str]) -> DataFrame:
+def read_lilo(spark: SparkSession, root: str, paths: Sequence[str], keep_header: bool = False) -> DataFrame:
     """SRC-05: LILO CSV with an optional date column."""
-    return read_delimited(spark, root, paths, check=lambda h: _require(h, LILO_HEADERS, "LILO extract"))
+    check = lambda h: _require(h, LILO_HEADERS, "LILO extract")
+    return read_delimited(spark, root, paths, check=check, keep_header=keep_header)
 
 
 def read_schedule(spark: SparkSession, root: str, paths: Sequence[str]) -> tuple[DataFrame, list[str]]:
