@@ -18,7 +18,7 @@ from rotaspark.llm.pretokens import PieceEncoder
 _NONE = np.int64(1) << np.int64(62)
 _CELLS = 1 << 21
 #: Fewer rows than this are merged one by one.
-_FEW = 48
+_FEW = 12
 
 
 def byte_characters() -> list[str]:
