@@ -18,6 +18,7 @@ from rotaspark.functions.text import catalog_key, normalize_header, strip
 from rotaspark.operators.latest import require_unique
 from rotaspark.plans.actuals import LILO_HEADERS, STATUS_HEADERS
 from rotaspark.plans.calls import REQUIRED_HEADERS
+from rotaspark.sources import records
 from rotaspark.sources.inventory import source_key
 
 
@@ -28,8 +29,7 @@ class SourceError(ValueError):
 def headers_of(spark: SparkSession, paths: Sequence[str], sep: str = ",") -> dict[str, tuple[list[str], bool]]:
     """Header cells of every file, and whether each record sits on one line; one pass over all files.
 
-    A record may span lines only where a line holds an odd number of quotes. Files
-    without such a line, of any size, are read in splits.
+    A record may span lines only where a line holds an odd number of quotes.
     """
     odd = (F.length("value") - F.length(F.replace(F.col("value"), F.lit('"'), F.lit("")))) % 2 == 1
     at = F.struct(F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("line"))
@@ -56,12 +56,18 @@ def decoded_path(uri: Column) -> Column:
     return F.url_decode(F.replace(uri, F.lit("+"), F.lit("%2B")))
 
 
+#: A task of a scan reads so many splits at most, with Spark's sizes for splits and for opening a file.
+_SPLITS_A_TASK = 33
+
+
 def with_source_rows(df: DataFrame, first_row: int = 2) -> DataFrame:
     """SRC-16: row number inside each file, without sorting or gathering a file.
 
     Every input split counts its rows; the small table of split offsets is
-    joined back, and the row's place in its split is added. `df` must come
-    straight from a file scan, with `_split` holding its start offset.
+    joined back, and the row's place in its split is added. Up to MAX_SPLITS
+    splits, some 128 TB, it is broadcast, so no raw row is shuffled; beyond, it
+    is an ordinary join. `df` must come straight from a file scan, with
+    `_split` holding its start offset.
     """
     numbered = df.withColumn("_at", F.monotonically_increasing_id())
     splits = numbered.groupBy("source_key", "_split").agg(
@@ -71,6 +77,8 @@ def with_source_rows(df: DataFrame, first_row: int = 2) -> DataFrame:
     offsets = splits.select(
         "source_key", "_split", "_first", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset")
     )
+    if df.rdd.getNumPartitions() * _SPLITS_A_TASK <= records.MAX_SPLITS:
+        offsets = F.broadcast(offsets)
     return (
         numbered.join(offsets, ["source_key", "_split"])
         .withColumn("source_row", F.col("_at") - F.col("_first") + F.col("_offset") + F.lit(first_row))
@@ -78,6 +86,17 @@ def with_source_rows(df: DataFrame, first_row: int = 2) -> DataFrame:
     )
 
 
+def _spanning(spark: SparkSession, root: str, paths: Sequence[str], names: Sequence[str], sep: str, encoding: str) -> DataFrame:
+    """Rows of files whose records span lines, read in splits."""
+    charset = "cp1252" if encoding.lower() == "windows-1252" else encoding
+    rows = records.read_records(spark, paths, sep, charset).where("row > 0")
+    rows = rows.withColumn("cells", records.cells_of(F.col("record"), names, sep))
+    return rows.select(
+        "cells.*", source_key(decoded_path(F.col("uri")), root).alias("source_key"),
+        F.timestamp_micros("mtime").alias("source_mtime"), (F.col("row") + 1).alias("source_row"),
+    )
+
+
 def read_delimited(
     spark: SparkSession,
     root: str,
@@ -91,6 +110,8 @@ def read_delimited(
 ) -> DataFrame:
     """SRC-03..06: files with the same header are scanned together and united by name (SET-01).
 
+    Files of any size are read in splits, also those whose records span lines.
+
     keep_header adds `header_cells`, the file's own column names in order.
     """
     if encoding.upper() not in ("UTF-8", "UTF8"):
@@ -103,23 +124,25 @@ def read_delimited(
     frames = []
     for (header, lines), members in groups.items():
         names = [name if name else f"_blank_{i}" for i, name in enumerate(header)]
-        ddl = ", ".join(f"`{name.replace('`', '``')}` string" for name in names)
-        raw = (
-            spark.read.schema(ddl)
-            .option("header", True)
-            .option("sep", sep)
-            .option("encoding", encoding)
-            .option("multiLine", not lines)
-            .option("escape", '"')
-            .csv(members)
-        )
-        placed = raw.select(
-            "*",
-            source_key(decoded_path(F.col("_metadata.file_path")), root).alias("source_key"),
-            F.col("_metadata.file_modification_time").alias("source_mtime"),
-            F.col("_metadata.file_block_start").alias("_split"),
-        )
-        rows = with_source_rows(placed)
+        if lines:
+            ddl = ", ".join(f"`{name.replace('`', '``')}` string" for name in names)
+            raw = (
+                spark.read.schema(ddl)
+                .option("header", True)
+                .option("sep", sep)
+                .option("encoding", encoding)
+                .option("escape", '"')
+                .csv(members)
+            )
+            placed = raw.select(
+                "*",
+                source_key(decoded_path(F.col("_metadata.file_path")), root).alias("source_key"),
+                F.col("_metadata.file_modification_time").alias("source_mtime"),
+                F.col("_metadata.file_block_start").alias("_split"),
+            )
+            rows = with_source_rows(placed)
+        else:
+            rows = _spanning(spark, root, members, names, sep, encoding)
         frames.append(rows.withColumn("header_cells", F.array(*map(F.lit, names))) if keep_header else rows)
     if not frames:
         raise SourceError("no files were given")
