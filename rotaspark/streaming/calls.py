@@ -17,6 +17,7 @@ from rotaspark.operators.latest import newest_export
 from rotaspark.plans.calls import INTERVAL_KEYS, interval_rows
 from rotaspark.policy import ServiceRules
 from rotaspark.schemas import SERVICE_MEASURES
+from rotaspark.streaming.versions import VersionedTable, checkpoint_id
 
 
 def dedup_stream(legs: DataFrame, lateness: str = "2 days") -> DataFrame:
@@ -44,47 +45,23 @@ def interval_stream(legs: DataFrame, rules: ServiceRules, lateness: str = "2 day
     )
 
 
-def merge_newest(spark: SparkSession, path: str) -> Callable[[DataFrame, int], None]:
+def merge_newest(spark: SparkSession, path: str, checkpoint: str) -> Callable[[DataFrame, int], None]:
     """SS-01: `foreachBatch` sink that keeps the newest export of each leg per date.
 
-    Only the dates of the batch are read and rewritten: they are few, and go into
-    the scan as partition filter. The new version goes to a folder of its own
-    (`v=<batch id>`), so a batch that is retried after a failure writes the same
-    folder again and readers never see half a date.
+    Only the folders of the batch's dates are read and rewritten. A batch counts once per checkpoint, whatever fails in
+    between; a query with a fresh checkpoint goes on from the rows that are there.
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        target = f"{path}/v={batch_id}"
-        days = [r[0] for r in batch.select("business_date").distinct().collect()]
-        versions = _versions(spark, path, batch_id, days)
-        rows = batch if versions is None else versions.unionByName(batch)
-        newest_export(rows, ["call_key"]).write.mode("overwrite").partitionBy("business_date").parquet(target)
+        table = VersionedTable(spark, path)
+        table.apply(batch, batch_id, checkpoint_id(spark, checkpoint), lambda rows: newest_export(rows, ["call_key"]))
 
     return write
 
 
-def _versions(spark: SparkSession, path: str, before: int | None = None, days: list | None = None) -> DataFrame | None:
-    """Per date, the rows of its highest version folder; `days` limits the folders read."""
-    from pyspark.errors import AnalysisException
-
-    try:
-        rows = spark.read.parquet(path)
-    except AnalysisException as exc:
-        if exc.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
-            return None
-        raise
-    if before is not None:
-        rows = rows.filter(F.col("v") < before)
-    if days is not None:
-        known = F.col("business_date").isin([d for d in days if d is not None])
-        rows = rows.filter(known | F.col("business_date").isNull() if None in days else known)
-    top = rows.groupBy("business_date").agg(F.max("v").alias("v"))
-    return rows.join(top, ["business_date", "v"], "left_semi").drop("v")
-
-
 def current_legs(spark: SparkSession, path: str) -> DataFrame:
     """The table kept by `merge_newest`."""
-    rows = _versions(spark, path)
+    rows = VersionedTable(spark, path).read()
     if rows is None:
         raise FileNotFoundError(path)
     return rows
@@ -93,7 +70,7 @@ def current_legs(spark: SparkSession, path: str) -> DataFrame:
 def start_ingest(legs: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
     """SS-01: run the ingest over all files that are present, then stop."""
     return (
-        legs.writeStream.foreachBatch(merge_newest(legs.sparkSession, path))
+        legs.writeStream.foreachBatch(merge_newest(legs.sparkSession, path, checkpoint))
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
         .start()
