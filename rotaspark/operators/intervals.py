@@ -1,23 +1,21 @@
 """Interval algebra on half-open `[start, end)` pairs.
 
 Two forms exist. The DataFrame form works for keys of any size: rows are cut
-into time buckets, so a hot key is spread over its buckets and copies inside a
-bucket are folded before the next shuffle. The array form works on the few
-intervals of one agent-day that already sit together in a row.
+into time buckets, so a hot key is spread over its buckets. The array form works
+on the few intervals of one agent-day that already sit together in a row.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import heapq
+from collections.abc import Iterator, Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from rotaspark.functions.temporal import NTZ, last_instant, whole_minutes
-
-# A bucket with more candidates than this is cut into minutes. Whole-second
-# bounds leave at most 60 * 61 / 2 distinct pairs in a minute.
-DENSE_BUCKET = 256
+from rotaspark.functions.temporal import NTZ, last_instant
 
 
 def _bucket(ts: Column, unit: str) -> Column:
@@ -83,13 +81,14 @@ def _merge_once(df: DataFrame, keys: Sequence[str], start: str, end: str) -> Dat
 
 
 def merge_intervals(
-    df: DataFrame, keys: Sequence[str], start: str = "start", end: str = "end", unit: str | None = "HOUR"
+    df: DataFrame, keys: Sequence[str], start: str = "start", end: str = "end", unit: str | None = "HOUR", span: str = "MONTH"
 ) -> DataFrame:
     """IV-02: union of the intervals per key; touching intervals join.
 
     Copies of a start fold into the longest one before the first shuffle. With
-    `unit`, intervals are first merged inside the bucket of their start and the
-    islands that remain are merged per key, so a hot key is never sorted whole.
+    `unit`, intervals are first merged inside the bucket of their start; what is
+    left is merged per `span`, given how far the key's earlier spans reach. Only
+    one row per span is ever ordered over a key's whole history.
     """
     solid = df.filter(F.col(end) > F.col(start)).select(*keys, start, end)
     if unit is None:
@@ -98,7 +97,35 @@ def merge_intervals(
     bucketed = solid.withColumn("_bucket", _bucket(F.col(start), unit))
     folded = bucketed.groupBy(*keys, "_bucket", start).agg(F.max(end).alias(end))
     islands = _merge_once(folded, [*keys, "_bucket"], start, end).drop("_bucket")
-    return _merge_once(islands, keys, start, end)
+    return _merge_spans(islands.withColumn("_span", _bucket(F.col(start), span)), keys, start, end)
+
+
+def _before(rows: DataFrame, keys: Sequence[str], value: Column, name: str) -> DataFrame:
+    """(keys, _span, name): the greatest value over the earlier spans of a key."""
+    tops = rows.groupBy(*keys, "_span").agg(F.max(value).alias("_top"))
+    earlier = Window.partitionBy(*keys).orderBy("_span").rowsBetween(Window.unboundedPreceding, -1)
+    return tops.select(*keys, "_span", F.max("_top").over(earlier).alias(name))
+
+
+def _with(rows: DataFrame, found: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Left join on keys that may be NULL, and the span."""
+    theirs = found.withColumnsRenamed({k: f"_k{i}" for i, k in enumerate([*keys, "_span"])})
+    same = F.lit(True)
+    for i, k in enumerate([*keys, "_span"]):
+        same = same & F.col(k).eqNullSafe(F.col(f"_k{i}"))
+    return rows.join(theirs, same, "left").drop(*[f"_k{i}" for i in range(len(keys) + 1)])
+
+
+def _merge_spans(rows: DataFrame, keys: Sequence[str], start: str, end: str) -> DataFrame:
+    """Islands over spans: one begins where its start is beyond what all earlier rows reach, in its span or before it."""
+    inside = Window.partitionBy(*keys, "_span").orderBy(start)
+    reach = F.greatest(F.max(end).over(inside.rowsBetween(Window.unboundedPreceding, -1)), F.col("_carried"))
+    fresh = F.when(reach.isNull() | (F.col(start) > reach), F.col(start))
+    marked = _with(rows, _before(rows, keys, F.col(end), "_carried"), keys).withColumn("_fresh", fresh)
+    marked = _with(marked, _before(marked, keys, F.col("_fresh"), "_open"), keys)
+    last = F.max("_fresh").over(inside.rowsBetween(Window.unboundedPreceding, 0))
+    named = marked.withColumn("_island", F.coalesce(last, F.col("_open")))
+    return named.groupBy(*keys, "_island").agg(F.max(end).alias(end)).select(*keys, F.col("_island").alias(start), end)
 
 
 def subtract_intervals(
@@ -170,6 +197,59 @@ def _cut_to_hour(df: DataFrame) -> DataFrame:
     )
 
 
+class _Sweep:
+    """Elementary pieces of one cell, from rows in order of (start, rank).
+
+    The latest row that is still going on wins. A row that ends no later than one that started after it can never win
+    again, so the stack of candidates has falling ends; the heap holds the ends of the rows that are going on. Memory
+    is that of the rows that overlap, whatever their number in the cell.
+    """
+
+    def __init__(self) -> None:
+        self.heap: list[tuple[int, bool]] = []
+        self.stack: list[tuple[int, tuple]] = []
+        self.now: int | None = None
+        self.real = False
+        self.open: tuple[int, bool, tuple] | None = None
+
+    def _step(self, to: int) -> Iterator[tuple]:
+        """Closes the piece that ends here, and opens the one from here on."""
+        if self.open is not None:
+            left, real, won = self.open
+            yield left, self.now, real, self.real, won
+        while self.stack and self.stack[-1][0] <= self.now:
+            self.stack.pop()
+        self.open = (self.now, self.real, self.stack[-1][1]) if self.stack else None
+        self.now, self.real = to, False
+
+    def _ends(self, until: int | None) -> Iterator[tuple]:
+        heap = self.heap
+        while heap and (until is None or heap[0][0] <= until):
+            if heap[0][0] > self.now:
+                yield from self._step(heap[0][0])
+            self.real |= heapq.heappop(heap)[1]
+
+    def add(self, start: int, end: int, real_start: bool, real_end: bool, payload: tuple) -> Iterator[tuple]:
+        """Pieces (left, right, left is a bound, right is a bound, payload) that are complete before this row."""
+        if self.now is None:
+            self.now = start
+        yield from self._ends(start)
+        if start > self.now:
+            yield from self._step(start)
+        self.real |= real_start
+        while self.stack and self.stack[-1][0] <= end:
+            self.stack.pop()
+        self.stack.append((end, payload))
+        heapq.heappush(self.heap, (end, real_end))
+
+    def finish(self) -> Iterator[tuple]:
+        yield from self._ends(None)
+        if self.open is not None:
+            left, real, won = self.open
+            yield left, self.now, real, self.real, won
+        self.__init__()
+
+
 def flatten_latest(
     df: DataFrame,
     keys: Sequence[str],
@@ -177,7 +257,6 @@ def flatten_latest(
     payload: Sequence[str],
     start: str = "start",
     end: str = "end",
-    bucket: str | None = None,
     contributor: str | None = None,
 ) -> DataFrame:
     """IV-05 / WN-04 / WN-05 / JN-09: overlapping rows -> exclusive segments.
@@ -186,105 +265,75 @@ def flatten_latest(
     covering row with the greatest (start, *rank). Returns one row per key with
     `segments`, an array of struct(start, end, *payload) in time order.
 
-    Work is done per hour: rows with the same extent inside an hour compete
-    first (only the greatest can ever win there), so copies fold before they
-    are collected. An hour that still holds many candidates is cut into
-    minutes. Pieces that were split at a cut, not at a bound of some row, are
+    Rows are cut to hours, and the rows of a key and hour are swept in order of
+    (start, *rank): n log n in their number, and only rows that overlap are
+    held. Pieces that were split at an hour, not at a bound of some row, are
     joined again, because minutes are floored per elementary piece.
 
-    `bucket` names an hour column the caller has already exploded `df` by (with
-    `start`/`end` not yet cut); the work then stays in that join's partitions.
     `contributor` names a column whose distinct values over all rows, also those
     that win nothing, are returned as the array `contributors`.
     """
-    # A payload column that already takes part in the rank is not repeated.
-    top = F.struct(F.col("_start").alias("_from"), *rank, *[c for c in payload if c not in rank])
+    own = list(dict.fromkeys([*payload, *([contributor] if contributor else [])]))
     rows = df.filter(F.col(end) > F.col(start)).select(
-        *keys,
-        *([bucket] if bucket else []),
-        F.col(start).alias("_s"),
-        F.col(end).alias("_e"),
-        F.col(start).alias("_start"),
-        *[c for c in dict.fromkeys([*rank, *payload])],
-    )
-    # A given bucket is only renamed, so the partitioning of the caller's join still holds.
-    if bucket:
-        hourly = rows.withColumnRenamed(bucket, "_hour")
-    else:
-        hourly = rows.withColumn("_hour", F.explode(buckets(F.col("_s"), F.col("_e"), "HOUR")))
-    hourly = _cut_to_hour(hourly).withColumn("_top", top)
-
-    def compete(part: DataFrame, *cell: str, seen: list[Column]) -> DataFrame:
-        return part.groupBy(*keys, *cell, "_s", "_e").agg(
-            F.max("_top").alias("_top"),
-            F.max("_real_s").alias("_real_s"),
-            F.max("_real_e").alias("_real_e"),
-            *seen,
-        )
-
-    # A join partitioned by a subset of (keys, _hour) needs no new exchange here.
-    first_seen = [F.collect_set(contributor).alias("_seen")] if contributor else []
-    later_seen = [F.flatten(F.collect_set("_seen")).alias("_seen")] if contributor else []
-    winners = compete(hourly, "_hour", seen=first_seen)
-    crowd = F.count("*").over(Window.partitionBy(*keys, "_hour"))
-    cells = F.when(crowd <= DENSE_BUCKET, F.array("_hour")).otherwise(
-        buckets(F.col("_s"), F.col("_e"), "MINUTE")
-    )
-    width = F.when(crowd <= DENSE_BUCKET, F.expr("INTERVAL 1 HOUR")).otherwise(
-        F.expr("INTERVAL 1 MINUTE")
-    )
-    refined = (
-        winners.withColumn("_cells", cells)
-        .withColumn("_width", width)
-        .withColumn("_cell", F.explode("_cells"))
-        .withColumn("_hi", F.col("_cell") + F.col("_width"))
-        .withColumn("_real_s", F.col("_real_s") & (F.col("_s") >= F.col("_cell")))
-        .withColumn("_real_e", F.col("_real_e") & (F.col("_e") <= F.col("_hi")))
-        .withColumn("_s", F.greatest("_s", "_cell"))
-        .withColumn("_e", F.least("_e", "_hi"))
-    )
-    gathered_seen = [F.flatten(F.collect_list("_seen"))] if contributor else []
-    per_cell = (
-        compete(refined, "_hour", "_cell", seen=later_seen)
-        .groupBy(*keys, "_hour", "_cell")
-        .agg(
-            F.collect_list(F.struct("_s", "_e", "_top", "_real_s", "_real_e")).alias("_rows"),
-            *[F.array_distinct(seen).alias("_seen") for seen in gathered_seen],
-        )
-        .withColumn(
-            "_edges",
-            F.array_sort(
-                F.array_distinct(
-                    F.concat(
-                        F.transform("_rows", lambda r: r["_s"]), F.transform("_rows", lambda r: r["_e"])
-                    )
-                )
-            ),
-        )
+        *keys, F.col(start).alias("_s"), F.col(end).alias("_e"), F.col(start).alias("_start"),
+        *[F.col(c).alias(f"_r{i}") for i, c in enumerate(rank)],
+        *[F.col(c).alias(f"_p{i}") for i, c in enumerate(own)],
     )
-
-    def piece(left: Column, i: Column) -> Column:
-        right = F.get(F.col("_edges"), i + 1)
-        active = F.filter("_rows", lambda r: (r["_s"] <= left) & (r["_e"] > left))
-        return F.struct(
-            left.alias("l"),
-            right.alias("r"),
-            F.exists("_rows", lambda r: (r["_s"] == left) & r["_real_s"]
-                     | (r["_e"] == left) & r["_real_e"]).alias("real_l"),
-            F.exists("_rows", lambda r: (r["_s"] == right) & r["_real_s"]
-                     | (r["_e"] == right) & r["_real_e"]).alias("real_r"),
-            F.array_max(F.transform(active, lambda r: r["_top"])).alias("top"),
-        )
-
-    pieces = per_cell.select(
-        *keys,
-        F.filter(F.transform("_edges", piece), lambda p: p["top"].isNotNull()).alias("_pieces"),
-        *(["_seen"] if contributor else []),
+    cells = _cut_to_hour(rows.withColumn("_hour", F.explode(buckets(F.col("_s"), F.col("_e"), "HOUR"))))
+    ordered = cells.repartition(*keys, "_hour").sortWithinPartitions(*keys, "_hour", "_start", *[f"_r{i}" for i in range(len(rank))])
+    fields = {f.name: f for f in cells.schema.fields}
+    out = StructType([fields[k] for k in keys]).add("_l", NTZ).add("_r", NTZ).add("_real_l", "boolean").add("_real_r", "boolean")
+    for i in range(len(own)):
+        out = out.add(f"_p{i}", fields[f"_p{i}"].dataType)
+    out = out.add("_piece", "boolean")
+    width, seen_at = len(keys), own.index(contributor) if contributor else None
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sweep, cell, seen, made, names = _Sweep(), None, set(), [], None
+
+        def close() -> None:
+            if cell is not None:
+                made.extend((*cell[:-1], *p[:4], *p[4], True) for p in sweep.finish())
+                made.extend((*cell[:-1], None, None, None, None, *[v if i == seen_at else None for i in range(len(own))], False) for v in seen)
+                seen.clear()
+
+        def table() -> pa.RecordBatch:
+            columns = list(zip(*made)) or [[]] * len(names)
+            return pa.RecordBatch.from_arrays([_arrow(c, t) for c, t in zip(columns, types)], names)
+
+        types: list = []
+        for batch in batches:
+            if names is None:
+                of = {f.name: f.type for f in batch.schema}
+                stamp = of["_s"]
+                types = [*(of[k] for k in keys), stamp, stamp, pa.bool_(), pa.bool_(), *(of[f"_p{i}"] for i in range(len(own))), pa.bool_()]
+                names = [*keys, "_l", "_r", "_real_l", "_real_r", *(f"_p{i}" for i in range(len(own))), "_piece"]
+            column = lambda n: batch.column(n).to_pylist()  # noqa: E731,B023
+            whole = lambda n: batch.column(n).cast(pa.int64()).to_pylist()  # noqa: E731,B023
+            spans = zip(whole("_s"), whole("_e"), column("_real_s"), column("_real_e"))
+            values = list(zip(*(column(f"_p{i}") for i in range(len(own))))) if own else [()] * batch.num_rows
+            for place, span, value in zip(zip(*(column(k) for k in keys), whole("_hour")), spans, values):
+                if place != cell:
+                    close()
+                    cell = place
+                if seen_at is not None and value[seen_at] is not None:
+                    seen.add(value[seen_at])
+                made.extend((*cell[:width], *p[:4], *p[4], True) for p in sweep.add(*span, value))
+            if len(made) > 20_000:
+                yield table()
+                made = []
+        if names is not None:
+            close()
+            yield table()
+
+    swept = ordered.drop("_start", *[f"_r{i}" for i in range(len(rank))]).mapInArrow(run, out)
+    piece = F.struct(
+        F.col("_l").alias("l"), F.col("_r").alias("r"), F.col("_real_l").alias("real_l"), F.col("_real_r").alias("real_r"),
+        *[F.col(f"_p{own.index(c)}").alias(c) for c in payload],
     )
-    # At most one piece per second of the key's span is left here.
-    gathered = pieces.groupBy(*keys).agg(
-        F.array_sort(F.flatten(F.collect_list("_pieces"))).alias("_pieces"),
-        *[F.array_distinct(seen).alias("contributors") for seen in gathered_seen],
+    gathered = swept.groupBy(*keys).agg(
+        F.array_sort(F.collect_list(F.when(F.col("_piece"), piece))).alias("_pieces"),
+        *([F.collect_set(F.when(~F.col("_piece"), F.col(f"_p{seen_at}"))).alias("contributors")] if contributor else []),
     )
     prev = lambda i: F.get(F.col("_pieces"), i - 1)
     follow = lambda i: F.get(F.col("_pieces"), i + 1)
@@ -293,9 +342,7 @@ def flatten_latest(
     )
     heads = F.filter("_pieces", lambda p, i: ~((i > 0) & glued(prev(i), p)))
     tails = F.filter("_pieces", lambda p, i: ~glued(p, follow(i)))
-    segment = lambda h, t: F.struct(
-        h["l"].alias("start"), t["r"].alias("end"), *[h["top"][c].alias(c) for c in payload]
-    )
+    segment = lambda h, t: F.struct(h["l"].alias("start"), t["r"].alias("end"), *[h[c].alias(c) for c in payload])
     return gathered.select(
         *keys,
         F.zip_with(heads, tails, segment).alias("segments"),
@@ -303,6 +350,13 @@ def flatten_latest(
     )
 
 
+def _arrow(values: Sequence, kind: pa.DataType) -> pa.Array:
+    """Numbers of microseconds become timestamps, keys and payloads are as they came."""
+    if pa.types.is_timestamp(kind) and any(isinstance(v, int) for v in values):
+        return pa.array(values, pa.int64()).cast(kind)
+    return pa.array(values, kind)
+
+
 # --- array form -----------------------------------------------------------
 
 
@@ -310,26 +364,6 @@ def pair(start: Column, end: Column) -> Column:
     return F.struct(start.alias("start"), end.alias("end"))
 
 
-def solid(intervals: Column) -> Column:
-    return F.filter(intervals, lambda x: x["end"] > x["start"])
-
-
-def array_intersect_spans(left: Column, right: Column) -> Column:
-    """IV-04 on arrays; further fields of the left structs are dropped."""
-    cut = lambda x: F.transform(
-        right,
-        lambda y: pair(F.greatest(x["start"], y["start"]), F.least(x["end"], y["end"])),
-    )
-    return solid(F.flatten(F.transform(left, cut)))
-
-
-def array_subtract(start: Column, end: Column, blocks: Column) -> Column:
-    """IV-03 on arrays; `blocks` are merged, in order and inside the span."""
-    starts = F.concat(F.array(start), F.transform(blocks, lambda b: b["end"]))
-    ends = F.concat(F.transform(blocks, lambda b: b["start"]), F.array(end))
-    return solid(F.zip_with(starts, ends, pair))
-
-
 def array_runs(segments: Column) -> Column:
     """Merge neighbouring segments that touch; the input is exclusive and in order."""
     touches = lambda a, b: F.coalesce(a["end"] >= b["start"], F.lit(False))
@@ -338,17 +372,3 @@ def array_runs(segments: Column) -> Column:
     )
     tails = F.filter(segments, lambda s, i: ~touches(s, F.get(segments, i + 1)))
     return F.zip_with(heads, tails, lambda h, t: pair(h["start"], t["end"]))
-
-
-def array_minutes(intervals: Column) -> Column:
-    """Sum of completed minutes, floored per interval (FN-18)."""
-    return F.aggregate(
-        intervals,
-        F.lit(0).cast("bigint"),
-        lambda total, x: total + whole_minutes(x["start"], x["end"]),
-    )
-
-
-def coverage_ratio(covered: Column, elapsed: Column) -> Column:
-    """IV-06: 0 when nothing has elapsed."""
-    return F.when(elapsed > 0, covered / F.nullif(elapsed, F.lit(0))).otherwise(F.lit(0.0))

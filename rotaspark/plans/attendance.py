@@ -107,30 +107,29 @@ def status_segments(shifts: DataFrame, status: DataFrame) -> DataFrame:
     """IV-05 / JN-06: exclusive status segments per agent-day, inside the evidence window.
 
     `status_sources` lists every source with a row in the window, also where
-    another row won. Shifts and status rows meet per agent and hour, so an agent who holds a
-    large share of all rows is spread over the hours of the calendar.
+    another row won. Status rows are first cut to the span of all shifts, so a
+    wrong duration costs the days of the schedule at most; shifts and rows meet
+    per agent and day, and only what they share is cut to hours, so an agent who
+    holds a large share of all rows is spread over the calendar.
     """
     days = shifts.filter(F.col("evidence_end") > F.col("scheduled_start")).select(
         *DAY, "scheduled_start", "evidence_end"
     )
+    span = days.agg(F.min("scheduled_start").alias("_from"), F.max("evidence_end").alias("_to"))
     rows = status.select(
-        "roster_client_id", "status_start", "status_end", "actual_category", "source_key", "source_row"
-    )
-    hourly_days = days.withColumn(
-        "_slot", F.explode(iv.buckets(F.col("scheduled_start"), F.col("evidence_end"), "HOUR"))
-    )
-    hourly_rows = rows.filter("status_end > status_start").withColumn(
-        "_slot", F.explode(iv.buckets(F.col("status_start"), F.col("status_end"), "HOUR"))
-    )
-    met = hourly_days.join(hourly_rows, ["roster_client_id", "_slot"]).select(
-        *DAY, "_slot",
+        "roster_client_id", "status_start", "status_end", "actual_category", "source_key", "source_row", F.lit(1).alias("_one")
+    ).join(F.broadcast(span.withColumn("_one", F.lit(1))), "_one").drop("_one")
+    rows = iv.clip(rows, F.col("_from"), F.col("_to"), "status_start", "status_end").drop("_from", "_to")
+    met = iv.overlap_join(
+        days, rows, ["roster_client_id"], left_span=("scheduled_start", "evidence_end"), right_span=("status_start", "status_end")
+    ).select(
+        *DAY,
         F.greatest("scheduled_start", "status_start").alias("start"),
         F.least("evidence_end", "status_end").alias("end"),
         "actual_category", "source_key", "source_row",
     )
     flat = iv.flatten_latest(
-        met, DAY, rank=["source_key", "source_row"], payload=["actual_category", "source_key"],
-        bucket="_slot", contributor="source_key",
+        met, DAY, rank=["source_key", "source_row"], payload=["actual_category", "source_key"], contributor="source_key"
     )
     return flat.withColumnRenamed("contributors", "status_sources")
 

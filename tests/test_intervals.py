@@ -1,8 +1,10 @@
 """Interval operators against a brute-force second grid."""
 
+import random
+import time
 from datetime import datetime, timedelta
 
-import pytest
+import pandas as pd
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -77,14 +79,49 @@ def brute_flatten(pieces):
     return out
 
 
-@pytest.mark.parametrize("dense", [256, 2])
-def test_flatten_keeps_every_elementary_piece(spark, monkeypatch, dense):
-    import random
-
+def test_islands_over_months_and_null_keys(spark):
+    rng = random.Random(3)
+    sets = [[(rng.randrange(400) * 43200, rng.choice([60, 43200, 90000, 4_000_000])) for _ in range(rng.randrange(1, 60))] for _ in range(12)]
+    df = frame(spark, sets).drop("n").withColumn("k", F.when(F.col("k") > 0, F.col("k")))
+    got = iv.merge_intervals(df, ["k"]).collect()
+    for k, pieces in enumerate(sets):
+        want, reach = [], None
+        for s, n in sorted(pieces):
+            if reach is None or s > reach:
+                want.append([s, s + n])
+            else:
+                want[-1][1] = max(want[-1][1], s + n)
+            reach = want[-1][1]
+        assert covered(got, k or None) == [tuple(x) for x in want]
+    plan = iv.merge_intervals(df, ["k"])._jdf.queryExecution().optimizedPlan().toString()
+    frames = [x for x in plan.split("\n") if "Window" in x]
+    assert frames and all("_bucket" in x or "_span" in x for x in frames)
+
+
+def test_the_sweep_is_near_linear(spark):
+    """Sub-second rows of one key in one hour, nested and chained, four times as many in less than three times the time."""
+    def rows(n):
+        half = n // 2
+        nested = [(0, i, 2_000_000_000 - i) for i in range(half)]
+        chain = [(0, i * 1_700_000_000 // half, i * 1_700_000_000 // half + 900_000) for i in range(half)]
+        table = pd.DataFrame(nested + chain, columns=["k", "a", "b"])
+        table["n"] = range(len(table))
+        stamp = lambda c: F.expr(f"timestampadd(MICROSECOND, {c}, TIMESTAMP_NTZ'2026-08-01 08:00:00')")
+        return spark.createDataFrame(table).select("k", stamp("a").alias("start"), stamp("b").alias("end"), "n")
+
+    took = {}
+    for n in (500, 5000, 20000):
+        df, began = rows(n), time.time()
+        got = iv.flatten_latest(df, ["k"], rank=["n"], payload=["n"]).select(F.size("segments"), F.element_at("segments", 1)["n"]).first()
+        took[n] = time.time() - began
+        assert got[0] > n
+    assert took[20000] < 3 * took[5000]
+
+
+def test_flatten_keeps_every_elementary_piece(spark):
     rng = random.Random(7)
     sets = [[(rng.randrange(9000), rng.randrange(-60, 5000)) for _ in range(rng.randrange(1, 15))] for _ in range(25)]
     sets.append([(0, 7200)])  # one piece over several hours stays one piece
-    monkeypatch.setattr(iv, "DENSE_BUCKET", dense)
     flat = iv.flatten_latest(frame(spark, sets), ["k"], rank=["n"], payload=["n"], contributor="n").collect()
     found = {r.k: r for r in flat}
     for k, pieces in enumerate(sets):
