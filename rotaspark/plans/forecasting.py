@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from rotaspark.functions.temporal import NTZ
@@ -155,6 +155,60 @@ def rolling_origin(
     )
 
 
+def rolling_origins(
+    history: DataFrame,
+    keys: Sequence[str],
+    horizon_days: int = 7,
+    value: str = "actual_volume",
+    window_days: int = 7,
+    season_days: int = 7,
+) -> DataFrame:
+    """DX-04 for every origin of the data: each day with a whole window before it and a whole horizon from it on.
+
+    Rows are not copied to the origins they inform. Per series and interval of
+    day, running counts and sums up to each earlier day are kept beside a row,
+    and the mean at any origin is a difference of two of them; so one ordering
+    of each series serves all origins. Only the results are a row per origin.
+    """
+    day = F.datediff("business_date", F.lit("1970-01-01").cast("date"))
+    rows = history.select(
+        *keys, "business_date", "interval_start", F.col(value).cast("double").alias("actual_volume"),
+        F.date_format("interval_start", "HH:mm").alias("_clock"), day.alias("_day"), F.lit(1).alias("_one"),
+    )
+    series = Window.partitionBy(*keys, "_clock").orderBy("_day")
+
+    def until(days: int) -> Window:
+        return series.rangeBetween(Window.unboundedPreceding, -days)
+
+    steps = sorted({k + 1 for k in range(horizon_days)} | {k + 1 + window_days for k in range(horizon_days)})
+    seasons = sorted({season_days * (k // season_days + 1) for k in range(horizon_days)})
+    sums = [F.struct(F.count("actual_volume").over(until(j)).alias("n"), F.coalesce(F.sum("actual_volume").over(until(j)), F.lit(0.0)).alias("s")).alias(f"_p{j}") for j in steps]
+    past = [F.max("actual_volume").over(series.rangeBetween(-j, -j)).alias(f"_v{j}") for j in seasons]
+    summed = rows.select("*", *sums, *past)
+
+    def models(k: int) -> list:
+        near, far = F.col(f"_p{k + 1}"), F.col(f"_p{k + 1 + window_days}")
+        mean = (near["s"] - far["s"]) / F.nullif(near["n"] - far["n"], F.lit(0))
+        naive = F.col(f"_v{season_days * (k // season_days + 1)}")
+        origin = F.date_sub("business_date", k)
+        return [
+            F.struct(origin.alias("origin"), F.lit(name).alias("model_id"), volume.alias("forecast_volume"))
+            for name, volume in (("recent_mean", mean), ("seasonal_naive", naive))
+        ]
+
+    made = F.array(*[m for k in range(horizon_days) for m in models(k)])
+    ends = history.agg(
+        F.date_add(F.min("business_date"), window_days).alias("_first"),
+        F.date_sub(F.max("business_date"), horizon_days - 1).alias("_last"), F.lit(1).alias("_one"),
+    )
+    errors = summed.select(*keys, "business_date", "interval_start", "actual_volume", "_one", F.explode(made).alias("m"))
+    errors = errors.where("m.forecast_volume IS NOT NULL").join(F.broadcast(ends), "_one")
+    errors = errors.where(F.col("m.origin").between(F.col("_first"), F.col("_last")))
+    return errors.select("m.origin", *keys, "business_date", "interval_start", "m.model_id", "m.forecast_volume", "actual_volume").withColumn(
+        "signed_error", F.col("forecast_volume") - F.col("actual_volume")
+    ).withColumn("absolute_error", F.abs("signed_error"))
+
+
 def bottom_up(volumes: DataFrame, levels: Sequence[str], value: str = "actual_volume", *also: str) -> DataFrame:
     """DX-06: totals of every level of a hierarchy; `level` counts the fixed levels."""
     rolled = volumes.rollup(*levels).agg(F.sum(value).alias(value), F.grouping_id().alias("_gid"))

@@ -656,7 +656,9 @@ def latest_actual_date(spark, sf):
 
 
 @query(
-    """SELECT 'offered_splits' AS check_name, 0::BIGINT AS broken_rows UNION ALL SELECT 'handled_adds_up', 0 UNION ALL SELECT 'interval_is_quarter', 0"""
+    """SELECT 'offered_splits' AS check_name, count(*) FILTER (WHERE offered <> answered + abandoned)::BIGINT AS broken_rows FROM intervals
+    UNION ALL SELECT 'handled_adds_up', count(*) FILTER (WHERE handled_seconds <> talk_seconds + hold_seconds + wrap_seconds)::BIGINT FROM intervals
+    UNION ALL SELECT 'interval_is_quarter', count(*) FILTER (WHERE interval_end <> interval_start + INTERVAL 15 MINUTE)::BIGINT FROM intervals"""
     + "".join(f" UNION ALL SELECT '{m}_not_negative', count(*) FILTER (WHERE {m} < 0)::BIGINT FROM intervals" for m in SERVICE_MEASURES)
 )
 def interval_constraints(spark, sf):

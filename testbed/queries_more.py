@@ -92,6 +92,11 @@ def _history(spark, sf):
     return manifest, generations, rosters
 
 
+def _last(manifest):
+    """The greatest generation, as a table of one row."""
+    return manifest.agg(F.max("generation_id").alias("generation_id"))
+
+
 _HISTORY = """(SELECT day(ts)::BIGINT AS g, event_type AS k, count(*)::BIGINT AS n FROM events GROUP BY 1, 2)"""
 
 
@@ -110,26 +115,28 @@ def lineage_latest(spark, sf):
 
 @query(
     f"""SELECT 'call_by_call' AS source_type, w.k AS source_key, arg_max(h.g, h.g) AS bronze_generation_id, arg_max(h.n, h.g) AS row_count, max(h.g) AS from_generation_id
-    FROM {_HISTORY} w JOIN {_HISTORY} h ON h.k = w.k AND h.n % 5 = w.n % 5 WHERE w.g = 30 AND h.g >= 10 AND h.n % 7 <> 0 AND h.g % 6 <> 0 AND h.g // 10 = 2
-    GROUP BY w.k"""
+    FROM {_HISTORY} w JOIN {_HISTORY} h ON h.k = w.k AND h.n % 5 = w.n % 5 JOIN (SELECT max(day(ts))::BIGINT AS g FROM events) l ON w.g = l.g
+    WHERE (h.g < 10) = (w.g < 10) AND h.n % 7 <> 0 AND h.g % 6 <> 0 AND h.g // 10 = (w.g - 5) // 10 GROUP BY w.k"""
 )
 def bronze_reuse(spark, sf):
     """GN-04 / JN-14 / WN-08."""
     manifest, generations, rosters = _history(spark, sf)
-    wanted = manifest.filter("generation_id = 30").select(
+    last = _last(manifest).first()[0]
+    wanted = manifest.filter(F.col("generation_id") == last).select(
         "source_type", "source_key", "file_size", "mtime", "content_sha256", F.lit("cat").alias("catalog_sha256"),
         F.lit("m1").alias("model_version"), "adapter_version", "policy_fingerprint",
     )
-    current_roster = rosters.filter("generation_id = 25")
-    return refresh.reusable_bronze(wanted, manifest.unionByName(rosters), generations, current_roster, 30)
+    current_roster = rosters.filter(F.col("generation_id") == last - 5)
+    return refresh.reusable_bronze(wanted, manifest.unionByName(rosters), generations, current_roster, last)
 
 
 @query(
-    f"""SELECT 'call_by_call' AS source_type, count(*)::BIGINT AS file_count, coalesce(sum(n), 0)::BIGINT AS row_count FROM {_HISTORY} WHERE g = 29 AND n % 7 <> 0 HAVING count(*) > 0"""
+    f"""SELECT 'call_by_call' AS source_type, count(*)::BIGINT AS file_count, coalesce(sum(n), 0)::BIGINT AS row_count FROM {_HISTORY} WHERE g = (SELECT max(day(ts)) FROM events) AND n % 7 <> 0 HAVING count(*) > 0"""
 )
 def source_totals(spark, sf):
     """AG-12."""
-    return refresh.source_totals(_history(spark, sf)[0].filter("generation_id = 29"))
+    manifest = _history(spark, sf)[0]
+    return refresh.source_totals(manifest.join(_last(manifest), "generation_id", "left_semi"))
 
 
 def _tables(spark, sf):
@@ -175,7 +182,9 @@ def generation_summary(spark, sf):
 
 
 @query(
-    """SELECT source, (CASE WHEN source IN ('roster', 'schedule') THEN true ELSE coalesce(n, 0) > 0 END)::INT AS ready, 'ready' AS overall_status, coalesce(n, 0)::BIGINT AS row_count FROM (
+    """SELECT source, (overall_status = 'ready' AND CASE WHEN source IN ('roster', 'schedule') THEN true ELSE coalesce(n, 0) > 0 END)::INT AS ready,
+      overall_status, coalesce(n, 0)::BIGINT AS row_count
+    FROM (SELECT CASE WHEN count(*) = 0 THEN 'not_ready' WHEN max(day(ts)) % 4 = 1 THEN 'ready' ELSE 'source_changed' END AS overall_status FROM events), (
       SELECT 'agentStatus' AS source, (SELECT count(*) FROM status) AS n UNION ALL SELECT 'lilo', (SELECT count(*) FROM lilo) UNION ALL
       SELECT 'callByCall', (SELECT count(*) FROM legs) UNION ALL SELECT 'schedule', (SELECT count(*) FROM schedule) UNION ALL
       SELECT 'attendance', (SELECT count(*) FROM agent_day) UNION ALL SELECT 'roster', (SELECT count(*) FROM by_id) + (SELECT count(DISTINCT roster_client_id) FROM cells
@@ -197,8 +206,9 @@ def source_health(spark, sf):
         manifest = manifest.unionByName(part)
     tables = {k: v for k, v in _tables(spark, sf).items() if k not in ("status_primary_days", "attendance_unknown_days")}
     _, generations, _ = _history(spark, sf)
+    generations = generations.withColumn("catalog_sha256", F.concat(F.lit("cat"), F.col("generation_id") % 4))
     health = refresh.source_health(
-        refresh.source_totals(manifest), refresh.table_summary(tables), generations, 29, "cat"
+        refresh.source_totals(manifest), refresh.table_summary(tables), generations, _last(generations).first()[0], "cat1"
     )
     return health.select("source", "ready", "overall_status", "row_count")
 
@@ -290,8 +300,9 @@ def vintage_asof(spark, sf):
     return forecasting.vintage_asof(both, [*SCOPE, "interval_start"], datetime(2024, 1, 20))
 
 
-_ORIGINS = [date(2024, 1, 15), date(2024, 1, 22)]
-_ROLL = """(SELECT o.origin, v.*, strftime(interval_start, '%H:%M') AS clock, date_diff('day', o.origin, business_date) AS age FROM volume v CROSS JOIN (VALUES (DATE '2024-01-15'), (DATE '2024-01-22')) o(origin))"""
+# Every origin with seven days before it and seven from it on.
+_ORIGINS = """(SELECT unnest(generate_series(min(business_date) + 7, max(business_date) - 6, INTERVAL 1 DAY))::DATE AS origin FROM volume)"""
+_ROLL = f"""(SELECT o.origin, v.*, strftime(interval_start, '%H:%M') AS clock, date_diff('day', o.origin, business_date) AS age FROM volume v CROSS JOIN {_ORIGINS} o)"""
 _ROLLED = f"""(SELECT t.origin, t.service_scope, t.comparison_scope, t.business_date, t.interval_start, 'recent_mean' AS model_id, m.f AS forecast_volume, t.actual_volume FROM {_ROLL} t JOIN (
       SELECT origin, service_scope, comparison_scope, clock, avg(actual_volume) AS f FROM {_ROLL} WHERE age BETWEEN -7 AND -1 GROUP BY ALL) m USING (origin, service_scope, comparison_scope, clock) WHERE t.age BETWEEN 0 AND 6
     UNION ALL SELECT t.origin, t.service_scope, t.comparison_scope, t.business_date, t.interval_start, 'seasonal_naive', h.actual_volume, t.actual_volume FROM {_ROLL} t JOIN {_ROLL} h
@@ -300,7 +311,7 @@ _SCORED = f"""(SELECT service_scope, origin, model_id, {_METRICS} FROM (SELECT *
 
 
 def _scores(spark, sf):
-    errors = forecasting.rolling_origin(_volume(spark, sf), SCOPE, _ORIGINS)
+    errors = forecasting.rolling_origins(_volume(spark, sf), SCOPE)
     return forecasting.accuracy(errors, ["service_scope", "origin", "model_id"])
 
 

@@ -12,7 +12,7 @@ from rotaspark.sources import adapters, inventory, readers, writers
 ROSTER = [
     # key, row, id, status, name, fte, end
     ("r", 2, "00417", "Active", "Ann Lee", "1", ""),
-    ("r", 3, "00652", "Leaver", "Bob Ray", "0.8", "2026-08-01"),
+    ("r", 3, "00652", "Leaver", "Ida Moss", "0.35", "2026/08/01"),
     ("r", 4, "", "Active", "Zoë Fox", "", ""),
     ("r", 5, "00739", "Active", "Cat Ox", "1", ""),
     ("r", 6, "00739", "Leaver", "Cat Ox", "1", "2026-09-01"),
@@ -47,13 +47,13 @@ def test_calls_from_files(spark, people, tmp_path):
     mapping = readers.validate_mapping(spark.createDataFrame(MAPPING, MAPPING_DDL))
     lines = [
         CALL_HEADER,
-        "08/01/2026 10:00:00 AM,08/01/2026 10:00:04 AM,A,1,,,,,,I,0:00:03,1,Q 1,No",  # short abandon
-        "08/01/2026 10:01:00 AM,,B,2,,,,,,I,0:00:18,2,q-1,No",  # abandon in target
-        '08/01/2026 10:02:00 AM,08/01/2026 10:03:00 AM,C,3,123,"Ann\nLee",0:00:40,10,10,I,5,,Q-1,Yes',  # unknown id, two-line name
-        "08/01/2026 11:59:00 PM,08/01/2026 12:10:00 AM,D,4,00417,Ann Lee,60,,,O,,,Other,",  # agent lane, past midnight
-        "08/01/2026 11:00:00 AM,,E,5,999,Nobody,1,,,I,1,,Other,",  # outside
-        "bad,,F,6,00417,Ann Lee,1,,,I,1,,Q-1,",  # invalid start
-        "08/01/2026 12:00:00 PM,,G,7,00417,Ann Lee,x,,,,1,,Q-1,",  # degraded
+        "08/01/2026 6:12:30 PM,08/01/2026 6:12:33 PM,ripe,1,,,,,,I,0:00:02,1,Q 1,No",  # gives up at once
+        "08/01/2026 6:13:00 PM,,plum,2,,,,,,I,0:00:21,4,q-1,No",  # gives up inside the target
+        '08/01/2026 6:14:10 PM,08/01/2026 6:15:40 PM,fig,3,8086,"Ann\nLee",0:01:05,12,13,I,6,,Q-1,Yes',  # unknown id, two-line name
+        "08/01/2026 11:48:00 PM,08/01/2026 12:07:00 AM,pear,4,00417,Ann Lee,75,,,O,,,Else,",  # agent lane, past midnight
+        "08/01/2026 7:30:00 PM,,lime,5,7777,Unseen,2,,,I,3,,Else,",  # outside
+        "soon,,kiwi,6,00417,Ann Lee,2,,,I,3,,Q-1,",  # invalid start
+        "08/01/2026 8:45:00 PM,,date,7,00417,Ann Lee,long,,,,3,,Q-1,",  # degraded
     ]
     folder = tmp_path / "calls"
     folder.mkdir()
@@ -66,19 +66,20 @@ def test_calls_from_files(spark, people, tmp_path):
     lanes = calls.parse_calls(raw, people, mapping)
     by_id = {r.call_id: r for r in lanes.collect()}
     assert {k: r.lane for k, r in by_id.items()} == {
-        "A": "accepted", "B": "accepted", "C": "accepted", "D": "accepted", "E": "outside", "F": "invalid", "G": "accepted",
+        "ripe": "accepted", "plum": "accepted", "fig": "accepted", "pear": "accepted", "lime": "outside", "kiwi": "invalid",
+        "date": "accepted",
     }
-    assert by_id["D"].call_end == datetime(2026, 8, 2, 0, 10) and by_id["D"].mapping_status == "UNMAPPED"
-    assert by_id["G"].validation_codes == ["INVALID_DURATION", "MISSING_CALL_DIRECTION"]
-    assert by_id["C"].comparison_scope == "North"
-    assert (by_id["C"].scope_match, by_id["C"].roster_client_id) == ("name", "123")  # keeps the source's own id
-    assert by_id["A"].scope_match == "queue"
+    assert by_id["pear"].call_end == datetime(2026, 8, 2, 0, 7) and by_id["pear"].mapping_status == "UNMAPPED"
+    assert by_id["date"].validation_codes == ["INVALID_DURATION", "MISSING_CALL_DIRECTION"]
+    assert by_id["fig"].comparison_scope == "North"
+    assert (by_id["fig"].scope_match, by_id["fig"].roster_client_id) == ("name", "8086")  # keeps the source's own id
+    assert by_id["ripe"].scope_match == "queue"
     counts = calls.call_counters(lanes).first()
     assert (counts.accepted_rows, counts.outside_rows, counts.rejected_rows, counts.unmapped_rows) == (5, 1, 1, 1)
     out = calls.service_intervals(calls.canonical_calls(calls.accepted(lanes)), ServiceRules(30, 5))
     total = out.agg(*[F.sum(m).alias(m) for m in ("offered", "answered", "abandoned", "short_abandoned",
                                                   "abandoned_within_target", "answered_within_target", "handled_seconds")]).first()
-    assert tuple(total) == (3, 1, 2, 1, 1, 1, 60)
+    assert tuple(total) == (3, 1, 2, 1, 1, 1, 90)
     assert {r.language for r in out.collect()} == {"FR"}
     hours = evidence.flash_hours(out, evidence.FlashProfile("p", "P", date(2026, 1, 1), ("Q-1",)), date(2026, 8, 1))
     assert [r.offered for r in hours.collect()] == [2]
@@ -99,7 +100,7 @@ def test_schedule_and_precedence(spark, people, tmp_path):
         "Name\tData Source IDs\t08/01/2026\t08/02/2026\t\n"
         "Ann Lee\t00417\t.ORG | Work 08/01/2026 10:00 PM-08/02/2026 6:00 AM\tOff\t\n"
         "Zoé Fox\t77\tWork 08/01/2026 8:00 AM-08/01/2026 4:00 PM\t\t\n"
-        "Bob Ray\t00652\tOff\tOff\t\n"
+        "Ida Moss\t00652\tOff\tOff\t\n"
     )
     (tmp_path / "s.txt").write_bytes(text.encode("cp1252"))
     wide, dates = readers.read_schedule(spark, str(tmp_path), [str(tmp_path / "s.txt")])
@@ -108,7 +109,7 @@ def test_schedule_and_precedence(spark, people, tmp_path):
     got = {(r.agent_name, r.business_date.day): (r.scope_match, r.schedule_state, r.roster_client_id) for r in cells.collect()}
     assert got == {
         ("Ann Lee", 1): ("id", "SHIFT", "00417"), ("Ann Lee", 2): ("id", "OFF", "00417"), ("Zoé Fox", 1): ("name", "SHIFT", "77"),
-        ("Bob Ray", 1): ("id", "OFF", "00652"), ("Bob Ray", 2): ("none", "OFF", None),
+        ("Ida Moss", 1): ("id", "OFF", "00652"), ("Ida Moss", 2): ("none", "OFF", None),
     }
     codes = sorted(f.issue_code for f in roster.schedule_findings(cells).collect())
     assert codes == ["SCHEDULE_ID_NAME_FALLBACK", "SCHEDULE_OUTSIDE_EFFECTIVE_ROSTER"]
