@@ -3,7 +3,8 @@
 1. Documents with the same set of word 5-grams form a class; only its smallest doc_id goes on.
 2. Candidates share one of BANDS bands of ROWS MinHash values: a pair of similarity 0.8 is missed with probability
    (1 - 0.8**4)**32, about 5e-8. Bands with the same members are searched once.
-3. The members of a band are dealt into blocks, and blocks meet in cells. In its cell a pair's MinHash values are
+3. The members of a band are dealt into blocks, by their number and the size of their sets, and blocks meet in cells.
+   In its cell a pair's MinHash values are
    compared ROUND at a time, and the pair is dropped once the posterior probability that its similarity reaches the
    threshold is below TOLERANCE. The rest is verified exactly on the 5-gram sets. A pair that shares several bands is
    handled in the first one only.
@@ -30,8 +31,9 @@ THRESHOLD = 0.8
 BANDS, ROWS = 32, 4
 ROUND = 16
 TOLERANCE = 1e-9
-#: Members of a band that meet in one block; larger bands are dealt into several blocks.
-BLOCK = 1024
+#: Members of a band that meet in one block, and 5-grams that their sets hold (8 bytes each); larger bands are dealt into
+#: several blocks.
+BLOCK, BLOCK_GRAMS = 1024, 1 << 23
 _HASHES = BANDS * ROWS
 
 
@@ -78,7 +80,7 @@ def _digest(grams: np.ndarray) -> tuple[int, int]:
 
 
 def _signatures(docs: DataFrame) -> DataFrame:
-    """doc_id, s1, s2 (digest of the 5-gram set; NULL without words), bands of every row, and its mark if docs has one."""
+    """doc_id, s1, s2 (digest of the 5-gram set; NULL without words), its size and bands of every row, and its mark if docs has one."""
     marked = "mark" in docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -87,27 +89,28 @@ def _signatures(docs: DataFrame) -> DataFrame:
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 grams = shingles(text, SHINGLE_WORDS)
                 if not grams.size:
-                    out.append((doc_id, None, None, None))
+                    out.append((doc_id, None, None, None, None))
                     continue
-                out.append((doc_id, *_digest(grams), band_keys(minhash(grams))))
+                out.append((doc_id, *_digest(grams), grams.size, band_keys(minhash(grams))))
             if out:
                 arrays = [pa.array(c, t) for c, t in zip(zip(*out), _SIGNED.types)]
                 yield pa.RecordBatch.from_arrays(arrays + batch.columns[2:], _SIGNED.names + ["mark"] * marked)
 
-    return docs.mapInArrow(run, "doc_id long, s1 long, s2 long, bands array<long>" + ", mark long" * marked)
+    return docs.mapInArrow(run, "doc_id long, s1 long, s2 long, size long, bands array<long>" + ", mark long" * marked)
 
 
-_SIGNED = pa.schema([("doc_id", pa.int64()), ("s1", pa.int64()), ("s2", pa.int64()), ("bands", pa.list_(pa.int64()))])
+_SIGNED = pa.schema([("doc_id", pa.int64()), ("s1", pa.int64()), ("s2", pa.int64()), ("size", pa.int64()), ("bands", pa.list_(pa.int64()))])
 
 
 def _cells(classes: DataFrame) -> DataFrame:
     """(rep, cells): the cells (key, band, i, j) of every representative that shares a band with another."""
-    placed = classes.select("rep", F.posexplode("bands").alias("band", "key"))
+    placed = classes.select("rep", "size", F.posexplode("bands").alias("band", "key"))
     own = F.xxhash64("rep")
     # 24-bit terms: their sum stays a long for any number of members.
-    buckets = placed.groupBy("key", "band").agg(F.count("*").alias("n"), F.bit_xor(own).alias("x"), F.sum(F.shiftright(own, 40)).alias("s"))
-    buckets = buckets.where("n > 1").groupBy("n", "x", "s").agg(F.min(F.struct("band", "key")).alias("b"))
-    buckets = buckets.select("b.key", "b.band", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
+    buckets = placed.groupBy("key", "band").agg(F.count("*").alias("n"), F.bit_xor(own).alias("x"), F.sum(F.shiftright(own, 40)).alias("s"), F.sum("size").alias("grams"))
+    buckets = buckets.where("n > 1").groupBy("n", "x", "s").agg(F.min(F.struct("band", "key")).alias("b"), F.max("grams").alias("grams"))
+    blocks = F.greatest(F.ceil(F.col("n") / BLOCK), F.least("n", F.ceil(F.col("grams") / BLOCK_GRAMS))).cast("int")
+    buckets = buckets.select("b.key", "b.band", blocks.alias("blocks"))
     members = placed.join(buckets, ["key", "band"])
     mine = F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")
     cell = lambda other: F.struct(
@@ -300,10 +303,10 @@ def _classified(rows: DataFrame, threshold: float, tolerance: float) -> DataFram
     """similarity_classes of rows (doc_id, text and maybe mark), with s1, s2 and the mark."""
     signed = staged(_signatures(rows), "ngram-signatures")
     real = signed.where("doc_id IS NOT NULL AND s1 IS NOT NULL")
-    one = F.min_by(F.struct("s1", "s2", "bands"), F.struct("s1", "s2")).alias("v")
+    one = F.min_by(F.struct("s1", "s2", "size", "bands"), F.struct("s1", "s2")).alias("v")
     single = real.groupBy("doc_id").agg(one, F.count("*").alias("n")).select("doc_id", "n", "v.*")
     classes = single.groupBy("s1", "s2").agg(
-        F.min("doc_id").alias("rep"), F.sum("n").alias("n_copies"), F.min_by("bands", "doc_id").alias("bands")
+        F.min("doc_id").alias("rep"), F.sum("n").alias("n_copies"), F.max("size").alias("size"), F.min_by("bands", "doc_id").alias("bands")
     )
     classes = staged(classes, "ngram-classes")
     cells = staged(_cells(classes), "ngram-cells")
@@ -312,10 +315,14 @@ def _classified(rows: DataFrame, threshold: float, tolerance: float) -> DataFram
     links = found.where("links IS NOT NULL").groupBy("rep").agg(F.sum("links").alias("n_links"))
     groups = components(found.where("other IS NOT NULL").select(F.col("rep").alias("a"), F.col("other").alias("b")))
     known = classes.drop("bands").join(links, "rep", "left").join(groups.withColumnRenamed("id", "rep"), "rep", "left")
-    known = known.select("s1", "s2", "rep", "n_copies", "n_links", "label")
     marks = [c for c in signed.columns if c == "mark"]
     members = signed.select("doc_id", *marks, *[F.when(F.col("doc_id").isNotNull(), F.col(c)).alias(c) for c in ("s1", "s2")])
-    return members.join(known, ["s1", "s2"], "left").select(
+    # Rows without words have keys of their own, spread over all tasks; `k0` keeps them from meeting a class.
+    members = members.withColumns(
+        {"k0": F.col("s1").isNotNull(), "k1": F.coalesce("s1", F.xxhash64("doc_id")), "k2": F.coalesce("s2", F.lit(0).cast("long"))}
+    )
+    known = known.select(F.lit(True).alias("k0"), F.col("s1").alias("k1"), F.col("s2").alias("k2"), "rep", "n_copies", "n_links", "label")
+    return members.join(known, ["k0", "k1", "k2"], "left").select(
         "doc_id",
         F.coalesce("label", "rep", "doc_id").alias("class_id"),
         F.coalesce("rep", "doc_id").alias("rep_id"),

@@ -20,7 +20,7 @@ from rotaspark.llm.wordhash import alnum_mask, code_points, lower_ascii, word_bo
 
 HASH_BITS = 20
 STARTS = (4, 5)
-#: Bounds of the fit: labelled documents, and terms that the machine knows.
+#: Bounds of the gradient fit: labelled documents, and terms that the machine knows. Terms are counted on all labels.
 TRAIN_ROWS = 20_000
 TERMS = 4096
 FACTORS = 8
@@ -102,24 +102,26 @@ def held_out(doc_id: str = "doc_id"):
 
 
 def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, n_terms: int = TERMS) -> FactorizationMachine:
-    """Fits the machine on at most `rows` labelled documents outside the held-out fold.
+    """Fits the machine on labelled documents outside the held-out fold.
 
-    The rows are those of smallest hash, so the choice follows the ids alone. Their labels, a table of bounded size,
-    are broadcast to the texts. Terms are chosen by chi-squared, counted in Spark; the driver gets n_terms terms and
-    the chosen rows' places in them. A document with several labels is toxic if one says so; NULL labels and ids teach
-    nothing. Without any labelled row every text gets the score of the bias alone.
+    Terms are chosen by chi-squared over all of them, counted in Spark. The gradient fit sees at most `rows`: those of
+    smallest hash, so the choice follows the ids alone; the driver gets n_terms terms and these rows' places in them.
+    A document with several labels is toxic if one says so; NULL labels and ids teach nothing. Without any labelled row
+    every text gets the score of the bias alone.
     """
     known = labels.where("toxic IS NOT NULL AND doc_id IS NOT NULL").where(~held_out())
     known = known.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").cast("int").alias("toxic"))
-    chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(chosen), "doc_id")
+    place = F.struct(F.xxhash64("doc_id").alias("h"), F.col("doc_id").alias("d"))
+    last = known.select(place.alias("p")).orderBy("p").limit(rows).agg(F.max("p").alias("p")).first()["p"]
+    fits = F.lit(False) if last is None else place <= F.struct(F.lit(last["h"]).alias("h"), F.lit(last["d"]).alias("d"))
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(known.withColumn("fits", fits), "doc_id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = pa.array([terms(t) for t in batch.column(1).to_pylist()], pa.list_(pa.int32()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), found], ["doc_id", "toxic", "terms"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), batch.column(3), found], ["doc_id", "toxic", "fits", "terms"])
 
-    data = staged(texts.mapInArrow(run, "doc_id long, toxic int, terms array<int>"), "toxic-terms")
+    data = staged(texts.mapInArrow(run, "doc_id long, toxic int, fits boolean, terms array<int>"), "toxic-terms")
     sums = data.agg(F.count("*").alias("n"), F.sum("toxic").alias("p")).first()
     n, p = float(sums["n"] or 0), float(sums["p"] or 0)
     counts = data.select("toxic", F.explode("terms").alias("term")).groupBy("term")
@@ -128,15 +130,15 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, n_terms: i
     chi = n * F.pow(s * n - q * p, 2) / (q * (n - q + 1) * (p + 1) * (n - p + 1))
     best = counts.select("term", chi.alias("chi")).orderBy(F.desc("chi"), "term").limit(n_terms).collect()
     machine = FactorizationMachine(np.array([r["term"] for r in best], np.int64))
-    place = machine.place
+    known_at = machine.place
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows_ = (place[np.array(t, np.int64)] for t in batch.column(2).to_pylist())
+            rows_ = (known_at[np.array(t, np.int64)] for t in batch.column(2).to_pylist())
             cells = pa.array([r[r >= 0].astype("<i4").tobytes() for r in rows_], pa.binary())
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), cells], ["doc_id", "toxic", "places"])
 
-    fitted = data.mapInArrow(keep, "doc_id long, toxic int, places binary").orderBy("doc_id", "places").collect()
+    fitted = data.where("fits").select("doc_id", "toxic", "terms").mapInArrow(keep, "doc_id long, toxic int, places binary").orderBy("doc_id", "places").collect()
     machine.fit([np.frombuffer(r["places"], "<i4") for r in fitted], np.array([r["toxic"] for r in fitted], float))
     return machine
 

@@ -7,7 +7,7 @@ import numpy as np
 
 import corpus_pipeline
 from rotaspark.llm import preferences, toxicity
-from rotaspark.llm.queries import op6_preference_format
+from rotaspark.llm.queries import op5_toxicity, op6_preference_format
 
 from .support import documents, empty, prose, rows_of
 
@@ -27,6 +27,30 @@ def test_pairs_of_terms_count_beyond_their_sum():
     assert good > 0.95 * len(rows)
 
 
+def test_scores_are_the_plain_sum_over_pairs(spark):
+    """Bias, a weight per term and a product per pair of terms, added up one by one, for every document of the query."""
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.001/{t}.parquet") for t in ("documents", "labels"))
+    machine = toxicity.train(docs, labels)
+    got = {r.doc_id: r.score for r in op5_toxicity(spark, "/root/testdata/sf0.001").collect()}
+    rows = docs.collect()
+    assert len(got) == len(rows)
+    for d in rows:
+        at = machine.places(toxicity.terms(d.text))
+        raw = machine.bias + sum(machine.weights[i] for i in at)
+        raw += sum(machine.factors[i] @ machine.factors[j] for k, i in enumerate(at) for j in at[:k])
+        assert abs(got[d.doc_id] - 1 / (1 + np.exp(-min(max(raw, -30), 30)))) < 1e-9
+
+
+def test_terms_are_counted_on_all_labels(spark):
+    """A word that only rows beyond the fitted ones hold is known, though the fit sees few rows."""
+    rng = random.Random(3)
+    rows = [(i, prose(rng, 30) + (" zebra" if i % 5 == 0 else "")) for i in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 5 == 0)) for i in range(400)], "doc_id long, toxic int")
+    machine = toxicity.train(docs, labels, rows=2)
+    assert machine.places(toxicity.terms("zebra")).size == 2  # the word, and its start of four
+
+
 def toxic_table(spark, n=1500):
     rng = random.Random(2)
     docs, labels = [], []

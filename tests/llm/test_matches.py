@@ -2,6 +2,8 @@
 
 import hashlib
 import random
+
+import pytest
 import re
 from collections import Counter, defaultdict
 
@@ -55,8 +57,9 @@ def near_copies(spark, n=40):
     return rows
 
 
-def test_ngram_join(spark, monkeypatch):
-    monkeypatch.setattr(ngram_join, "BLOCK", 8)
+@pytest.mark.parametrize("limit", [("BLOCK", 8), ("BLOCK_GRAMS", 1500)])
+def test_ngram_join(spark, monkeypatch, limit):
+    monkeypatch.setattr(ngram_join, *limit)
     base = documents(spark, extra="class_id").where("NOT (doc_id = 6 AND n_chars = 1 AND text LIKE 'another%')")
     docs = base.union(spark.createDataFrame(near_copies(spark), base.schema))
     want = joined(docs.collect())
@@ -73,7 +76,7 @@ def test_ngram_join(spark, monkeypatch):
     one = ngram_join.one_per_class(docs)
     assert one.columns == docs.columns
     ids = [r.doc_id for r in one.collect() if r.doc_id is not None]
-    assert sorted(set(ids)) == sorted({c for c, _, _ in want.values()})
+    assert sorted(ids) == sorted({c for c, _, _ in want.values()})
     assert ngram_join.similarity_classes(empty(docs)).count() == 0 and ngram_join.one_per_class(empty(docs)).count() == 0
 
 
