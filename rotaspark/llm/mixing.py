@@ -49,10 +49,10 @@ def source_targets(sizes: DataFrame, weights=WEIGHTS, share: float = BUDGET_SHAR
 
 
 def mixture(docs: DataFrame, seed: int = 17, weights=WEIGHTS, share: float = BUDGET_SHARE, passes: int = PASSES) -> DataFrame:
-    """doc_id, mark, key, n_rows, size, source_size, target, taken: what the mix takes of every document.
+    """doc_id, mark, key, n_rows, size, source_size, target, taken, copies: what the mix takes of every document.
 
-    One result row stands for the n_rows rows with that doc_id, text and source; taken counts words of one of them.
-    Sizes and positions depend on the rows only, so reruns agree. NULL texts have size 0; rows of size 0 are never
+    One result row stands for the n_rows rows with that doc_id, text and source; taken counts words of one of them, and
+    copies has the virtual finish time and its tick for each time that one is taken. Sizes and positions depend on the rows only, so reruns agree. NULL texts have size 0; rows of size 0 are never
     taken. Sources are split into hash ranges whose totals are summed first, so no source is gathered in one task.
     """
     mark = F.xxhash64(F.coalesce("text", F.lit("")))
@@ -86,24 +86,30 @@ def mixture(docs: DataFrame, seed: int = 17, weights=WEIGHTS, share: float = BUD
     sums = sums.select("tick", "words", F.sum("words").over(upto).alias("upto"))
     budget = (totals.agg(F.sum("words")).first()[0] or 0) * share
     over = sums.where(F.col("upto") > budget).orderBy("tick").first()
-    if over is None:
-        taken = sum((F.when(queues(n), F.col("size")).otherwise(0) for n in range(passes)), F.lit(0))
-    else:
+    cut = None
+    if over is not None:
         room = budget - (over["upto"] - over["words"])
         last = copies.where(F.col("tick") == over["tick"])
         last = last.withColumn("run", F.sum("words").over(Window.orderBy("p").rowsBetween(Window.unboundedPreceding, 0)))
         cut = last.where(F.col("run") <= room).agg(F.max("p").alias("p")).first()["p"]
-        n_ticks = F.lit(over["tick"])
-        taken = F.lit(0)
-        for n in range(passes):
-            at = place(n)
-            t = F.least(F.floor(at["finish"] * _TICKS), F.lit(4 * _TICKS))
-            inside = t < n_ticks
+
+    def taken(n: int) -> Column:
+        at = place(n)
+        t = F.least(F.floor(at["finish"] * _TICKS), F.lit(4 * _TICKS))
+        inside = queues(n)
+        if over is not None:
+            before = t < F.lit(over["tick"])
             if cut is not None:
                 edge = F.struct(*[F.lit(cut[k]).cast(ty).alias(k) for k, ty in _PLACE])
-                inside = inside | ((t == n_ticks) & (at <= edge))
-            taken = taken + F.when(queues(n) & inside, F.col("size")).otherwise(F.lit(0))
-    return timed.select("doc_id", "mark", "key", "n_rows", "size", "source_size", "target", taken.cast("long").alias("taken"))
+                before = before | ((t == F.lit(over["tick"])) & (at <= edge))
+            inside = inside & before
+        return F.when(inside, F.struct(at["finish"].alias("finish"), F.lit(n).alias("pass"), t.alias("tick")))
+
+    mixed = timed.withColumn("copies", F.filter(F.array(*[taken(n) for n in range(passes)]), lambda c: c.isNotNull()))
+    return mixed.select(
+        "doc_id", "mark", "key", "n_rows", "size", "source_size", "target",
+        (F.size("copies") * F.col("size")).cast("long").alias("taken"), "copies", "h",
+    )
 
 
 _PLACE = (("finish", "double"), ("key", "string"), ("pass", "int"), ("h", "bigint"), ("doc_id", "bigint"), ("size", "bigint"))
@@ -112,15 +118,26 @@ _PLACE = (("finish", "double"), ("key", "string"), ("pass", "int"), ("h", "bigin
 def mix_documents(docs: DataFrame, seed: int = 17) -> DataFrame:
     """The mixed documents with the columns of docs: a document taken twice comes as two rows, one not taken as none.
 
-    All columns pass through as they are, whatever their names. An empty table stays empty.
+    Rows are in the order of their virtual finish times (ties by source, pass, hash and id), over partitions that are
+    ranges of it. The words per tick, a table of bounded size, give the ranges equal shares of the words. All columns
+    pass through as they are, whatever their names; NULL sources are a source of their own, NULL texts are never taken,
+    repeated rows are taken as often as each other, and an empty table stays empty.
     """
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     plan = mixture(docs, seed).where(F.col("taken") > 0).select(
-        F.col("doc_id").alias("d"), F.col("mark").alias("m"), F.col("key").alias("k"), F.expr("taken div size").alias("times")
+        F.col("doc_id").alias("d"), F.col("mark").alias("m"), F.col("key").alias("k"), "h",
+        (F.col("size") * F.col("n_rows")).alias("words"), F.explode("copies").alias("c"),
     )
+    plan = staged(plan.select("d", "m", "k", "h", "words", "c.*"), "mix-plan")
+    sums = plan.groupBy("tick").agg(F.sum("words").alias("words"))
+    middle = F.sum("words").over(Window.orderBy("tick").rowsBetween(Window.unboundedPreceding, 0)) - F.col("words") / 2
+    ranges = sums.select("tick", F.floor(middle * parts / F.sum("words").over(Window.partitionBy())).cast("int").alias("part"))
     key = F.when(F.col("source").isNull(), "n").otherwise(F.concat(F.lit("s"), "source"))
     rows = docs.select(
         F.struct(*docs.columns).alias("row"), F.col("doc_id").cast("long").alias("doc"),
         F.xxhash64(F.coalesce("text", F.lit(""))).alias("mark"), key.alias("key"),
     )
-    joined = rows.join(plan, F.col("doc").eqNullSafe(F.col("d")) & (F.col("mark") == F.col("m")) & (F.col("key") == F.col("k")))
-    return joined.select("row", F.explode(F.array_repeat(F.lit(0), F.col("times").cast("int")))).select("row.*")
+    placed = plan.join(ranges, "tick")
+    joined = rows.join(placed, F.col("doc").eqNullSafe(F.col("d")) & (F.col("mark") == F.col("m")) & (F.col("key") == F.col("k")))
+    order = ["finish", "k", "pass", "h", "d"]
+    return joined.select("row", "part", *order).repartitionById(parts, "part").sortWithinPartitions(*order).select("row.*")

@@ -253,6 +253,14 @@ def test_mixture_order_is_weighted_fair_queueing(spark):
     assert {r.doc_id: r.taken for r in plan if r.taken} == dict(taken)
 
 
+def test_mixed_documents_come_in_order_of_finish_times(spark):
+    docs = documents(spark).where("doc_id < 40").dropDuplicates(["doc_id"])
+    plan = {r.doc_id: r for r in mixing.mixture(docs).collect()}
+    queue = sorted((c.finish, r.key, c["pass"], r.h, r.doc_id) for r in plan.values() for c in r.copies)
+    assert [r.doc_id for r in mixing.mix_documents(docs).collect()] == [q[-1] for q in queue]
+    assert mixing.mix_documents(docs).rdd.getNumPartitions() == 4
+
+
 def test_successors(spark):
     keys = [3, 4, 9, 4095, 4096, 20000, 10**12, -5]
     got = {r.k: r.next_key for r in successors(spark.createDataFrame([(k,) for k in keys], "k long"), "k", block=16).collect()}

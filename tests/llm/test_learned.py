@@ -1,15 +1,20 @@
 """Toxicity on held-out rows, preference formatting against plain Python, and the pipeline."""
 
+import hashlib
 import random
 from collections import Counter
 
 import numpy as np
+from pyspark.sql import Row
 
 import corpus_pipeline
 from rotaspark.llm import preferences, toxicity
 from rotaspark.llm.queries import op5_toxicity, op6_preference_format
 
 from .support import documents, empty, prose, rows_of
+from .test_filters import WORD, deduped, shared_out, verdicts
+from .test_matches import joined
+from .test_tokens import LIBRARY
 
 
 def test_pairs_of_terms_count_beyond_their_sum():
@@ -169,6 +174,66 @@ def test_pipeline_stages(spark, tmp_path):
     assert {"doc_id", "n_tokens", "ids_sha256", "decoded_sha256"} <= set(run.columns) and run.count() > 20
 
 
+def test_pipeline_equals_plain_versions(spark, tmp_path):
+    """Plain Python for every stage, one after the other, over texts of the given table and copies of some."""
+    given = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").orderBy("doc_id").collect()
+    rng = random.Random(4)
+    rows = [(d.doc_id, d.text, d.lang, d.source, d.n_chars) for d in given]
+    for i in range(25):
+        _, text, lang, source, n = rows[rng.randrange(len(given))]
+        words = (text or "").split(" ")
+        words[rng.randrange(len(words))] = "altered"
+        rows.append((1000 + i, text if i % 2 else " ".join(words), lang, source, n))
+    shared = "a line that stands in many documents, again and again"
+    rows = [(i, f"{t}\n{shared}" if i % 9 == 0 else t, *rest) for i, t, *rest in rows]
+    schema = "doc_id long, text string, lang string, source string, n_chars int"
+    spark.createDataFrame(rows, schema).write.parquet(str(tmp_path / "documents.parquet"))
+    now = [Row(doc_id=i, text=t, lang=a, source=b) for i, t, a, b, _ in rows]
+    kept = {r[1] for r in verdicts(now) if r[4]}
+    now = [r for r in now if r.doc_id in kept]
+    texts = {i: text for _, i, _, _, text in deduped(now)}
+    now = [Row(doc_id=r.doc_id, text=texts[r.doc_id], lang=r.lang, source=r.source) for r in now]
+    classes = joined(now)
+    now = [r for r in now if classes[r.doc_id][0] == r.doc_id]
+    mixed = queued(spark, now)
+    want = Counter()
+    for r in now:
+        ids = LIBRARY.encode(r.text, add_special_tokens=False).ids
+        text = LIBRARY.decode(ids, skip_special_tokens=False)
+        digests = [hashlib.sha256(x.encode()).hexdigest() for x in (",".join(map(str, ids)), text)]
+        want[r.doc_id, len(ids), *digests] += mixed[r.doc_id]
+    got = Counter((r.doc_id, r.n_tokens, r.ids_sha256, r.decoded_sha256) for r in corpus_pipeline.run(spark, str(tmp_path)).collect())
+    assert got == +want and len(got) > 100 and len(kept) < len(rows) and len(now) < len(kept)
+
+
+def queued(spark, rows):
+    """How often a plain weighted fair queue takes each document."""
+    sizes, groups = Counter(), {}
+    for r in rows:
+        sizes[r.source] += len(WORD.findall(r.text))
+        groups.setdefault(r.source, []).append(r)
+    order = sorted(s for s in sizes if s is not None) + [None] * (None in sizes)
+    target = shared_out({s: sizes[s] for s in order}, [(3, 1, 2)[i % 3] for i in range(len(order))], 1.5 * sum(sizes.values()))
+    hashes = dict(spark.createDataFrame([(r.doc_id, r.text) for r in rows], "i long, t string").selectExpr("i", "xxhash64(17, i, xxhash64(t))").collect())
+    queue = []
+    for s, mine in groups.items():
+        mine.sort(key=lambda r: (hashes[r.doc_id] % 2**64, r.doc_id))
+        run = 0
+        for n in (0, 1):
+            for r in mine:
+                size = len(WORD.findall(r.text))
+                run += size
+                if size and 2 * run - size <= 2 * target[s]:
+                    queue.append((run / target[s], "n" if s is None else f"s{s}", n, hashes[r.doc_id], r.doc_id, size))
+    budget, taken = 1.5 * sum(sizes.values()), Counter()
+    for *_, i, size in sorted(queue):
+        if size > budget:
+            break
+        budget -= size
+        taken[i] += 1
+    return taken
+
+
 def test_pipeline_of_nothing(spark, tmp_path):
     now = empty(documents(spark))
     for _, stage in corpus_pipeline.STAGES:

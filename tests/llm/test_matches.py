@@ -2,12 +2,11 @@
 
 import hashlib
 import random
-
-import pytest
 import re
 from collections import Counter, defaultdict
 
 import numpy as np
+import pytest
 
 from rotaspark.llm import license_scan, ngram_join, winnowing, wordhash
 from rotaspark.llm.components import components
