@@ -403,7 +403,10 @@ def validate_mapping(mapping: DataFrame) -> DataFrame:
 
 
 def read_queue_mapping(spark: SparkSession, path: str) -> tuple[DataFrame, str]:
-    """SRC-10: the catalog and the SHA-256 of its bytes; its size is limited before it is read."""
+    """SRC-10: the catalog and the SHA-256 of its bytes; its size is limited before it is read.
+
+    A row with missing or extra cells is an error, as it is in the header.
+    """
     files = spark.read.format("binaryFile").load(path)
     size = files.select(F.max("length")).first()[0]
     if size is None or size > MAX_MAPPING_BYTES:
@@ -412,6 +415,10 @@ def read_queue_mapping(spark: SparkSession, path: str) -> tuple[DataFrame, str]:
     header = header_of(spark, path)
     if tuple(header) != MAPPING_COLUMNS:
         raise SourceError("the queue mapping needs its five-column header")
-    ddl = ", ".join(f"{c} string" for c in MAPPING_COLUMNS)
-    rows = spark.read.schema(ddl).option("header", True).option("multiLine", True).option("escape", '"').csv(path)
-    return validate_mapping(rows), digest
+    ddl = ", ".join(f"{c} string" for c in (*MAPPING_COLUMNS, "_whole"))
+    options = {"header": True, "multiLine": True, "escape": '"', "columnNameOfCorruptRecord": "_whole"}
+    rows = spark.read.schema(ddl).options(**options).csv(path)
+    torn = [r["_whole"] for r in rows.collect() if r["_whole"] is not None]
+    if torn:
+        raise SourceError(f"a mapping row needs five cells: {torn[0].strip()[:200]}")
+    return validate_mapping(rows.drop("_whole")), digest

@@ -111,3 +111,16 @@ def test_no_raw_row_is_shuffled_for_its_number(spark, tmp_path):
         assert {int(r.A) + 2 == r.source_row for r in rows.collect()} == {True}
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_mapping_rows_have_five_cells(spark, tmp_path):
+    head = "mapping_type,source_system,source_value,service_scope,designation\n"
+    good = "queue,STORM,Q-1,North,main\nqueue,STORM,Q-2,South,\n"
+    for extra, ok in (("", True), ("queue,STORM,Q-3,North\n", False), ("queue,STORM,Q-3,North,main,more\n", False)):
+        path = tmp_path / f"m{len(extra)}.csv"
+        path.write_text(head + good + extra)
+        if ok:
+            assert readers.read_queue_mapping(spark, str(path))[0].count() == 2
+        else:
+            with pytest.raises(readers.SourceError, match="five cells: queue,STORM,Q-3"):
+                readers.read_queue_mapping(spark, str(path))
