@@ -21,14 +21,6 @@ def at_most(df: DataFrame, bound: int, label: str) -> DataFrame:
     return df
 
 
-def fetched(df: DataFrame, bound: int, label: str, *order: Column | str) -> DataFrame:
-    """SL-02 for a result that is shown: ordered, read once, at most `bound` rows, or an error."""
-    rows = df.orderBy(*order).limit(bound + 1).collect()
-    if len(rows) > bound:
-        raise BoundExceededError(f"{label} exceeds {bound} rows")
-    return df.sparkSession.createDataFrame(rows, df.schema)
-
-
 def first_row(df: DataFrame, *order: Column | str) -> DataFrame:
     """SL-03 / SL-05: first row by a total order (a top-1, not a global sort)."""
     return df.orderBy(*order).limit(1)
