@@ -148,11 +148,11 @@ _PARTS = [
     ("access", 1, 1, True, "(AKIA[A-Z0-9]{16,})", 1),
     ("hex", 2, 2, True, "([0-9a-f]{24,})", 1),
     ("login", 3, 1, False, _KEY["login"] + _SET + "([A-Za-z0-9@._+-]+)", 3),
-    ("email", 4, 1, False, "([A-Za-z0-9._+-]+@[A-Za-z0-9-]+(?:\\.[A-Za-z0-9-]+)+)", 1),
+    ("email", 4, 1, False, "([A-Za-z0-9._+-]{1,64}@[A-Za-z0-9-]+(?:\\.[A-Za-z0-9-]+){1,20})", 1),
     ("loose", 6, 2, False, _KEY["loose"] + _SET + "([A-Za-z0-9+/_.=-]+)", 4),
     ("opaque", 7, 2, False, "([A-Za-z0-9+/_=-]{20,})", 1),
     ("url", 8, 3, False, "((?:https?|ftps?|sftp|ssh|s3|jdbc:[a-z0-9]+|postgres(?:ql)?|mysql|mongodb|redis|amqps?)://[^\\x00-\\x20\"\'\'<>\\x7F]+)", 1),
-    ("host", 9, 3, False, _KEY["host"] + _SET + "([A-Za-z0-9-]+(?:\\.[A-Za-z0-9-]+)+)", 1),
+    ("host", 9, 3, False, _KEY["host"] + _SET + "([A-Za-z0-9-]+(?:\\.[A-Za-z0-9-]+){1,20})", 1),
     ("break", 10, 0, False, "(\\n[\\x20\\t\\r]*\\n)", 1),
 ]
 

@@ -44,18 +44,19 @@ class Kind:
     mixed: bool = False
 
 
-#: In the order of spans with equal starts. The patterns mean the same to Java's and to RE2's matcher.
+#: In the order of spans with equal starts. The patterns mean the same to Java's and to RE2's matcher; repeats are bounded
+#: where a matcher that goes back would take the square of an unbroken text, or a call for each of its labels.
 KINDS = (
     Kind("assign", _keys("(?:password|passwd|secret|token|api_?key)") + _GIVEN + "([A-Za-z0-9+/_.=-]+)", SECRET, True, 6, "short"),
     Kind("access", "(AKIA[A-Z0-9]{16,})", IDENTIFIER, True),
     Kind("hex", "([0-9a-f]{24,})", SECRET, True),
     Kind("login", _keys("(?:user(?:_?name|_?id)?|login|account(?:_?id)?|client_?id|access_?key_?id)") + _GIVEN + "([A-Za-z0-9@._+-]+)", IDENTIFIER, least=3),
-    Kind("email", "([A-Za-z0-9._+-]+@[A-Za-z0-9-]+(?:\\.[A-Za-z0-9-]+)+)", IDENTIFIER),
+    Kind("email", "([A-Za-z0-9._+-]{1,64}@[A-Za-z0-9-]+(?:\\.[A-Za-z0-9-]+){1,20})", IDENTIFIER),
     Kind("short", "", SECRET),
     Kind("loose", _keys("(?:pwd|pass|passphrase|credentials?|private_?key|access_?key|auth)") + _GIVEN + "([A-Za-z0-9+/_.=-]+)", SECRET, least=4),
     Kind("opaque", "([A-Za-z0-9+/_=-]{20,})", SECRET, mixed=True),
     Kind("url", "((?:https?|ftps?|sftp|ssh|s3|jdbc:[a-z0-9]+|postgres(?:ql)?|mysql|mongodb|redis|amqps?)://[^\\x00-\\x20\"'<>\\x7F]+)", ENDPOINT),
-    Kind("host", _keys("(?:host(?:_?name)?|endpoint|server)") + _GIVEN + "([A-Za-z0-9-]+(?:\\.[A-Za-z0-9-]+)+)", ENDPOINT),
+    Kind("host", _keys("(?:host(?:_?name)?|endpoint|server)") + _GIVEN + "([A-Za-z0-9-]+(?:\\.[A-Za-z0-9-]+){1,20})", ENDPOINT),
 )
 NUMBER = {k.name: i for i, k in enumerate(KINDS)}
 #: A blank line ends a scope.

@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 from pathlib import Path
 
 from rotaspark.llm import secrets
@@ -112,6 +113,18 @@ def test_weak_parts_need_their_complements(spark):
     assert kinds == {1: [], 2: [], 3: ["login", "loose", "url"], 4: ["login", "assign"], 5: ["assign"], 6: ["assign"], 7: ["access", "opaque"]}
 
 
+def test_unbroken_texts(spark):
+    rng = random.Random(9)
+    texts = ["a" * 300_000, "a" * 100_000 + "@" + "b" * 100_000, "token " * 5_000, "a@b" + ".c" * 50_000 + " token=abcdef1", "host=a" + ".b" * 50_000,
+             "".join(rng.choices("ghijkXYZ089+/", k=200_000)), "AKIA" * 20_000, "\n \n" * 20_000 + "pwd=", "user=" * 1500, "f" * 23 + "g" + "0f" * 50_000]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    secrets.scan(docs.where("doc_id < 0")).collect()
+    began = time.time()
+    got = {r["doc_id"]: [tuple(s[k] for k in ("start", "number", "kind", "end", "base")) for s in r["spans"]] for r in rows_of(secrets.scan(docs))}
+    assert time.time() - began < 60
+    assert got == {i: all_spans(t) for i, t in enumerate(texts)}
+
+
 def test_query_follows_its_contract(spark):
     sf = "/root/testdata/sf0.001"
     got = {r.doc_id: r for r in op13_secret_scan(spark, sf).collect()}
