@@ -97,22 +97,23 @@ JUNK = {
 }
 
 
-@pytest.mark.parametrize("kind", JUNK)
 @pytest.mark.parametrize("everywhere", [False, True])
-def test_junk_of_each_metric_goes_and_clean_rows_stay(spark, kind, everywhere):
-    """10, 20 and 30% junk of one kind, in single sources (one with a third of all rows) or in all of them."""
+def test_junk_of_each_metric_goes_and_clean_rows_stay(spark, everywhere):
+    """10, 20 and 30% junk, a kind per language, in single sources (one with a third of all rows) or in all of them."""
     rng, rows = random.Random(4), []
     shares = {"a": (300, 0.3), "b": (100, 0.2), "c": (100, 0.1), "d": (250, 0), "e": (150, 0), "f": (3, 0)}
-    for source, (n, share) in shares.items():
-        for i in range(n):
-            words = prose(rng, rng.randint(80, 200)).split(" ")
-            junk = i < (0.3 if everywhere else share) * n
-            text = " ".join(JUNK[kind](words) if junk else words)
-            rows.append((len(rows), text, "en", source, 1, "junk" if junk else "clean"))
+    for lang, kind in zip(("en", "de", "fr", "es"), JUNK):
+        for source, (n, share) in shares.items():
+            for i in range(n):
+                words = prose(rng, rng.randint(80, 200)).split(" ")
+                junk = i < (0.3 if everywhere else share) * n
+                rows.append((len(rows), " ".join(JUNK[kind](words) if junk else words), lang, source, 1, "junk" if junk else "clean"))
     docs = spark.createDataFrame(rows, documents(spark, extra="kind").schema)
     kept = {r.doc_id for r in quality_rules.kept_documents(docs).collect()}
-    clean = {r[0] for r in rows if r[5] == "clean"}
-    assert not kept - clean and len(clean & kept) >= 0.98 * len(clean)
+    for lang in ("en", "de", "fr", "es"):
+        clean = {r[0] for r in rows if r[5] == "clean" and r[2] == lang}
+        assert not kept & {r[0] for r in rows if r[5] == "junk" and r[2] == lang}
+        assert len(clean & kept) >= 0.98 * len(clean)
 
 
 def test_limits_follow_the_sources(spark):
