@@ -24,6 +24,8 @@ STARTS = (4, 5)
 TRAIN_ROWS = 20_000
 TERMS = 4096
 FACTORS = 8
+#: So many labels, some 40 MB, are broadcast to the texts; more are joined by a shuffle.
+BROADCAST_LABELS = 1_000_000
 FOLDS, HELD_FOLD = 4, 2
 CUT = 0.3
 
@@ -114,7 +116,10 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, n_terms: i
     place = F.struct(F.xxhash64("doc_id").alias("h"), F.col("doc_id").alias("d"))
     last = known.select(place.alias("p")).orderBy("p").limit(rows).agg(F.max("p").alias("p")).first()["p"]
     fits = F.lit(False) if last is None else place <= F.struct(F.lit(last["h"]).alias("h"), F.lit(last["d"]).alias("d"))
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(known.withColumn("fits", fits), "doc_id")
+    known = known.withColumn("fits", fits)
+    if known.count() <= BROADCAST_LABELS:
+        known = F.broadcast(known)
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(known, "doc_id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -48,34 +48,25 @@ def unique_names(roster: DataFrame) -> DataFrame:
     )
 
 
-def resolve_agents(
+def match_agents(
     facts: DataFrame,
     roster: DataFrame,
     *,
     agent_id: str = "source_agent_id",
     agent_name: str = "agent_name",
-    day: str = "business_date",
     spread_by: Sequence[str] = ("source_row",),
 ) -> DataFrame:
-    """JN-01: adds roster_client_id, scope_match (`id`, `name`, `none`), roster_key and roster_row.
+    """JN-01 without its date: adds `_match`, the roster row that an id or else a unique name finds.
 
-    An id known to the roster settles the match even when it is not eligible on
-    the day. Only an unknown id falls back to a unique name, and keeps the
-    source's own id; a blank id stays outside.
+    An id known to the roster settles the match. Only an unknown id falls back to a unique name; a blank id finds
+    nothing. Where many dates share an agent, match once and use `on_day` per date.
     """
+    columns = {"employment_status": "status", "end_date": "end", "source_row": "row", "source_key": "key"}
     by_id = valid_ids(roster).select(
-        F.col("client_id").alias("_id"),
-        F.col("employment_status").alias("_id_status"),
-        F.col("end_date").alias("_id_end"),
-        F.col("source_row").alias("_id_row"),
-        F.col("source_key").alias("_id_source"),
+        F.col("client_id").alias("_id"), F.struct(*[F.col(c).alias(n) for c, n in columns.items()]).alias("_by_id")
     )
     by_name = unique_names(roster).select(
-        F.col("name_key").alias("_name"),
-        F.col("employment_status").alias("_name_status"),
-        F.col("end_date").alias("_name_end"),
-        F.col("source_row").alias("_name_row"),
-        F.col("source_key").alias("_name_source"),
+        F.col("name_key").alias("_name"), F.struct(*[F.col(c).alias(n) for c, n in columns.items()]).alias("_by_name")
     )
     joined = facts.withColumn("_id_key", spread_nulls(F.col(agent_id), *spread_by)).join(
         by_id, F.col("_id_key") == F.col("_id"), "left"
@@ -85,28 +76,43 @@ def resolve_agents(
     joined = joined.withColumn("_name_key", spread_nulls(wanted, *spread_by)).join(
         by_name, F.col("_name_key") == F.col("_name"), "left"
     )
-    by_id_hit = F.col("_id").isNotNull()
-    id_ok = by_id_hit & eligible_on(F.col("_id_status"), F.col("_id_end"), F.col(day))
-    name_ok = (
-        ~by_id_hit
-        & F.col("_name").isNotNull()
-        & eligible_on(F.col("_name_status"), F.col("_name_end"), F.col(day))
-    )
-    resolved = joined.withColumn(
-        "scope_match", F.when(id_ok, "id").when(name_ok, "name").otherwise("none")
-    )
+    kind = F.when(F.col("_id").isNotNull(), "id").when(F.col("_name").isNotNull(), "name")
+    match = F.struct(kind.alias("kind"), F.coalesce("_by_id", "_by_name").alias("agent"))
+    return joined.withColumn("_match", match).drop("_id_key", "_id", "_by_id", "_name_key", "_name", "_by_name")
+
+
+def on_day(matched: DataFrame, agent_id: str = "source_agent_id", day: str = "business_date") -> DataFrame:
+    """JN-01 on the rows of `match_agents`: scope_match, and the roster ids of those that are eligible on the day."""
+    kind, agent = F.col("_match.kind"), F.col("_match.agent")
+    ok = kind.isNotNull() & eligible_on(agent["status"], agent["end"], F.col(day))
+    resolved = matched.withColumn("scope_match", F.when(ok, kind).otherwise("none"))
     found = F.col("scope_match") != "none"
     return (
         resolved.withColumn("roster_client_id", F.when(found, F.col(agent_id)))
-        .withColumn("roster_row", F.when(found, F.coalesce("_id_row", "_name_row")))
-        .withColumn("roster_key", F.when(found, F.coalesce("_id_source", "_name_source")))
-        .drop(
-            "_id_key", "_id", "_id_status", "_id_end", "_id_row", "_id_source",
-            "_name_key", "_name", "_name_status", "_name_end", "_name_row", "_name_source",
-        )
+        .withColumn("roster_row", F.when(found, agent["row"]))
+        .withColumn("roster_key", F.when(found, agent["key"]))
+        .drop("_match")
     )
 
 
+def resolve_agents(
+    facts: DataFrame,
+    roster: DataFrame,
+    *,
+    agent_id: str = "source_agent_id",
+    agent_name: str = "agent_name",
+    day: str = "business_date",
+    spread_by: Sequence[str] = ("source_row",),
+) -> DataFrame:
+    """JN-01: adds roster_client_id, scope_match (`id`, `name`, `none`), roster_key and roster_row.
+
+    An id known to the roster settles the match even when it is not eligible on
+    the day. Only an unknown id falls back to a unique name, and keeps the
+    source's own id; a blank id stays outside.
+    """
+    return on_day(match_agents(facts, roster, agent_id=agent_id, agent_name=agent_name, spread_by=spread_by), agent_id, day)
+
+
 def scope_rollups(mapping: DataFrame) -> DataFrame:
     """JN-04: service scope key -> comparison scope."""
     return mapping.filter("mapping_type = 'scope_rollup'").select(

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from rotaspark.functions import rules
 from rotaspark.functions.temporal import parse_date, parse_header_date, time_of_day_seconds
 from rotaspark.functions.text import clean, id_text, keyword, normalize_id, number
-from rotaspark.operators.identity import resolve_agents, spread_nulls, valid_ids
+from rotaspark.operators.identity import match_agents, on_day, spread_nulls, valid_ids
 from rotaspark.operators.latest import keep_first, schedule_precedence
 from rotaspark.operators.quality import row_findings
 
@@ -233,14 +233,15 @@ def canonical_time_off(time_off: DataFrame) -> DataFrame:
     return time_off.filter("valid AND client_id IS NOT NULL").drop("valid", "validation_codes")
 
 
-def unpivot_schedule(wide: DataFrame, date_columns: Sequence[str]) -> DataFrame:
+def unpivot_schedule(wide: DataFrame, date_columns: Sequence[str], also: Sequence[str] = ()) -> DataFrame:
     """SET-03: one row per filled cell of the wide schedule, with its column position.
 
     The position is that of the cell's own file: `header_cells` where files of
-    several headers are united, else the order of the columns.
+    several headers are united, else the order of the columns. `also` names
+    columns of the agent's row that every cell keeps.
     """
-    ids = [c for c in ("source_key", "source_row", "source_mtime", "Name", "Data Source IDs") if c in wide.columns]
-    table_columns = [c for c in wide.columns if c not in ("source_key", "source_row", "source_mtime")]
+    ids = [c for c in ("source_key", "source_row", "source_mtime", "Name", "Data Source IDs", *also) if c in wide.columns]
+    table_columns = [c for c in wide.columns if c not in ("source_key", "source_row", "source_mtime", *also)]
     if "header_cells" not in wide.columns:
         wide = wide.withColumn("header_cells", F.array(*map(F.lit, table_columns)))
     long = wide.unpivot([*ids, "header_cells"], list(date_columns), "date_text", "raw_assignment")
@@ -256,14 +257,16 @@ def unpivot_schedule(wide: DataFrame, date_columns: Sequence[str]) -> DataFrame:
 
 def parse_schedule(wide: DataFrame, date_columns: Sequence[str], roster: DataFrame) -> DataFrame:
     """FL-07 / DQ-04..06: schedule cells with bounds, state, scope and codes."""
-    cells = (
-        unpivot_schedule(wide, date_columns)
-        .withColumn("agent_name", clean(F.col("Name")))
+    # An agent is looked up once per row of the file, before its cells become rows.
+    known = (
+        wide.withColumn("agent_name", clean(F.col("Name")))
         .withColumn("_match_id", normalize_id(F.col("Data Source IDs")))
         .withColumn("source_agent_id", id_text(F.col("Data Source IDs")))
-        .drop("Name", "Data Source IDs", "date_text")
     )
-    cells = resolve_agents(cells, roster, agent_id="_match_id", spread_by=("source_row", "source_column"))
+    matched = match_agents(known, roster, agent_id="_match_id")
+    also = ("agent_name", "_match_id", "source_agent_id", "_match")
+    cells = unpivot_schedule(matched, date_columns, also).drop("Name", "Data Source IDs", "date_text")
+    cells = on_day(cells, "_match_id")
     raw, day = F.col("raw_assignment"), F.col("business_date")
     off = F.upper(raw) == "OFF"
     cells = (
