@@ -46,7 +46,7 @@ def test_scores_are_the_plain_sum_over_pairs(spark):
         assert abs(got[d.doc_id] - 1 / (1 + np.exp(-min(max(raw, -30), 30)))) < 1e-9
 
 
-def test_terms_are_counted_on_all_labels(spark):
+def test_terms_are_counted_on_all_labels(spark, monkeypatch):
     """A word that only rows beyond the fitted ones hold is known, though the fit sees few rows."""
     rng = random.Random(3)
     rows = [(i, prose(rng, 30) + (" zebra" if i % 5 == 0 else "")) for i in range(400)]
@@ -54,6 +54,9 @@ def test_terms_are_counted_on_all_labels(spark):
     labels = spark.createDataFrame([(i, int(i % 5 == 0)) for i in range(400)], "doc_id long, toxic int")
     machine = toxicity.train(docs, labels, rows=2)
     assert machine.places(toxicity.terms("zebra")).size == 2  # the word, and its start of four
+    monkeypatch.setattr(toxicity, "BROADCAST_LABELS", 0)  # the same by a shuffle
+    other = toxicity.train(docs, labels, rows=2)
+    assert (other.place == machine.place).all() and (other.factors == machine.factors).all()
 
 
 def toxic_table(spark, n=1500):
