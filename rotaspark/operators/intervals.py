@@ -45,13 +45,18 @@ def overlap_join(
     right_span: tuple[str, str],
     unit: str = "DAY",
     how: str = "inner",
+    small: bool = False,
 ) -> DataFrame:
-    """JN-06 / JN-07 / JN-10: equal keys and overlapping spans, as a hash join.
+    """JN-06 / JN-07 / JN-10: equal keys and overlapping spans, as an equality join.
 
     Both sides are repeated per touched bucket and joined on (keys, bucket).
     A pair that shares several buckets is kept in its first common one only,
     so no distinct is needed. Empty spans match nothing. The right side's
     columns must not repeat the left side's, apart from the keys.
+
+    Sides meet by a merge join: Spark's size check sees compressed files before
+    they are repeated per bucket, and would broadcast millions of such rows. A
+    side that is `small` by its nature leaves the choice to Spark.
     """
     if how != "inner":
         raise ValueError("overlap_join keeps matching pairs only")
@@ -60,7 +65,7 @@ def overlap_join(
     for df, s, e in ((left, ls, le), (right, rs, re_)):
         solid = df.filter(F.col(e) > F.col(s))
         sides.append(solid.withColumn("_bucket", F.explode(buckets(F.col(s), F.col(e), unit))))
-    joined = sides[0].join(sides[1], [*keys, "_bucket"])
+    joined = sides[0].join(sides[1] if small else sides[1].hint("merge"), [*keys, "_bucket"])
     first_common = F.greatest(_bucket(F.col(ls), unit), _bucket(F.col(rs), unit))
     overlap = (F.col(ls) < F.col(re_)) & (F.col(re_).isNotNull()) & (F.col(le) > F.col(rs))
     return joined.filter(overlap & (F.col("_bucket") == first_common)).drop("_bucket")

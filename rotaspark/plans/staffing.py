@@ -198,7 +198,7 @@ def decision_outcomes(decisions: DataFrame, intervals: DataFrame, baseline_minut
     )
     met = overlap_join(
         spans, facts, ["service_scope"], left_span=("_from", "_to"), right_span=("interval_start", "interval_end"),
-        unit="HOUR",
+        unit="HOUR", small=True,  # at most a row per scope and quarter of an hour
     )
     after = F.col("interval_start") >= F.col("decided_at")
     earlier = F.col("interval_end") <= F.col("decided_at")

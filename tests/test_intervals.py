@@ -143,6 +143,18 @@ def test_overlap_join_has_each_pair_once(spark):
         assert [r.n for r in got.collect()] == [1]
 
 
+def test_repeated_rows_are_not_broadcast(spark, tmp_path):
+    """Spark's size check sees files before their rows are repeated per bucket, so it must not choose a broadcast."""
+    for name, cols in (("a", ("s", "e")), ("b", ("rs", "re"))):
+        df = spark.createDataFrame([("x", at(0), at(200000))], f"k string, {cols[0]} timestamp_ntz, {cols[1]} timestamp_ntz")
+        df.write.parquet(str(tmp_path / name))
+    read = lambda name: spark.read.parquet(str(tmp_path / name))
+    met = iv.overlap_join(read("a"), read("b"), ["k"], left_span=("s", "e"), right_span=("rs", "re"), unit="HOUR")
+    assert met.count() == 1
+    plan = met._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
 def test_hot_key_is_split_by_a_skew_join(spark):
     """A third of all status rows on one agent: same result when AQE splits the partition."""
     from rotaspark.plans.attendance import status_segments
