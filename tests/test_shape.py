@@ -25,3 +25,12 @@ def test_tasks_follow_rows(spark, tmp_path, monkeypatch):
     assert wide.count() == 2 * 500
     users = wide.where("source_key = 'schedule/base.txt'").groupBy(F.spark_partition_id()).count()
     assert users.count() > 8 and users.agg(F.max("count")).first()[0] < 100
+
+
+def test_staffing_ladder_is_worked_out_once(spark, monkeypatch):
+    from testbed import queries_more
+
+    made, build = [], queries_more._ladder
+    monkeypatch.setattr(queries_more, "_ladder", lambda s, d: made.append(d) or build(s, d))
+    plan = queries_more._gapped(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert len(made) == 1 and "sequence(" not in plan and plan.count("staffing_gap") >= 1
