@@ -77,6 +77,15 @@ def test_pieces_with_equal_hashes(codec, monkeypatch):
     assert [i for c in codec.encode(text) for i in c] == library_ids(text)
 
 
+@pytest.mark.parametrize("n", [0, 1, 2, 5000])
+def test_distinct_keys(n):
+    keys = np.random.default_rng(n).integers(0, max(n // 3, 1), n, dtype=np.uint64) << np.uint64(40)
+    where, number = pretokens.distinct(keys)
+    values, inverse = np.unique(keys, return_inverse=True)
+    assert (keys[where] == values).all() and (number == inverse).all()
+    assert (keys[where][number] == keys).all()
+
+
 def test_tree_merges_leftmost_lowest_rank_first():
     table = TreeBpe(PATH)
     rank = dict(zip(table.keys.tolist(), zip(table.ranks.tolist(), table.results.tolist())))
