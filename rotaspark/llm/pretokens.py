@@ -173,6 +173,13 @@ class PieceEncoder:
         return [group.codes[x] for _, group, number in self.parts([text]) for x in number.tolist()]
 
     def _group(self, held: list[tuple[int, str]]) -> Iterator[tuple[int, Group, np.ndarray]]:
+        codes, number, cuts = self._grouped(held)
+        group = Group(codes)
+        for k, (i, _) in enumerate(held):
+            yield i, group, number[cuts[k] : cuts[k + 1]]
+
+    def _grouped(self, held: list[tuple[int, str]]) -> tuple:
+        """The codes of the distinct pieces, the number of its code for every piece, and where each part's pieces start."""
         whole = "".join(p for _, p in held)
         points = np.frombuffer(whole.encode("utf-32-le", "surrogatepass"), np.uint32)
         ends = np.cumsum([len(p) for _, p in held])
@@ -183,19 +190,21 @@ class PieceEncoder:
                 start[a + 1 : b] = False
         begin = np.flatnonzero(start)
         end = np.append(begin[1:], points.size)
-        where, number = distinct(span_hashes(points, begin, end))
+        hashes = span_hashes(points, begin, end)
+        where, number = distinct(hashes)
         length = end - begin
         model = spread(begin[where][number], length)
+        keys = hashes[where]
         if (length != length[where][number]).any() or (points != points[model]).any():  # two pieces share a hash
             seen: dict[str, int] = {}
             number = np.array([seen.setdefault(whole[a:b], len(seen)) for a, b in zip(begin.tolist(), end.tolist())], np.int64)
-            pieces = list(seen)
-        else:
-            pieces = [whole[a:b] for a, b in zip(begin[where].tolist(), end[where].tolist())]
-        group = Group(self._codes(pieces))
-        cuts = np.append(np.searchsorted(begin, first), begin.size).tolist()
-        for k, (i, _) in enumerate(held):
-            yield i, group, number[cuts[k] : cuts[k + 1]]
+            where, keys = np.unique(number, return_index=True)[1], None
+        codes = self._coded(whole, points, begin[where], end[where], keys)
+        return codes, number, np.append(np.searchsorted(begin, first), begin.size).tolist()
+
+    def _coded(self, whole: str, points: np.ndarray, begin: np.ndarray, end: np.ndarray, keys: np.ndarray | None):
+        """The codes of distinct pieces. keys: their hashes in ascending order, None if two pieces share one."""
+        return self._codes([whole[a:b] for a, b in zip(begin.tolist(), end.tolist())])
 
     def _cut(self, text: str) -> Iterator[str]:
         parts = [text]
@@ -220,6 +229,146 @@ class PieceEncoder:
         return [memo[p] for p in pieces]
 
 
+class _Grown:
+    """An array that grows at its end. Views taken before stay valid."""
+
+    def __init__(self, kind: type) -> None:
+        self.room, self.n = np.empty(1 << 10, kind), 0
+
+    def add(self, values: np.ndarray) -> None:
+        n = self.n + values.size
+        if n > self.room.size:
+            room = np.empty(max(n, 2 * self.room.size), self.room.dtype)
+            room[: self.n] = self.room[: self.n]
+            self.room = room
+        self.room[self.n : n] = values
+        self.n = n
+
+
+class _Known:
+    """Ids of pieces by the pieces' hashes, in flat arrays; code points tell pieces of the same hash apart."""
+
+    def __init__(self) -> None:
+        self.keys, self.place = np.empty(0, np.uint64), np.empty(0, np.int64)
+        self.points, self.ids = _Grown(np.uint32), _Grown(np.uint32)
+        self.begin, self.length, self.first, self.size = (_Grown(np.int64) for _ in range(4))
+
+    def find(self, points: np.ndarray, begin: np.ndarray, length: np.ndarray, keys: np.ndarray):
+        """The place of each piece, -1 if it is new, and where its key belongs; None if another piece has its hash."""
+        at = np.searchsorted(self.keys, keys)
+        place = np.full(keys.size, -1)
+        hit = np.flatnonzero(at < self.keys.size)
+        hit = hit[self.keys[at[hit]] == keys[hit]]
+        place[hit] = old = self.place[at[hit]]
+        if (self.length.room[old] != length[hit]).any():
+            return None
+        same = self.points.room[spread(self.begin.room[old], length[hit])] == points[spread(begin[hit], length[hit])]
+        return (place, at) if same.all() else None
+
+    def add(self, points: np.ndarray, length: np.ndarray, keys: np.ndarray, at: np.ndarray, ids: np.ndarray, sizes: np.ndarray):
+        """Adds new pieces, points and ids one piece after another, and gives their places."""
+        place = self.begin.n + np.arange(keys.size)
+        self.keys, self.place = np.insert(self.keys, at, keys), np.insert(self.place, at, place)
+        self.begin.add(self.points.n + np.cumsum(length) - length)
+        self.first.add(self.ids.n + np.cumsum(sizes) - sizes)
+        self.length.add(length)
+        self.size.add(sizes)
+        self.points.add(points)
+        self.ids.add(ids)
+        return place
+
+
+class IdEncoder(PieceEncoder):
+    """Encodes texts into uint32 ids with a byte-level BPE tokenizer of the tokenizers library.
+
+    Pieces of one space and what follows it are encoded many at once, as one text: it splits at the spaces again, and
+    no other byte of such a piece is a space, so a piece's ids start where an id's bytes do with one. memo_pieces bounds
+    the memory as before, and so do 32 code points for each of them.
+    """
+
+    #: Pieces in one text given to the library.
+    JOINED = 128
+
+    def __init__(self, tokenizer, memo_pieces: int = 500_000) -> None:
+        special = {t.content: i for i, t in tokenizer.get_added_tokens_decoder().items()}
+        super().__init__(tokenizer.pre_tokenizer.pre_tokenize_str, self._library, special, memo_pieces)
+        self.tokenizer, self.known = tokenizer, _Known()
+        vocabulary = tokenizer.get_vocab(with_added_tokens=False)
+        self.spaced = np.zeros(max([*vocabulary.values(), *special.values()], default=0) + 1, bool)
+        if not any(" " in s for s in special):
+            self.spaced[[i for t, i in vocabulary.items() if t.startswith("\u0120")]] = True
+
+    def parts(self, texts: Sequence[str | None]) -> Iterator[tuple[int, np.ndarray]]:
+        """(text number, ids) for each part of each text, in order; empty texts have no part."""
+        return super().parts(texts)
+
+    def encode(self, text: str | None) -> list[int]:
+        return [x for _, ids in self.parts([text]) for x in ids.tolist()]
+
+    def _group(self, held: list[tuple[int, str]]) -> Iterator[tuple[int, np.ndarray]]:
+        (ids, first, sizes), number, cuts = self._grouped(held)
+        sizes = sizes[number]
+        ids = ids[spread(first[number], sizes)]
+        ends = np.concatenate(([0], np.cumsum(sizes)))[cuts].tolist()
+        for (i, _), a, b in zip(held, ends, ends[1:]):
+            yield i, ids[a:b]
+
+    def _coded(self, whole, points, begin, end, keys) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """All ids, and where the ids of each piece start and how many they are."""
+        if self.known.keys.size > self.memo_pieces or self.known.points.n > 32 * self.memo_pieces:
+            self.known = _Known()
+        known, length = self.known, end - begin
+        found = None if keys is None else known.find(points, begin, length, keys)
+        if found is None:
+            ids, sizes = self._ids(points[spread(begin, length)], length)
+            return ids, np.cumsum(sizes) - sizes, sizes
+        place, at = found
+        new = np.flatnonzero(place < 0)
+        if new.size:
+            mine = points[spread(begin[new], length[new])]
+            place[new] = known.add(mine, length[new], keys[new], at[new], *self._ids(mine, length[new]))
+        return known.ids.room, known.first.room[place], known.size.room[place]
+
+    def _ids(self, points: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of pieces, one piece after another, and how many each has."""
+        begin = np.cumsum(length) - length
+        second = points[np.minimum(begin + 1, points.size - 1)]
+        joined = (points[begin] == 32) & (length > 1) & (self._classify(second) != BLANK)
+        ids, sizes = self._joined(points, begin[joined], length[joined])
+        if ids is None:
+            joined[:] = False
+            ids, sizes = np.empty(0, np.uint32), np.empty(0, np.int64)
+        alone = np.flatnonzero(~joined)
+        text = _text(points)
+        codes = self._library([text[a : a + n] for a, n in zip(begin[alone].tolist(), length[alone].tolist())])
+        all_sizes = np.empty(length.size, np.int64)
+        all_sizes[joined] = sizes
+        all_sizes[alone] = [c.size for c in codes]
+        first = np.cumsum(all_sizes) - all_sizes
+        out = np.empty(int(all_sizes.sum()), np.uint32)
+        out[spread(first[joined], sizes)] = ids
+        out[spread(first[alone], all_sizes[alone])] = np.concatenate([*codes, np.empty(0, np.uint32)])
+        return out, all_sizes
+
+    def _joined(self, points: np.ndarray, begin: np.ndarray, length: np.ndarray):
+        """The ids of pieces that start with their only space; None, None if the ids do not show the spaces."""
+        texts = [
+            _text(points[spread(begin[a : a + self.JOINED], length[a : a + self.JOINED])]) for a in range(0, begin.size, self.JOINED)
+        ]
+        ids = np.concatenate([*self._library(texts), np.empty(0, np.uint32)])
+        first = np.flatnonzero(self.spaced[ids])
+        if first.size != begin.size or (first.size and first[0]):
+            return None, None
+        return ids, np.diff(np.append(first, ids.size))
+
+    def _library(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+
+def _text(points: np.ndarray) -> str:
+    return points.astype("<u4", copy=False).tobytes().decode("utf-32-le", "surrogatepass")
+
+
 def _around(text: str, mark: str) -> list[str]:
     out: list[str] = []
     for i, part in enumerate(text.split(mark)):

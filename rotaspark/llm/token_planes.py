@@ -69,34 +69,24 @@ def _library_encoder(path: str):
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
-    from rotaspark.llm.pretokens import PieceEncoder
+    from rotaspark.llm.pretokens import IdEncoder
 
     tokenizer = Tokenizer.from_file(path)
     tokenizer.no_truncation()
     tokenizer.no_padding()
 
-    def encode(pieces: list[str]) -> list[np.ndarray]:
-        return [np.array(e.ids, np.uint32) for e in tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
-
-    special = {t.content: i for i, t in tokenizer.get_added_tokens_decoder().items()}
-    return PieceEncoder(tokenizer.pre_tokenizer.pre_tokenize_str, encode, special)
+    return IdEncoder(tokenizer)
 
 
 def _ids_of_texts(encoder, texts: list[str | None], end_id: int) -> Iterator[np.ndarray]:
     """uint32 ids of each text in turn, the end id last."""
-    from rotaspark.llm.pretokens import spread
-
     done, found = 0, []
     end = np.array([end_id], np.uint32)
-    for i, group, number in encoder.parts(texts):
+    for i, ids in encoder.parts(texts):
         while done < i:
             yield np.concatenate([*found, end])
             done, found = done + 1, []
-        if group.tables is None:
-            sizes = np.array([c.size for c in group.codes])
-            group.tables = np.concatenate(group.codes), np.cumsum(sizes) - sizes, sizes
-        flat, first, sizes = group.tables
-        found.append(flat[spread(first[number], sizes[number])])
+        found.append(ids)
     while done < len(texts):
         yield np.concatenate([*found, end])
         done, found = done + 1, []

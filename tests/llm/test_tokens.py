@@ -77,6 +77,61 @@ def test_pieces_with_equal_hashes(codec, monkeypatch):
     assert [i for c in codec.encode(text) for i in c] == library_ids(text)
 
 
+class Counted:
+    """The library's tokenizer, with the number of texts it was given."""
+
+    def __init__(self):
+        self.texts = 0
+
+    def __getattr__(self, name):
+        return getattr(LIBRARY, name)
+
+    def encode_batch_fast(self, texts, **options):
+        self.texts += len(texts)
+        return LIBRARY.encode_batch_fast(texts, **options)
+
+
+def test_ids_by_the_library_match_it():
+    rng = random.Random(6)
+    letters = "ab' \n\tsrevldm1!é日 　😀_"
+    texts = HARD + ["".join(rng.choice(letters) for _ in range(rng.randint(0, 40))) for _ in range(1500)]
+    for memo in (500_000, 5):
+        encoder = pretokens.IdEncoder(LIBRARY, memo_pieces=memo)
+        for text in texts:
+            assert encoder.encode(text) == library_ids(text), repr(text[:60])
+        got = [[] for _ in texts]
+        for i, ids in encoder.parts(texts):
+            got[i].extend(ids.tolist())
+        assert got == [library_ids(t) for t in texts]
+
+
+def test_distinct_words_are_given_to_the_library_many_at_once():
+    rng = random.Random(7)
+    words = ["".join(rng.choices("abcdeé", k=rng.randint(3, 12))) for _ in range(20_000)]
+    text, tokenizer = " ".join(words), Counted()
+    encoder = pretokens.IdEncoder(tokenizer)
+    assert encoder.encode(text) == library_ids(text)
+    given = tokenizer.texts
+    assert given < 300
+    assert encoder.encode(text) == library_ids(text) and tokenizer.texts == given
+
+
+def test_ids_of_pieces_with_equal_hashes(monkeypatch):
+    texts = ["the cat sat on the mat, the end", "a", " dog", "the mat", " cow", " a longer one"]
+    for size in (np.zeros_like, lambda x: x):  # all alike; alike if as long, also as pieces seen before
+        encoder = pretokens.IdEncoder(LIBRARY)
+        monkeypatch.setattr(pretokens, "span_hashes", lambda points, starts, ends: size(ends - starts).astype(np.uint64))
+        for text in texts * 2:
+            assert encoder.encode(text) == library_ids(text)
+
+
+def test_ids_where_spaces_do_not_show():
+    encoder = pretokens.IdEncoder(LIBRARY)
+    encoder.spaced[:] = False
+    for text in HARD + ["the cat sat on  the mat"]:
+        assert encoder.encode(text) == library_ids(text)
+
+
 @pytest.mark.parametrize("n", [0, 1, 2, 5000])
 def test_distinct_keys(n):
     keys = np.random.default_rng(n).integers(0, max(n // 3, 1), n, dtype=np.uint64) << np.uint64(40)
