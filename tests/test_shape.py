@@ -34,3 +34,39 @@ def test_staffing_ladder_is_worked_out_once(spark, monkeypatch):
     monkeypatch.setattr(queries_more, "_ladder", lambda s, d: made.append(d) or build(s, d))
     plan = queries_more._gapped(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
     assert len(made) == 1 and "sequence(" not in plan and plan.count("staffing_gap") >= 1
+
+
+def test_source_health_holds_few_plans(spark, tmp_path):
+    """Totals and table summaries are written down before they are joined: the last plan reads small files, not every table twice."""
+    from testbed import queries_more
+
+    place = lambda name: str(tmp_path / f"{name}.parquet")
+    stamp = F.expr("timestamp'2024-01-01 08:00:00' + make_dt_interval(cast(id % 30 AS int), cast(id % 9 AS int), 0, 0)")
+    spark.range(300).select(
+        F.col("id").alias("event_id"), stamp.alias("ts"), (F.col("id") % 20).alias("user_id"),
+        F.element_at(F.array(*map(F.lit, ("click", "view", "purchase"))), (F.col("id") % 3 + 1).cast("int")).alias("event_type"),
+        F.lit(20.0).alias("value"), F.lit("{}").alias("props"),
+    ).coalesce(1).write.parquet(place("events"))
+    spark.range(20).selectExpr(
+        "id AS c_custkey", "concat('Customer#', lpad(cast(id AS string), 9, '0')) AS c_name", "1 AS c_nationkey",
+        "10D AS c_acctbal", "'AUTO' AS c_mktsegment",
+    ).coalesce(1).write.parquet(place("customer"))
+    spark.range(1, 30).selectExpr(
+        "id AS o_orderkey", "id % 20 AS o_custkey", "'F' AS o_orderstatus", "1D AS o_totalprice",
+        "timestamp'2024-01-05 00:00:00' AS o_orderdate", "CASE WHEN id % 2 = 0 THEN '1-URGENT' ELSE '5-LOW' END AS o_orderpriority",
+    ).coalesce(1).write.parquet(place("orders"))
+    health = queries_more.source_health(spark, str(tmp_path))
+    rows = {r.source: r for r in health.collect()}
+    assert set(rows) == {"roster", "schedule", "agentStatus", "lilo", "callByCall", "attendance"}
+    assert rows["agentStatus"].row_count == queries_more._status(spark, str(tmp_path)).count() > 0
+    assert rows["schedule"].row_count == queries_more._schedule(spark, str(tmp_path)).count() > 0
+    assert {r.overall_status for r in rows.values()} == {"source_changed"}
+    assert health._jdf.queryExecution().optimizedPlan().collectLeaves().size() <= 6
+
+
+def test_plan_texts_are_bounded(spark):
+    """The driver keeps the text of many plans: a long one is cut in print, its rows are whole."""
+    long = "x" * 200_000
+    df = spark.range(1).select(F.concat(F.lit(long), F.col("id").cast("string")).alias("t"))
+    assert len(df._jdf.queryExecution().executedPlan().toString()) < 100_000
+    assert df.first()[0] == long + "0"
